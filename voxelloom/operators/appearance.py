@@ -93,28 +93,28 @@ def gradient(voxels: DataFrame, size: int = 32) -> DataFrame:
     Every brick gets a one-voxel halo from its neighbours, so a single shuffle by brick serves the windows
     of all three axes.
     """
-    def targets(c: str) -> Column:
-        at = F.expr(f"cast({c} div {size} as int)")
+    def home(c: str) -> Column:
+        return F.expr(f"cast({c} div {size} as int)")
+
+    def halo(c: str) -> Column:
+        """Offsets of the one neighbouring brick, if any, that needs this voxel on axis ``c``."""
         first, last = F.expr(f"{c} % {size} = 0 and {c} > 0"), F.expr(f"{c} % {size} = {size - 1}")
-        return F.when(first, F.array(F.lit(-1))).when(last, F.array(F.lit(1))).otherwise(
-            F.array().cast("array<int>")), at
+        step = F.when(first, F.lit(-1)).when(last, F.lit(1))
+        offset = F.struct(*[(step if k == c else F.lit(0)).alias(f"d{k}") for k in "zyx"])
+        return F.when(step.isNotNull(), F.array(offset)).otherwise(F.slice(F.array(own), 1, 0))
 
     brick = ["volume_id", "bz", "by", "bx"]
     own = F.struct(*[F.lit(0).alias(f"d{c}") for c in "zyx"])
-    halo = [
-        F.transform(targets(c)[0], lambda s, c=c: F.struct(*[(s if k == c else F.lit(0)).alias(f"d{k}") for k in "zyx"]))
-        for c in "zyx"
-    ]
-    spread = voxels.select(*VOXEL_KEY, "v", F.explode(F.concat(F.array(own), *halo)).alias("d"))
+    spread = voxels.select(*VOXEL_KEY, "v", F.explode(F.concat(F.array(own), *[halo(c) for c in "zyx"])).alias("d"))
     spread = spread.select(
-        *VOXEL_KEY, "v", *[(targets(c)[1] + F.col(f"d.d{c}")).alias(f"b{c}") for c in "zyx"],
+        *VOXEL_KEY, "v", *[(home(c) + F.col(f"d.d{c}")).alias(f"b{c}") for c in "zyx"],
         ((F.col("d.dz") == 0) & (F.col("d.dy") == 0) & (F.col("d.dx") == 0)).alias("_own"),
     ).repartition(*brick)
     for c in "zyx":
         others = [k for k in "zyx" if k != c]
         line = W.partitionBy(*brick, *others).orderBy(c)
         ahead, behind = F.lead("v").over(line), F.lag("v").over(line)
-        # A halo row of another axis is no neighbour on this line's own axis: both lie next to an own row.
+        # Halo rows of the other axes lie on lines of their own, which hold no row of this brick.
         spread = spread.withColumn(f"g{c}", (
             F.coalesce(ahead, F.col("v")) - F.coalesce(behind, F.col("v"))).cast("double") * F.lit(0.5))
     return spread.where("_own").select(*VOXEL_KEY, "gx", "gy", "gz")

@@ -83,7 +83,7 @@ def slice_range(volumes: DataFrame, axis: str, center: Column | None = None, rad
     mid = F.expr(f"cast({axis_dims(axis)[0]} div 2 as int)") if center is None else center
     first, last = F.greatest(F.lit(0), mid - r), F.least(n - 1, mid + r)
     spread = F.when(first <= last, F.sequence(first, last))
-    return volumes.select("volume_id", F.lit(axis).alias("axis"), F.explode(spread).cast("int").alias("idx"))
+    return volumes.select("volume_id", F.lit(axis).alias("axis"), F.explode(spread.cast("array<int>")).alias("idx"))
 
 
 def value_at(points: DataFrame, voxels: DataFrame, volumes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..model import AXIS_COORDS, MASK_KEY
-from ..scale import SCAN_BLOCK, attach, scan
+from ..scale import SCAN_BLOCK, attach, scan, stage
 from .mask import Written, set_voxels
 
 MAX_DEPTH = 512
@@ -37,10 +37,11 @@ def merge_strokes(changes: DataFrame, block: int = SCAN_BLOCK) -> DataFrame:
     ``changes`` are effective edits, so operations without a change are not on the stack and do not
     separate their neighbours. Rows (mask_id, stroke, z, y, x, before_class, after_class, seq_first, seq_last).
     """
+    changes = stage(changes)
     ops = changes.groupBy("mask_id", "op_id").agg(
         F.max("merge_key").alias("_key"), F.min("seq").alias("_at"))
     key = F.when(F.col("_key") != "", F.col("_key"))
-    ops = scan(ops.withColumn("_key", key), ["mask_id"], "_at", lags={"_before": F.col("_key")}, block=block)
+    ops = stage(scan(ops.withColumn("_key", key), ["mask_id"], "_at", lags={"_before": F.col("_key")}, block=block))
     apart = F.when(F.col("_key") == F.col("_before"), 0).otherwise(1)
     ops = scan(ops.withColumn("_new", apart), ["mask_id"], "_at", {"stroke": F.col("_new")}, block=block)
     named = attach(changes, ops.select("mask_id", "op_id", "stroke"), ["mask_id", "op_id"], ["z", "y", "x"])

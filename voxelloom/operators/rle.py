@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import dbl
 from ..model import coords_of_linear, linear_index
-from ..scale import SCAN_BLOCK, attach, scan
+from ..scale import SCAN_BLOCK, attach, scan, stage
 
 BINARY_ENCODING = "binary-rle-v1"
 LABEL_ENCODING = "label-rle-v1"
@@ -55,10 +55,11 @@ def rle_binary(mask: DataFrame, masks: DataFrame, volumes: DataFrame, classes: D
         F.col("class_id") == F.col("fill_value"), 0).otherwise(1))
     rows = attach(mask.withColumnRenamed("class_id", "_c"), want, ["mask_id"], ["z", "y", "x"]).where(
         (F.col("_on") == 0) | (F.col("_c") == F.col("class_id")))
-    marks = islands(rows.select(*key, linear_index().alias("linear")), key, block=block)
+    # Runs are far fewer than voxels; staging them keeps the steps below from finding them again.
+    marks = stage(islands(rows.select(*key, linear_index().alias("linear")), key, block=block))
     found = scan(marks, key, "st", {"_k": F.lit(1), "_z": (F.col("st") > 0).cast("int")},
                  {"_prev": F.col("st") + F.col("len")}, block)
-    found = attach(found, want.select(*key, "_on", "total"), key, ["st"])
+    found = stage(attach(found, want.select(*key, "_on", "total"), key, ["st"]))
     gap = F.coalesce("_prev", F.lit(0))
     number = F.col("_k") + F.col("_z")
 
@@ -101,7 +102,7 @@ def rle_binary_decode(runs: DataFrame, headers: DataFrame, keys: Sequence[str],
     """
     keys = list(keys)
     clean = runs.withColumn("length", F.greatest(F.lit(0), F.floor(F.coalesce("length", F.lit(0)))).cast("bigint"))
-    ends = scan(clean, keys, "run_no", {"_end": F.col("length")}, block=block)
+    ends = stage(scan(clean, keys, "run_no", {"_end": F.col("length")}, block=block))
     at = attach(ends, headers.select(*keys, "total_voxels", "starts_with"), keys, ["run_no"])
     reached = at.groupBy(*keys).agg(F.max((F.col("_end") == F.col("total_voxels")).cast("int")).alias("_ok"),
                                     F.max("_end").alias("_sum"))

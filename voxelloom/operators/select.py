@@ -73,7 +73,7 @@ def region_grow_slices(voxels: DataFrame, volumes: DataFrame, axis: str, picks:
     at = attach(picks, volumes.select("volume_id", "nx", "ny", "nz"), ["volume_id"], ["px", "py"])
     low, high = F.greatest(F.lit(0), F.col("idx") - r), F.least(n - 1, F.col("idx") + r)
     seeds = at.where(low <= high).select(
-        "volume_id", F.lit(axis).alias("axis"), F.explode(F.sequence(low, high)).cast("int").alias("idx"),
+        "volume_id", F.lit(axis).alias("axis"), F.explode(F.sequence(low, high).cast("array<int>")).alias("idx"),
         clamp(F.floor(dbl("py")), 0, F.col(f"n{v}") - 1).cast("int").alias("sv"),
         clamp(F.floor(dbl("px")), 0, F.col(f"n{u}") - 1).cast("int").alias("su"),
         *([] if not isinstance(tolerance, Column) else [tolerance.alias("tolerance")]))

@@ -404,3 +404,10 @@ re AS (SELECT lin, MAX_BY(a, stroke) c FROM strk JOIN ag USING (stroke) GROUP BY
 SELECT 'm_edit' AS mask_id, {YX}, COALESCE(re.c, un.c, cur.c) AS class_id FROM cur LEFT JOIN un USING (lin) LEFT JOIN re USING (lin) WHERE COALESCE(re.c, un.c, cur.c) <> 0""")
 oracle("dirty_slices", "vol dense stroke stamp painted", """, c AS (SELECT * FROM painted WHERE class_id <> before_class)
 SELECT DISTINCT mask_id, 'xy' AS axis, z AS idx FROM c UNION SELECT mask_id, 'xz', y FROM c UNION SELECT mask_id, 'yz', x FROM c""")
+oracle("add_roi_with_class", "", """WITH RECURSIVE c AS (SELECT p_partkey AS nth, p_size AS cls, 'roi-' || (p_partkey % 60) AS id, p_name FROM part),
+r AS (SELECT CAST(-1 AS BIGINT) AS nth, CAST([] AS INT[]) AS cl, CAST([] AS VARCHAR[]) AS ids, FALSE AS ok
+  UNION ALL SELECT c.nth, CASE WHEN good THEN LIST_APPEND(cl, cls) ELSE cl END, CASE WHEN good THEN LIST_APPEND(ids, id) ELSE ids END, good
+  FROM r JOIN c ON c.nth = r.nth + 1, LATERAL (SELECT NOT LIST_CONTAINS(cl, cls) AND NOT LIST_CONTAINS(ids, id) AS good))
+SELECT 'm_type' AS mask_id, id AS roi_id, cls AS class_id, p_name AS name,
+  ['#ff4d4f', '#ff9f1a', '#ffd60a', '#52c41a', '#16c79a', '#36cfc9', '#40a9ff', '#597ef7', '#9254de', '#eb2f96'][CAST((LEN(cl) - 1) % 10 AS INT) + 1] AS color_hex,
+  cls > 10 AS visible, FALSE AS locked, CAST(LEN(cl) AS INT) AS ordinal FROM r JOIN c USING (nth) WHERE ok""")
