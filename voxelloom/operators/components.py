@@ -89,8 +89,8 @@ def _crossing(local: DataFrame, keys: list[str], connectivity: int, tile: int) -
     last = tile - 1
     border = local.where(F.expr(f"v % {tile} in (0, {last}) or u % {tile} in (0, {last})"))
     steps = F.array(*[F.struct(F.lit(dv).alias("dv"), F.lit(du).alias("du")) for dv, du in FORWARD[connectivity]])
-    reach = border.select(*keys, "v", "u", F.col("local").alias("a"), F.explode(steps).alias("s")).select(
-        *keys, (F.col("v") + F.col("s.dv")).alias("nv"), (F.col("u") + F.col("s.du")).alias("nu"), "v", "u", "a")
+    reach = border.select(*keys, "v", "u", F.col("local").alias("a"), F.explode(steps).alias("_s")).select(
+        *keys, (F.col("v") + F.col("_s.dv")).alias("nv"), (F.col("u") + F.col("_s.du")).alias("nu"), "v", "u", "a")
     reach = reach.where(F.expr(f"nu >= 0 and (nv div {tile} <> v div {tile} or nu div {tile} <> u div {tile})"))
     reach = reach.select(*keys, F.col("nv").alias("v"), F.col("nu").alias("u"), "a")
     met = reach.join(border.select(*keys, "v", "u", F.col("local").alias("b")), [*keys, "v", "u"])

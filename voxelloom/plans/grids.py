@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.color import roi_color
+from ..model import VOLUMES
 
 # name -> (table, key, value expression, nx, ny)
 GRIDS = {
@@ -49,18 +50,13 @@ class Grids:
 
     @cached_property
     def volumes(self) -> DataFrame:
-        """One global aggregate per table, hence one row each by construction."""
-        parts = []
+        """The catalogue: one global aggregate per table gives its one row."""
+        rows = []
         for name, (table, key, value, nx, ny) in GRIDS.items():
             v = F.expr(f"cast(round({value} * 100) as int)")
-            parts.append(self.table(table).agg(
-                F.count(F.lit(1)).alias("n"), F.min(v).cast("double").alias("vmin"), F.max(v).cast("double").alias("vmax"),
-            ).selectExpr(
-                f"'{name}' as volume_id", f"{nx} as nx", f"{ny} as ny", f"cast(n div {nx * ny} as int) as nz",
-                "'uint16' as data_type", "cast(0.5 as double) as sx", "cast(0.5 as double) as sy",
-                "cast(2.0 as double) as sz", "'little-endian' as byte_order", "false as is_rgb", "vmin", "vmax",
-                f"'{table}' as description"))
-        return parts[0].unionByName(parts[1])
+            n, lo, hi = self.table(table).agg(F.count(F.lit(1)), F.min(v).cast("double"), F.max(v).cast("double")).first()
+            rows.append((name, nx, ny, n // (nx * ny), "uint16", 0.5, 0.5, 2.0, "little-endian", False, lo, hi, table))
+        return self.spark.createDataFrame(rows, VOLUMES)
 
     @cached_property
     def mask(self) -> DataFrame:

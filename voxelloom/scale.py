@@ -86,13 +86,14 @@ def scan(
     inner = W.partitionBy(*blk).orderBy(pos)
     local = rows.withColumns({
         **{f"_loc_{n}": F.sum(f"_in_{n}").over(inner.rowsBetween(W.unboundedPreceding, 0)) for n in sums},
-        **{f"_loc_{n}": F.lag(F.struct(f"_in_{n}")).over(inner) for n in lags},
+        **{f"_loc_{n}": F.lag(f"_in_{n}").over(inner) for n in lags},
+        "_first": F.row_number().over(inner) == 1,
     })
     outer = W.partitionBy(*keys).orderBy("_blk")
     carry = rows.groupBy(*blk).agg(
         F.count(F.lit(1)).alias("_rows"),
         *[F.sum(f"_in_{n}").alias(f"_tot_{n}") for n in sums],
-        *[F.max_by(F.struct(f"_in_{n}"), F.col(pos)).alias(f"_tot_{n}") for n in lags],
+        *[F.max_by(f"_in_{n}", F.col(pos)).alias(f"_tot_{n}") for n in lags],
     ).select(
         *blk,
         *[F.sum(f"_tot_{n}").over(outer.rowsBetween(W.unboundedPreceding, -1)).alias(f"_car_{n}") for n in sums],
@@ -102,7 +103,7 @@ def scan(
     return out.select(
         *df.columns,
         *[(F.col(f"_loc_{n}") + F.coalesce(F.col(f"_car_{n}"), F.lit(0))).alias(n) for n in sums],
-        *[F.coalesce(F.col(f"_loc_{n}"), F.col(f"_car_{n}"))[f"_in_{n}"].alias(n) for n in lags],
+        *[F.when(F.col("_first"), F.col(f"_car_{n}")).otherwise(F.col(f"_loc_{n}")).alias(n) for n in lags],
     )
 
 
