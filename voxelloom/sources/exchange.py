@@ -99,9 +99,12 @@ def export_package(mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois:
 
 
 def write_fragments(fragments: DataFrame, key: list[str], path: str) -> None:
-    """Writes documents as folders of text files whose names follow the fragment order."""
+    """Writes documents as folders of text files whose names follow the fragment order.
+
+    Fragments end between two tokens, so the line breaks between them are white space to a JSON parser.
+    """
     ordered = fragments.repartitionByRange(*key, "part_no").sortWithinPartitions(*key, "part_no")
-    ordered.select(*key, "text").write.partitionBy(*key).option("lineSep", "").mode("overwrite").text(path)
+    ordered.select(*key, "text").write.partitionBy(*key).mode("overwrite").text(path)
 
 
 def documents(fragments: DataFrame, key: list[str], limit: int = MAX_DOCUMENT) -> tuple[DataFrame, DataFrame]:

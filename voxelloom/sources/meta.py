@@ -21,9 +21,9 @@ COLUMNS = ["nx", "ny", "nz", "data_type", "sx", "sy", "sz", "byte_order", "is_rg
 
 def read_side_files(spark: SparkSession, folder: str) -> DataFrame:
     """Whole side files (path, text) below a folder; they are small by nature."""
-    texts = spark.read.option("recursiveFileLookup", "true").option("wholetext", "true").option(
-        "pathGlobFilter", "*.{json,volumeinfo,dat}").text(folder)
-    return texts.select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
+        "pathGlobFilter", "*.{json,volumeinfo,dat}").load(folder)
+    return found.select("path", F.col("content").cast("string").alias("text"))
 
 
 def _strip(c: Column) -> Column:
