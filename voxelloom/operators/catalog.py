@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import bytes_per_voxel, dbl, round_half_up
 from ..model import AXES, MAX_SLICE_RADIUS, VOXEL_KEY, axis_dims, inside
-from ..scale import attach
+from ..scale import attach, lookup, stage
 
 # Resolution levels (name, reduction), the upload budget and the overhead factor.
 LEVELS = (("low", 4), ("mid", 2), ("full", 1))
@@ -95,15 +95,8 @@ def value_at(points: DataFrame, voxels: DataFrame, volumes: DataFrame) -> DataFr
     asked = points.select(*VOXEL_KEY).distinct()
     dims = volumes.select("volume_id", "nx", "ny", "nz")
     asked = attach(asked, dims, ["volume_id"], ["z", "y", "x"]).where(inside()).select(*VOXEL_KEY)
-    found = lookup(voxels.select(*VOXEL_KEY, "v"), asked, VOXEL_KEY)
-    return points.join(found, VOXEL_KEY, "left")
-
-
-def lookup(cells: DataFrame, wanted: DataFrame, key: list[str], limit: int = 200_000) -> DataFrame:
-    """Semi-join of a large keyed table with wanted keys, broadcast only when they were counted."""
-    if wanted.limit(limit + 1).count() <= limit:
-        wanted = F.broadcast(wanted)
-    return cells.join(wanted, key, "left_semi")
+    found = stage(lookup(voxels.select(*VOXEL_KEY, "v"), asked, VOXEL_KEY))
+    return attach(points, found, VOXEL_KEY, points.columns, "left")
 
 
 def value_at_lowres(points: DataFrame, lowres: DataFrame, volumes: DataFrame, low_volumes: DataFrame) -> DataFrame:
@@ -129,8 +122,9 @@ def probe(points: DataFrame, voxels: DataFrame, volumes: DataFrame, mask: DataFr
     known = masks.select("mask_id", "volume_id", "fill_value")
     at = attach(points, known, ["mask_id"], ["z", "y", "x"])
     valued = value_at(at, voxels, volumes)
-    marked = valued.join(mask, ["mask_id", "z", "y", "x"], "left")
-    return marked.select(
+    key = ["mask_id", "z", "y", "x"]
+    classes = stage(lookup(mask, points.select(*key).distinct(), key))
+    return attach(valued, classes, key, points.columns, "left").select(
         *points.columns,
         round_half_up(dbl("v")).cast("bigint").alias("value"),
         F.when(F.col("v").isNull(), 0)

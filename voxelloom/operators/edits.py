@@ -43,7 +43,7 @@ def merge_strokes(changes: DataFrame, block: int = SCAN_BLOCK) -> DataFrame:
     key = F.when(F.col("_key") != "", F.col("_key"))
     ops = stage(scan(ops.withColumn("_key", key), ["mask_id"], "_at", lags={"_before": F.col("_key")}, block=block))
     apart = F.when(F.col("_key") == F.col("_before"), 0).otherwise(1)
-    ops = scan(ops.withColumn("_new", apart), ["mask_id"], "_at", {"stroke": F.col("_new")}, block=block)
+    ops = stage(scan(ops.withColumn("_new", apart), ["mask_id"], "_at", {"stroke": F.col("_new")}, block=block))
     named = attach(changes, ops.select("mask_id", "op_id", "stroke"), ["mask_id", "op_id"], ["z", "y", "x"])
     return named.groupBy("mask_id", "stroke", "z", "y", "x").agg(
         F.min_by("before_class", "seq").alias("before_class"), F.max_by("after_class", "seq").alias("after_class"),
@@ -63,7 +63,7 @@ def _last_strokes(strokes: DataFrame, n: int) -> DataFrame:
 
 def undo(strokes: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFrame, n: int) -> Written:
     """Takes the last n strokes back: every voxel returns to its class before the first of them."""
-    last = _last_strokes(strokes, n).select("mask_id", "stroke")
+    last = stage(_last_strokes(strokes, n).select("mask_id", "stroke"))
     hit = attach(strokes, last, ["mask_id", "stroke"], ["z", "y", "x"], "left_semi")
     back = hit.groupBy(*MASK_KEY).agg(F.min_by("before_class", "stroke").alias("class_id"))
     return set_voxels(mask, masks, volumes, back)
@@ -77,7 +77,7 @@ def redo(strokes: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFra
     back = undo(strokes, mask, masks, volumes, undone)
     ready = _last_strokes(strokes, undone).where(F.col("_moves") == 1)
     oldest = F.row_number().over(W.partitionBy("mask_id").orderBy("stroke"))  # at most 512 rows per mask
-    again = ready.withColumn("_nth", oldest).where(F.col("_nth") <= n).select("mask_id", "stroke")
+    again = stage(ready.withColumn("_nth", oldest).where(F.col("_nth") <= n).select("mask_id", "stroke"))
     hit = attach(strokes, again, ["mask_id", "stroke"], ["z", "y", "x"], "left_semi")
     writes = hit.select(*MASK_KEY, F.col("stroke").alias("seq"), F.col("after_class").alias("class_id"))
     return set_voxels(back.mask, masks, volumes, writes)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import to_class_id
 from ..model import MASK_KEY, MAX_CLASS, axis_coords, coords_of_linear, inside, linear_index
-from ..scale import attach
+from ..scale import attach, lookup, stage
 from .slicing import slice_grid, slice_to_voxel
 
 
@@ -28,9 +28,8 @@ class Remapped(NamedTuple):
 def mask_at(points: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFrame) -> DataFrame:
     """Class at each point (mask_id, z, y, x, ...); 0 outside the grid."""
     at = attach(points, _grids(masks, volumes), ["mask_id"], ["z", "y", "x"], "left")
-    asked = points.select(*MASK_KEY).distinct()
-    found = mask.join(asked, MASK_KEY, "left_semi")
-    return at.join(found, MASK_KEY, "left").select(
+    found = stage(lookup(mask, points.select(*MASK_KEY).distinct(), MASK_KEY))
+    return attach(at, found, MASK_KEY, points.columns, "left").select(
         *points.columns,
         F.when(inside(), F.coalesce("class_id", "fill_value")).otherwise(0).cast("int").alias("class_id"))
 

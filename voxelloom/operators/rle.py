@@ -53,8 +53,10 @@ def rle_binary(mask: DataFrame, masks: DataFrame, volumes: DataFrame, classes: D
         "mask_id", "fill_value", "nx", "ny", (F.col("nx").cast("bigint") * F.col("ny") * F.col("nz")).alias("total"))
     want = classes.select(*key).join(grids, "mask_id").withColumn("_on", F.when(
         F.col("class_id") == F.col("fill_value"), 0).otherwise(1))
-    rows = attach(mask.withColumnRenamed("class_id", "_c"), want, ["mask_id"], ["z", "y", "x"]).where(
-        (F.col("_on") == 0) | (F.col("_c") == F.col("class_id")))
+    # A row serves its own class; for the background, of which a mask has one, every row marks a gap.
+    own = attach(mask, want.where("_on = 1"), key, ["z", "y", "x"])
+    gaps = attach(mask.drop("class_id"), want.where("_on = 0"), ["mask_id"], ["z", "y", "x"])
+    rows = own.unionByName(gaps)
     # Runs are far fewer than voxels; staging them keeps the steps below from finding them again.
     marks = stage(islands(rows.select(*key, linear_index().alias("linear")), key, block=block))
     found = scan(marks, key, "st", {"_k": F.lit(1), "_z": (F.col("st") > 0).cast("int")},
@@ -167,9 +169,10 @@ def rle_label(rows: DataFrame, keys: Sequence[str], pos: str, value: str, block:
     flagged = scan(rows.select(*keys, F.col(pos).alias("_p"), F.col(value).alias("_v")), keys, "_p",
                    lags={"_before": F.col("_v")}, block=block)
     starts = flagged.where(F.col("_before").isNull() | (F.col("_before") != F.col("_v")))
-    sizes = rows.groupBy(*keys).agg((F.max(pos) + 1).alias("_all"))
+    starts = stage(starts.select(*keys, F.col("_p").alias("st"), F.col("_v").alias("value")))
+    sizes = stage(rows.groupBy(*keys).agg((F.max(pos) + 1).alias("_all")))
     # The next start is the previous one when positions are read backwards.
-    turned = attach(starts.select(*keys, F.col("_p").alias("st"), F.col("_v").alias("value")), sizes, keys, ["st"])
+    turned = attach(starts, sizes, keys, ["st"])
     turned = turned.withColumn("_back", F.col("_all") - F.col("st"))
     ended = scan(turned, keys, "_back", lags={"_next": F.col("st")}, block=block)
     return ended.select(*keys, "st", "value", (F.coalesce("_next", "_all") - F.col("st")).alias("len"))
@@ -187,14 +190,16 @@ def pack_tiles(runs: DataFrame) -> DataFrame:
 
 
 def tiles_restore(tiles: DataFrame, masks: DataFrame, volumes: DataFrame, chunk: int = TILE) -> tuple[DataFrame, DataFrame]:
-    """Mask rows of packed tiles and the refused tiles.
+    """Mask rows of packed tiles and the refused tiles; a ``chunk`` column of the tiles wins over the argument.
 
     Runs must add up to total_voxels, and that to the product of the tile's size. Zeros and voxels outside
     the grid are left out; runs without length are skipped.
     """
-    cs = max(MIN_TILE, int(chunk))
     tile = ["mask_id", "cz", "cy", "cx"]
-    head = [*tile, "size_z", "size_y", "size_x", "total_voxels"]
+    cs = F.col("_cs")
+    side = F.greatest(F.lit(MIN_TILE), F.floor("chunk")) if "chunk" in tiles.columns else F.lit(max(MIN_TILE, int(chunk)))
+    tiles = tiles.withColumn("_cs", side.cast("int"))
+    head = [*tile, "_cs", "size_z", "size_y", "size_x", "total_voxels"]
     n = F.least(F.size("values"), F.size("lengths"))
     pairs = F.slice(F.arrays_zip("values", "lengths"), F.lit(1), n)
     runs = tiles.select(*head, F.posexplode_outer(pairs).alias("_i", "_r")).select(

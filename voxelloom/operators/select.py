@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clamp, dbl, round_half_up, to_class_id
 from ..model import AXES, MAX_SLICE_RADIUS, axis_coords, inside
-from ..scale import attach
+from ..scale import attach, stage
 from .components import components
 from .slicing import slices
 
@@ -55,12 +55,13 @@ def region_grow(cells: DataFrame, seeds: DataFrame, tolerance: float | Column, c
     """
     seeds = seeds.select("*").withColumn("_tol", F.greatest(F.lit(0.0), dbl(tolerance)))
     spots = seeds.select(*SLICE_KEY, F.col("sv").alias("v"), F.col("su").alias("u"), "_tol")
-    valued = attach(cells, spots, [*SLICE_KEY, "v", "u"], ["v", "u"]).select(
-        *SLICE_KEY, dbl("value").alias("_seed"), F.col("v").alias("sv"), F.col("u").alias("su"), "_tol")
+    # One row per seed; staged, so that the cells are read once for it.
+    valued = stage(attach(cells, spots, [*SLICE_KEY, "v", "u"], ["v", "u"]).select(
+        *SLICE_KEY, dbl("value").alias("_seed"), F.col("v").alias("sv"), F.col("u").alias("su"), "_tol"))
     at = attach(cells, valued, SLICE_KEY, ["v", "u"])
     similar = at.where(F.abs(dbl("value") - F.col("_seed")) <= F.col("_tol"))
     parts = components(similar, SLICE_KEY, connectivity, tile)
-    start = attach(parts, spots.drop("_tol"), [*SLICE_KEY, "v", "u"], ["v", "u"]).select(*SLICE_KEY, "label")
+    start = stage(attach(parts, spots.drop("_tol"), [*SLICE_KEY, "v", "u"], ["v", "u"]).select(*SLICE_KEY, "label"))
     return attach(parts, start, [*SLICE_KEY, "label"], ["v", "u"], "left_semi").select(*SLICE_KEY, "v", "u")
 
 
@@ -124,7 +125,7 @@ def drop_small_islands(selection: DataFrame, areas: DataFrame, keys: Sequence[st
     sized = parts.groupBy(*keys, "label").agg(F.count(F.lit(1)).alias("size"))
     least = clamp(round_half_up(dbl("area") * F.lit(ISLAND_SHARE)), *ISLAND_BOUNDS)
     small = attach(sized, areas.select(*keys, "area"), keys, ["label"]).where(F.col("size") < least)
-    return attach(parts, small.select(*keys, "label"), [*keys, "label"], ["v", "u"], "left_anti").select(*keys, "v", "u")
+    return attach(parts, stage(small.select(*keys, "label")), [*keys, "label"], ["v", "u"], "left_anti").select(*keys, "v", "u")
 
 
 def decode_mask_logits(logits: DataFrame, sizes: DataFrame, threshold: float = LOGIT_THRESHOLD) -> DataFrame:
@@ -133,7 +134,7 @@ def decode_mask_logits(logits: DataFrame, sizes: DataFrame, threshold: float = L
     ``logits`` (slice_id, mask_no, score, v, u, logit) on rasters of mw x mh; ``sizes`` (slice_id, mw, mh, w, h).
     """
     score = F.when(F.isnan("score") | F.col("score").isNull(), F.lit(float("-inf"))).otherwise(dbl("score"))
-    best = logits.groupBy("slice_id").agg(F.max_by("mask_no", F.struct(score, -F.col("mask_no"))).alias("mask_no"))
+    best = stage(logits.groupBy("slice_id").agg(F.max_by("mask_no", F.struct(score, -F.col("mask_no"))).alias("mask_no")))
     chosen = attach(logits, best, ["slice_id", "mask_no"], ["v", "u"]).where(dbl("logit") > F.lit(float(threshold)))
     at = attach(chosen, sizes, ["slice_id"], ["v", "u"])
 

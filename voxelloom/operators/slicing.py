@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clamp, dbl
 from ..model import axis_coords, axis_dims
-from ..scale import attach
+from ..scale import attach, lookup, stage
 
 
 def slices(voxels: DataFrame, axis: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -63,6 +63,9 @@ def lowres_slice(volumes: DataFrame, lowres: DataFrame, low_volumes: DataFrame,
     for c in ("z", "y", "x"):
         grid = grid.withColumn(f"_{c}", low(names[c], f"ln{c}"))
     cells = lowres.select("volume_id", *[F.col(c).alias(f"_{c}") for c in "zyx"], F.col("v").alias("value"))
+    layers = attach(wanted.select("volume_id", "idx").distinct(), dims.drop("nx"), ["volume_id"], ["idx"]).select(
+        "volume_id", low("idx", f"ln{fixed}").alias(f"_{fixed}")).distinct()
+    cells = attach(cells, layers, ["volume_id", f"_{fixed}"], [f"_{u}", f"_{v}"], "left_semi")
     return grid.join(cells, ["volume_id", "_z", "_y", "_x"]).select("volume_id", "axis", "idx", "v", "u", "value")
 
 
@@ -91,7 +94,9 @@ def bilinear_sample(samples: DataFrame, cells: DataFrame, volumes: DataFrame, ax
             (wx * wy).alias("weight")))
     parts = at.select("sample_id", "volume_id", "idx", F.explode(F.array(*corners)).alias("c")).select(
         "sample_id", "volume_id", "idx", "c.v", "c.u", "c.weight")
-    hit = cells.select("volume_id", "idx", "v", "u", "value").join(parts, ["volume_id", "idx", "v", "u"])
+    spot = ["volume_id", "idx", "v", "u"]
+    asked = stage(lookup(cells.select(*spot, "value"), parts.select(*spot).distinct(), spot))
+    hit = attach(parts, asked, spot, ["sample_id"])
     return hit.groupBy("sample_id", "volume_id", "idx").agg(F.sum(F.col("weight") * F.col("value")).alias("value"))
 
 

@@ -149,6 +149,8 @@ oracle("volume_info", "vol", f"""SELECT volume_id, nx, ny, nz, 'uint16' AS data_
   CAST(2.0 AS DOUBLE) AS sz, vmin, vmax, CAST(nx AS BIGINT) * ny * nz AS total_voxels, CAST(nx AS BIGINT) * ny * nz * 2 AS total_bytes,
   {SIZE_MB} AS size_mb, nz = 1 AS single_slice FROM vol""")
 oracle("min_max", "vox", "SELECT volume_id, CAST(MIN(v) AS DOUBLE) AS vmin, CAST(MAX(v) AS DOUBLE) AS vmax FROM vox GROUP BY 1")
+oracle("with_range", "vol", """SELECT volume_id, CASE volume_id WHEN 'events' THEN CAST(5 AS DOUBLE) ELSE vmin END AS vmin,
+  CASE volume_id WHEN 'events' THEN CAST(7000 AS DOUBLE) ELSE vmax END AS vmax FROM vol""")
 oracle("slice_bounds", "vol", """SELECT volume_id, 'xy' AS axis, nz AS slices, nz // 2 AS center, nz - 1 AS last FROM vol
   UNION ALL SELECT volume_id, 'xz', ny, ny // 2, ny - 1 FROM vol UNION ALL SELECT volume_id, 'yz', nx, nx // 2, nx - 1 FROM vol""")
 oracle("slice_range", "vol", """SELECT volume_id, axis, CAST(n // 2 + d AS INT) AS idx FROM (SELECT volume_id, 'xy' AS axis, nz AS n FROM vol

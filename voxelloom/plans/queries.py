@@ -49,6 +49,14 @@ def min_max(g):
     return catalog.min_max(g.voxels)
 
 
+@query
+def with_range(g):
+    """One catalogue row declares its range, the other half of one."""
+    declared = g.volumes.withColumns({
+        "vmin": F.when(F.col("volume_id") == "events", 5.0), "vmax": F.lit(7000.0)})
+    return catalog.with_range(declared, g.voxels).select("volume_id", "vmin", "vmax")
+
+
 @query
 def slice_bounds(g):
     return catalog.slice_bounds(g.volumes)

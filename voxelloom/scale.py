@@ -66,6 +66,13 @@ def attach(
     return salted_join(cells, small, on, spread, how)
 
 
+def lookup(cells: DataFrame, wanted: DataFrame, key: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Cells (unique on ``key``) with one of the wanted keys; these are broadcast only after they were counted."""
+    if wanted.limit(limit + 1).count() <= limit:
+        wanted = F.broadcast(wanted)
+    return cells.join(wanted, list(key), "left_semi")
+
+
 def scan(
     df: DataFrame, keys: Sequence[str], pos: str,
     sums: Mapping[str, Column] | None = None, lags: Mapping[str, Column] | None = None,

@@ -8,7 +8,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import ORDER_BLOCK, attach, scan, with_order
+from ..scale import ORDER_BLOCK, attach, scan, stage, with_order
 from . import slabs
 
 # Value representations with a 32-bit length, transfer syntaxes and the valid representations.
@@ -200,6 +200,7 @@ def series_order(headers: DataFrame) -> DataFrame:
     coordinate, else the instance number, else the input order; ties keep the input order. The order is a
     global sort with block-wise counting, so a series of any length is spread over all tasks.
     """
+    headers = stage(headers)  # decoded once
     placed = F.coalesce(F.size("position") == 3, F.lit(False))
     facts = headers.groupBy("series_id").agg(
         F.bool_and(placed).alias("_all_placed"), F.bool_and(F.col("instance_no").isNotNull()).alias("_all_numbered"),

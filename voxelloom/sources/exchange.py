@@ -181,14 +181,7 @@ def import_package(docs: DataFrame, masks: DataFrame, volumes: DataFrame) -> tup
         "mask_id", "chunk", *[F.col("t.coord")[i].alias(f"c{c}") for i, c in enumerate("xyz")],
         *[F.col("t.size")[i].alias(f"size_{c}") for i, c in enumerate("xyz")],
         F.col("t.data.totalVoxels").alias("total_voxels"), F.col("t.data.values").alias("values"), F.col("t.data.lengths").alias("lengths"))
-    tiles = stage(tiles)
-    rows = broken = None
-    for (cs,) in tiles.select("chunk").distinct().limit(1000).collect():  # the few chunk sizes in use
-        got, bad = rle.tiles_restore(tiles.where(F.col("chunk") == cs), masks, volumes, cs)
-        rows = got if rows is None else rows.unionByName(got)
-        broken = bad if broken is None else broken.unionByName(bad)
-    if rows is None:
-        rows, broken = rle.tiles_restore(tiles, masks, volumes)
+    rows, broken = rle.tiles_restore(stage(tiles), masks, volumes)
     bad_ids = stage(broken.select("mask_id").distinct())
     rows = stage(attach(rows, bad_ids, ["mask_id"], ["z", "y", "x"], "left_anti"))
     fine = good.join(bad_ids, "mask_id", "left_anti")

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..scale import ORDER_BLOCK, attach, scan, with_order
+from ..scale import ORDER_BLOCK, attach, scan, stage, with_order
 
 PIXELS = "path string, y int, x int, r int, g int, b int"
 _ARROW = pa.schema([("path", pa.string())] + [(c, pa.int32()) for c in ("y", "x", "r", "g", "b")])
@@ -56,7 +56,7 @@ def is_grayscale(pixels: DataFrame) -> DataFrame:
 
 def image_to_voxels(pixels: DataFrame, shapes: DataFrame) -> DataFrame:
     """A grey image becomes one slice, a colour image three: red, green, blue. ``shapes`` as of ``is_grayscale``."""
-    at = attach(pixels, shapes.select("path", "is_gray"), ["path"], ["y", "x"])
+    at = attach(pixels, stage(shapes.select("path", "is_gray")), ["path"], ["y", "x"])
     one = F.array(F.struct(F.lit(0).alias("z"), F.col("r").alias("v")))
     three = F.array(*[F.struct(F.lit(i).alias("z"), F.col(c).alias("v")) for i, c in enumerate("rgb")])
     return at.select(F.col("path").alias("volume_id"), "y", "x", F.explode(
