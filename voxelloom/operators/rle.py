@@ -33,6 +33,7 @@ def islands(cells: DataFrame, keys: Sequence[str], pos: str = "linear", block: i
     order = W.partitionBy(*blk).orderBy("_p")
     runs = rows.withColumn("_g", F.col("_p") - F.row_number().over(order)).groupBy(*blk, "_g").agg(
         F.min("_p").alias("st"), F.count(F.lit(1)).alias("len")).drop("_blk", "_g")
+    runs = stage(runs)  # far fewer than cells, and read more than once below
     edge = (F.col("st") % block == 0) | ((F.col("st") + F.col("len")) % block == 0)
     along = W.partitionBy(*keys).orderBy("st")
     joined = runs.where(edge).withColumn(
@@ -57,8 +58,7 @@ def rle_binary(mask: DataFrame, masks: DataFrame, volumes: DataFrame, classes: D
     own = attach(mask, want.where("_on = 1"), key, ["z", "y", "x"])
     gaps = attach(mask.drop("class_id"), want.where("_on = 0"), ["mask_id"], ["z", "y", "x"])
     rows = own.unionByName(gaps)
-    # Runs are far fewer than voxels; staging them keeps the steps below from finding them again.
-    marks = stage(islands(rows.select(*key, linear_index().alias("linear")), key, block=block))
+    marks = islands(rows.select(*key, linear_index().alias("linear")), key, block=block)
     found = scan(marks, key, "st", {"_k": F.lit(1), "_z": (F.col("st") > 0).cast("int")},
                  {"_prev": F.col("st") + F.col("len")}, block)
     found = stage(attach(found, want.select(*key, "_on", "total"), key, ["st"]))

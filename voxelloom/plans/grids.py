@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.color import roi_color
@@ -55,8 +56,10 @@ class Grids:
         for name, (table, key, value, nx, ny) in GRIDS.items():
             v = F.expr(f"cast(round({value} * 100) as int)")
             n, lo, hi = self.table(table).agg(F.count(F.lit(1)), F.min(v).cast("double"), F.max(v).cast("double")).first()
-            rows.append((name, nx, ny, n // (nx * ny), "uint16", 0.5, 0.5, 2.0, "little-endian", False, lo, hi, table))
-        return self.spark.createDataFrame(rows, VOLUMES)
+            rows.append(dict(zip(VOLUMES.fieldNames(), (
+                name, nx, ny, n // (nx * ny), "uint16", 0.5, 0.5, 2.0, "little-endian", False, lo, hi, table))))
+        # From Arrow, so that Spark plans it as a local relation.
+        return self.spark.createDataFrame(pa.Table.from_pylist(rows), VOLUMES)
 
     @cached_property
     def mask(self) -> DataFrame:

@@ -46,7 +46,7 @@ oracle("raw_slab_plan", "vol", """SELECT volume_id, CAST(z0 AS BIGINT) * nx * ny
   SELECT *, GREATEST(1, 8192 // (nx * ny * 2)) AS st FROM vol) v, LATERAL (SELECT UNNEST(RANGE(3, nz, st)) AS z0)""")
 FILE = "volume_id || '/' || PRINTF('%06d', z)"
 oracle("dicom_headers", "vox vol", f"""SELECT DISTINCT {FILE} || '.dcm' AS path, ny AS rows, nx AS cols, 16 AS bits_allocated, z + 1 AS instance_no, CAST(-2.0 * z AS DOUBLE) AS position_z,
-  CAST(2 AS DOUBLE) AS slope, CAST(-1024 AS DOUBLE) AS intercept, nx * ny * 2 AS pixel_length, CAST(NULL AS VARCHAR) AS skip_reason FROM vox JOIN vol USING (volume_id)""")
+  CAST(2 AS DOUBLE) AS slope, CAST(-1024 AS DOUBLE) AS intercept, CAST(nx * ny * 2 AS BIGINT) AS pixel_length, CAST(NULL AS VARCHAR) AS skip_reason FROM vox JOIN vol USING (volume_id)""")
 oracle("dicom_voxels", "vox vol", "SELECT volume_id, nz - 1 - z AS z, y, x, CAST((v % 65536) * 2 - 1024 AS DOUBLE) AS v FROM vox JOIN vol USING (volume_id)")
 oracle("dicom_volume_spacing", "vol", """SELECT volume_id AS series_id, CAST(0.25 AS DOUBLE) AS sx, CAST(0.5 AS DOUBLE) AS sy, CASE WHEN nz > 1 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS sz FROM vol""")
 HEADS = """WITH h AS (SELECT o_custkey AS s, o_orderkey AS f, CASE WHEN o_custkey % 4 = 3 AND o_orderkey % 2 = 1 THEN NULL ELSE o_totalprice END AS p,
@@ -63,7 +63,7 @@ oracle("dicom_admit", "", """SELECT o_orderkey AS file_no, CASE WHEN o_orderkey
   WHEN o_orderkey % 13 = 0 THEN 'pixel data not found' WHEN 500 + o_orderkey % 1000 > 1400 THEN 'pixel data extends beyond file' WHEN o_orderkey % 3 = 2 THEN 'unsupported bits allocated' END AS skip_reason FROM orders""")
 oracle("nifti_voxels", "vox", f"""SELECT {FILE} || CASE WHEN z % 3 = 1 THEN '.nii.gz' ELSE '.nii' END AS volume_id, 0 AS z, y, x, v * CAST(0.5 AS DOUBLE) + 3 AS v FROM vox""")
 oracle("nifti_headers", "vox vol", f"""SELECT DISTINCT {FILE} || CASE WHEN z % 3 = 1 THEN '.nii.gz' ELSE '.nii' END AS path, z % 3 = 1 AS gzip, CASE WHEN z % 3 = 2 THEN '>i4' ELSE '<i4' END AS kind, nx, ny, 1 AS nz,
-  CAST(0.5 AS DOUBLE) AS sx, CAST(0.5 AS DOUBLE) AS sy, CAST(2 AS DOUBLE) AS sz, 352 AS offset, CAST(0.5 AS DOUBLE) AS slope, CAST(3 AS DOUBLE) AS intercept, 'NIfTI' AS description FROM vox JOIN vol USING (volume_id)""")
+  CAST(0.5 AS DOUBLE) AS sx, CAST(0.5 AS DOUBLE) AS sy, CAST(2 AS DOUBLE) AS sz, CAST(352 AS BIGINT) AS offset, CAST(0.5 AS DOUBLE) AS slope, CAST(3 AS DOUBLE) AS intercept, 'NIfTI' AS description FROM vox JOIN vol USING (volume_id)""")
 
 PIX = """WITH px AS (SELECT 'img' || event_id // 500 AS path, event_id // 500 AS z, CAST((event_id // 20) % 25 AS INT) AS y, CAST(event_id % 20 AS INT) AS x, CAST(ROUND(value * 100) AS INT) AS v FROM events),
 p AS (SELECT path, z, y, x, v % 256 AS r, CASE WHEN z % 2 = 0 THEN v % 256 ELSE v // 256 END AS g, CASE WHEN z % 2 = 0 THEN v % 256 ELSE (v * 7) % 256 END AS b FROM px),
@@ -97,6 +97,20 @@ oracle("import_roi_mask", "dense", "SELECT mask_id, z, y, x, class_id + 1 AS cla
 oracle("import_roi_registry", "dense roi", """SELECT mask_id, roi_id, class_id, name, color_hex, visible, locked, ordinal FROM roi WHERE class_id = 1
   UNION ALL SELECT mask_id, 'roi-' || (class_id + 1), class_id + 1, name, color_hex, TRUE, FALSE, ordinal + 1 FROM roi""")
 oracle("import_roi_refused", "dense roi", "SELECT mask_id, 100 + class_id AS doc_no, 'unsupported ROI file format' AS reject_reason FROM roi")
+oracle("export_package", "vol dense roi", """, t AS (SELECT mask_id, z // 16 AS cz, y // 16 AS cy, x // 16 AS cx, LEAST(16, nz - z // 16 * 16) AS sz, LEAST(16, ny - y // 16 * 16) AS sy,
+  LEAST(16, nx - x // 16 * 16) AS sx, z % 16 AS lz, y % 16 AS ly, x % 16 AS lx, class_id, CAST(CEIL(nx / 16.0) AS BIGINT) AS ax, CAST(CEIL(ny / 16.0) AS BIGINT) AS ay FROM dense JOIN vol USING (volume_id)),
+p AS (SELECT *, lx + ly * sx + lz * sx * sy AS l, MAX(class_id) OVER (PARTITION BY mask_id, cz, cy, cx) AS top FROM t),
+q AS (SELECT *, SUM(CASE WHEN class_id = pc THEN 0 ELSE 1 END) OVER (PARTITION BY mask_id, cz, cy, cx ORDER BY l) AS g
+  FROM (SELECT *, LAG(class_id) OVER (PARTITION BY mask_id, cz, cy, cx ORDER BY l) AS pc FROM p WHERE top > 0)),
+u AS (SELECT mask_id, cx + cy * ax + cz * ax * ay + 1 AS part_no, cx, cy, cz, sx, sy, sz, g, class_id AS v, COUNT(*) AS n FROM q GROUP BY ALL),
+w AS (SELECT mask_id, part_no, '{"coord":[' || cx || ',' || cy || ',' || cz || '],"size":[' || sx || ',' || sy || ',' || sz || '],"data":{"encoding":"label-rle-v1","totalVoxels":' || SUM(n) || ',"nonZeroVoxels":'
+  || COALESCE(SUM(n) FILTER (v <> 0), 0) || ',"values":[' || STRING_AGG(CAST(v AS VARCHAR), ',' ORDER BY g) || '],"lengths":[' || STRING_AGG(CAST(n AS VARCHAR), ',' ORDER BY g) || ']}}' AS text
+  FROM u GROUP BY mask_id, part_no, cx, cy, cz, sx, sy, sz)
+SELECT mask_id, part_no, CASE WHEN part_no > MIN(part_no) OVER (PARTITION BY mask_id) THEN ',' ELSE '' END || text AS text FROM w
+UNION ALL SELECT DISTINCT mask_id, 0, '{"format":"viewer-segmentation-package-v1","dimensions":[' || nx || ',' || ny || ',' || nz || '],"spacing":[0.5,0.5,2.0],"classDataType":"uint8","chunkSize":16,"tiles":['
+  FROM dense JOIN vol USING (volume_id)
+UNION ALL SELECT mask_id, 4611686018427387904, '],"rois":[' || STRING_AGG('{"id":"' || roi_id || '","classId":' || class_id || ',"name":"' || name || '","colorHex":"' || color_hex || '","visible":' || visible
+  || ',"locked":' || locked || '}', ',' ORDER BY ordinal) || ']}' FROM roi GROUP BY 1""")
 oracle("import_package_mask", "dense", "SELECT mask_id, z, y, x, class_id FROM dense WHERE class_id <> 0")
 oracle("import_package_registry", "dense roi", """SELECT mask_id, roi_id, class_id, name, color_hex, visible OR mask_id = 'm_prio' AS visible, locked AND mask_id = 'm_type' AS locked, ordinal FROM roi""")
 oracle("bricks_roundtrip", "vox", "SELECT volume_id, z, y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM vox WHERE y BETWEEN 5 AND 20 AND x BETWEEN 0 AND 9")

@@ -10,6 +10,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
+from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -19,25 +20,29 @@ SCAN_BLOCK = 1 << 20
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="voxelloom-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode, where it is unset."""
+    """The cluster's checkpoint folder; a temporary one only in local mode, where it may be unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="voxelloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return _local_folder()
 
 
 def stage(df: DataFrame) -> DataFrame:
     """Writes ``df`` once to the shared folder and reads it back.
 
-    The result has no lineage to recompute when executors are lost, and Spark knows its exact size.
+    The result has no lineage to recompute when executors are lost, and Spark knows its exact size. Tables of
+    one application lie in one folder, which can go once its results are written.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/voxelloom-stage/{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/voxelloom-stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
