@@ -28,7 +28,30 @@ def lower_ascii(text: Column) -> Column:
 
 def row_keys(doc_id: Column, text: Column) -> list[Column]:
     """128 bits that name a row by id and text, so that null or repeated ids do not mix different texts."""
-    return [F.xxhash64(doc_id, text).alias("_k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("_k2")]
+    return [F.xxhash64(doc_id, text).alias("k1"), F.xxhash64(text, doc_id, F.lit(1)).alias("k2")]
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose keys are not among those of ``gone`` (k1, k2), all columns unchanged."""
+    rows = _keyed(docs)
+    same = (rows["_key1"] == gone["k1"]) & (rows["_key2"] == gone["k2"])
+    return rows.join(gone, same, "left_anti").select(*_names(docs))
+
+
+def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """``docs`` with a single row for each of the keys in ``repeated`` (k1, k2)."""
+    rows = _keyed(docs)
+    one = rows.join(repeated, (rows["_key1"] == repeated["k1"]) & (rows["_key2"] == repeated["k2"]), "left_semi")
+    return without(docs, repeated).unionByName(one.dropDuplicates(["_key1", "_key2"]).select(*_names(docs)))
+
+
+def _names(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    k1, k2 = row_keys(docs["doc_id"], text_of(docs))
+    return docs.select("*", k1.alias("_key1"), k2.alias("_key2"))
 
 
 def join_few(big: DataFrame, few: DataFrame, on: Sequence[str], spread: Sequence[str]) -> DataFrame:
@@ -53,4 +76,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2
             yield batch.slice(start)
 
 
-__all__ = ["join_few", "lower_ascii", "row_keys", "salted_join", "slices", "stage", "table", "text_of"]
+__all__ = ["join_few", "lower_ascii", "once", "row_keys", "salted_join", "slices", "stage", "table", "text_of", "without"]

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators.components import contract
-from .common import join_few, slices, stage, text_of
+from .common import join_few, row_keys, slices, stage, text_of, without
 
 WORDS, SEED, BITS, LIST = 3, 42, 3, 64
 NEED = 8 - BITS  # positional bytes that a linked pair shares at least
@@ -66,13 +66,15 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
         found = np.array([fingerprint(t) for t in part.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found)], ["doc_id", "fp"])
+        yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(found)], ["doc_id", "k1", "k2", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed 64-bit integer."""
+    """(doc_id, k1, k2, fp): the fingerprint as a signed 64-bit integer, with the row's keys."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", text_of(docs).alias("text")).mapInArrow(_fingerprints, f"doc_id {kind}, fp bigint")
+    text = text_of(docs)
+    rows = docs.select("doc_id", text.alias("text"), *row_keys(docs["doc_id"], text))
+    return rows.mapInArrow(_fingerprints, f"doc_id {kind}, k1 bigint, k2 bigint, fp bigint")
 
 
 def _byte(fp: Column, position: int) -> Column:
@@ -123,15 +125,29 @@ def links(fps: DataFrame, longest: int = LIST) -> DataFrame:
 
 
 def near_dedup(docs: DataFrame, longest: int = LIST) -> DataFrame:
-    """(doc_id, fingerprint, component_id), one row per input row."""
+    """(doc_id, fingerprint, component_id, first, k1, k2), one row per input row.
+
+    ``first`` marks the row of a component with the smallest (doc_id, k1, k2), ids before nulls.
+    """
     found = stage(fingerprints(docs))
-    classes = stage(found.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k1", "k2")
+    classes = stage(found.groupBy("fp").agg(F.min(order).alias("low"), F.count(F.lit(1)).alias("n")))
     edges = stage(links(classes.select("fp"), longest).select(F.col("b").alias("a"), F.col("a").alias("b")))
-    roots = classes.select(F.col("fp").alias("node"), F.col("fp").alias("root")).limit(0) if edges.isEmpty() else contract(edges, [])
-    named = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("_c"))
-    grouped = named.join(lowest, "root").where("n > 1 or _c > 1").select("fp", "component_id", F.lit(True).alias("_grouped"))
-    out = join_few(found, grouped, ["fp"], ["doc_id"])
+    if edges.isEmpty():
+        named = classes.withColumn("root", F.col("fp"))
+    else:
+        roots = contract(edges, []).withColumnRenamed("node", "fp")
+        named = classes.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    lowest = named.groupBy("root").agg(F.min("low").alias("lowest"), F.count(F.lit(1)).alias("_c"))
+    grouped = named.join(lowest, "root").where("n > 1 or _c > 1").select("fp", "lowest")
+    out = join_few(found, grouped, ["fp"], ["k1"])
+    alone = F.col("lowest").isNull()
     return out.select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
-        F.when(F.col("_grouped"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+        F.when(alone, F.col("doc_id")).otherwise(F.col("lowest.doc_id")).alias("component_id"),
+        (alone | ((F.col("k1") == F.col("lowest.k1")) & (F.col("k2") == F.col("lowest.k2")))).alias("first"), "k1", "k2")
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that come first in their component, unchanged."""
+    return without(docs, stage(near_dedup(docs).where("not first").select("k1", "k2")))
