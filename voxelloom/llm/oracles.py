@@ -2,10 +2,119 @@
 
 from __future__ import annotations
 
+from . import licences
+
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
-ORACLES = {"op8_exact_dedup": EXACT_DEDUP}
+_UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_ROWS = ", ".join(f"({no}, '{label}', {words!r}, {need})" for no, label, words, need in licences.template_sets())
+
+LICENSES = rf"""
+WITH words AS MATERIALIZED (
+  SELECT doc_id, translate(coalesce(text, ''), '{_UP}', '{_LOW}') AS low,
+         regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+places AS MATERIALIZED (
+  SELECT doc_id, low, len(w) AS n_words,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'cc' AND w[i + 2] = 'by') AS p0,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS p1,
+         list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS p2
+  FROM words),
+templates(no, label, t, need) AS (VALUES {_ROWS}),
+blocks AS MATERIALIZED (
+  SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(b, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b
+  FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS b FROM places)),
+met AS (
+  SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(b, t)) / len(t)) AS share
+  FROM blocks, templates WHERE len(b) >= need AND len(list_intersect(b, t)) >= need GROUP BY doc_id),
+base AS (
+  SELECT doc_id, n_words, list_concat(p0, list_concat(p1, p2)) AS p,
+         list_concat(CASE WHEN len(p0) > 0 THEN ['cc-by'] ELSE [] END,
+           list_concat(CASE WHEN len(p1) > 0 THEN ['gpl'] ELSE [] END, CASE WHEN len(p2) > 0 THEN ['reserved'] ELSE [] END)) AS own
+  FROM places)
+SELECT doc_id, n_words, len(p) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word,
+       coalesce(array_to_string(list_sort(own), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(own, coalesce(more, [])))), ','), '') AS labels,
+       CASE WHEN len(p) > 0 THEN 1.0::DOUBLE ELSE coalesce(share, 0.0)::DOUBLE END AS score
+FROM base LEFT JOIN met USING (doc_id)
+"""
+
+# The plain patterns; the operator uses equal ones that do not backtrack.
+_PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+_HITS = " UNION ALL ".join(
+    f"SELECT doc_id, '{k}' AS kind, {i} AS no, generate_subscripts(h, 1) AS i, unnest(h) AS hit, "
+    f"unnest(list_transform(g[1:len(h)], lambda x: length(x))) AS gap FROM (SELECT doc_id, "
+    f"regexp_extract_all(text, '{p}') AS h, string_split_regex(text, '{p}') AS g FROM d) WHERE len(h) > 0"
+    for i, (k, p) in enumerate(_PLAIN.items()))
+
+DISCLOSURE = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+hits AS MATERIALIZED (
+  SELECT doc_id, kind, no, hit, stop - length(hit) AS start, stop, regexp_replace(hit, '[^0-9]', '', 'g') AS dig FROM (
+    SELECT *, sum(gap + length(hit)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM ({_HITS}))),
+spans AS MATERIALIZED (
+  SELECT doc_id, kind, no, hit, start::BIGINT AS start, stop::BIGINT AS stop, kind || ':' || hit AS entity FROM hits WHERE CASE kind
+    WHEN 'email' THEN true
+    WHEN 'ip' THEN list_max(list_transform(string_split(hit, '.'), lambda x: CAST(x AS HUGEINT))) <= 255
+    WHEN 'phone' THEN length(dig) BETWEEN 9 AND 15
+    ELSE length(dig) BETWEEN 12 AND 19 AND list_sum(list_transform(range(length(dig)), lambda i:
+      CASE WHEN i % 2 = 0 THEN CAST(dig[length(dig) - i] AS INT)
+           ELSE CAST(dig[length(dig) - i] AS INT) * 2 - CASE WHEN CAST(dig[length(dig) - i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
+    END),
+lines AS (
+  SELECT doc_id, no AS line_no, line, coalesce(sum(length(line) + 1) OVER (
+      PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs
+  FROM (SELECT doc_id, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM (
+    SELECT doc_id, string_split(text, chr(10)) AS l FROM d WHERE doc_id IN (SELECT doc_id FROM spans)))),
+held AS MATERIALIZED (
+  SELECT l.doc_id, line_no, line, offs, entity, start, stop FROM lines l JOIN spans s
+    ON l.doc_id = s.doc_id AND start >= offs AND start < offs + length(line)),
+terms AS (
+  SELECT doc_id, line_no, term, (stop - length(term) + offs)::BIGINT AS start, (stop + offs)::BIGINT AS stop FROM (
+    SELECT *, sum(gap + length(term)) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS stop FROM (
+      SELECT doc_id, line_no, offs, generate_subscripts(h, 1) AS i, unnest(h) AS term,
+             unnest(list_transform(g[1:len(h)], lambda x: length(x))) AS gap FROM (
+        SELECT doc_id, line_no, offs,
+               regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]{{3,}}') AS h,
+               string_split_regex(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]{{3,}}') AS g
+        FROM (SELECT DISTINCT doc_id, line_no, offs, translate(line, '{_UP}', '{_LOW}') AS low FROM held)) WHERE len(h) > 0))),
+clear AS MATERIALIZED (
+  SELECT * FROM terms t WHERE NOT EXISTS (
+    SELECT 1 FROM held h WHERE h.doc_id = t.doc_id AND h.line_no = t.line_no AND t.start < h.stop AND t.stop > h.start)),
+met AS MATERIALIZED (
+  SELECT DISTINCT c.doc_id, c.line_no, term, entity, line FROM clear c JOIN held h ON c.doc_id = h.doc_id AND c.line_no = h.line_no),
+pairs AS (
+  SELECT entity, term, count(DISTINCT line) AS n_lines, count(DISTINCT doc_id) AS n_both FROM met GROUP BY ALL
+  HAVING count(DISTINCT line) >= 2),
+counts AS (
+  SELECT term, count(*) AS n_docs FROM (SELECT unnest(list_distinct(regexp_extract_all(
+    translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]{{3,}}'))) AS term FROM d) GROUP BY term),
+holders AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM spans GROUP BY entity),
+flagged AS (
+  SELECT entity, term FROM pairs JOIN counts USING (term) JOIN holders USING (entity), (SELECT count(*)::DOUBLE AS total FROM d)
+  WHERE log2(total / n_entity) > 0 AND log2(n_both * total / (n_entity * n_docs)) >= 0.8 * log2(total / n_entity)),
+every AS (
+  SELECT doc_id, kind, no, start, stop FROM spans UNION ALL
+  SELECT DISTINCT c.doc_id, 'term', 4, c.start, c.stop FROM clear c JOIN met m ON c.doc_id = m.doc_id AND c.line_no = m.line_no
+    AND c.term = m.term JOIN flagged f ON f.entity = m.entity AND f.term = m.term),
+by_doc AS (
+  SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
+         count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) FILTER (kind <> 'term') AS base,
+         string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, no) AS spans
+  FROM every GROUP BY doc_id)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card,
+       coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(b.spans, '') AS spans
+FROM d LEFT JOIN by_doc b USING (doc_id)
+"""
+
+ORACLES = {"op3_license_scan": LICENSES, "op6_disclosure_scan": DISCLOSURE, "op8_exact_dedup": EXACT_DEDUP}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, exact_dedup, quality, simhash
+from . import bpe, decontaminate, disclosure, exact_dedup, licences, quality, simhash
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,10 @@ def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("k1", "k2")
 
@@ -25,6 +29,10 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_dedup(table(spark, sf_dir, "documents")).drop("first", "k1", "k2")
 
 
+def op6_disclosure_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.scan(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
@@ -36,5 +44,6 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op2_spaced_seed_decontamination, op4_quality_discriminant, op5_simhash_near_dedup, op8_exact_dedup, op9_byte_bpe)
+        op2_spaced_seed_decontamination, op3_license_scan, op4_quality_discriminant, op5_simhash_near_dedup,
+        op6_disclosure_scan, op8_exact_dedup, op9_byte_bpe)
 }
