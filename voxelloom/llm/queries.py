@@ -7,12 +7,16 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, disclosure, exact_dedup, licences, quality, simhash
+from . import bpe, decontaminate, disclosure, exact_dedup, licences, quality, repeats, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_bucket_refined_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op2_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -42,8 +46,12 @@ def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
-        op2_spaced_seed_decontamination, op3_license_scan, op4_quality_discriminant, op5_simhash_near_dedup,
-        op6_disclosure_scan, op8_exact_dedup, op9_byte_bpe)
+        op1_bucket_refined_repeats, op2_spaced_seed_decontamination, op3_license_scan, op4_quality_discriminant,
+        op5_simhash_near_dedup, op6_disclosure_scan, op8_exact_dedup, op9_byte_bpe, op10_toxicity_gru)
 }
