@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, disclosure, exact_dedup, licences, quality, repeats, simhash, toxicity
+from . import bpe, decontaminate, disclosure, exact_dedup, licences, quality, repeats, simhash, templates, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_disclosure_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return disclosure.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_template_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("k1", "k2")
 
