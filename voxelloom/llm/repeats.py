@@ -6,15 +6,14 @@ only suffixes at such anchors are bucketed; each start position belongs to the o
 window.
 
 1. Buckets: anchors by the identifier of their q-gram. Anchors alone in their bucket are done.
-2. Refinement by the identifiers of later offsets: an anchor stays only if its bucket, extended to the right or to the
-   left by half of what is missing, has another member; the starts that need the other side are dropped.
-3. Runs: all starts of an anchor that are still open form a run. Equal runs in two places are repeated as a whole and
-   are not looked at again; one of them stands for all.
-4. Starts: where a bucket holds different runs, the runs that stand for themselves are refined start by start, by the
-   identifiers at the offsets 0, q, 2q, ... of the window.
+2. The starts of an anchor in a shared bucket are cut into blocks of ``STEP``, at the same offsets from every anchor of
+   the bucket. What all windows of a block share refines its bucket: a block alone in it holds no repeated start.
+3. Equal blocks in two places are repeated as a whole and are not looked at again; one of them stands for all.
+4. Where a refined bucket holds different blocks, those that stand for themselves are refined start by start, by the
+   identifiers at the offsets 0, q, ... of the window, together with one of each block already settled.
 
-Identifiers are 64-bit hashes of the bytes (two for runs and windows), so that the identifier at a later offset is
-known without a look-up. Rows per bucket grow with its members, never with their pairs.
+An identifier is a hash of the bytes and of where they stand from the anchor (two hashes where it decides), so that the
+identifier at a later offset is known without a look-up. Rows per bucket grow with its members, never with their pairs.
 
 Defined results: a null text is empty; texts shorter than ``SPAN`` bytes have no removal. Repeated rows are places of
 their own, so all their long strings are repeated. Rows without an id are treated like any other.
@@ -31,7 +30,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import row_keys, salted_join, slices, stage, text_of
 
-SPAN, Q = 400, 100
+SPAN, Q, STEP = 400, 160, 64
 BLOCK = 1 << 19  # starts handled at once
 
 _rng = np.random.default_rng(20240)
@@ -124,117 +123,102 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [pa.array(k1[pairs[:, 0]]), pa.array(k2[pairs[:, 0]]), pa.array(pairs[:, 1]), pa.array(n)], ["k1", "k2", "h", "n"])
 
 
-def _half() -> int:
-    return (SPAN - Q + 1) // 2
-
-
-def _extended(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors in shared buckets: position, range of starts, and identifiers of the halves to either side."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of starts at anchors in shared buckets: (k1, k2, core, f1, f2, size, firsts), equal ones of a text in one row."""
     for part in slices(batches):
         k1, k2 = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         data, first, last = _laid(part.column(2).to_pylist())
-        wanted = part.column(3).to_pylist()
+        lists = part.column(3)
+        owner = np.repeat(np.arange(len(lists)), pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))
+        wanted = _pair(owner, lists.flatten().to_numpy())
         for p, lo, hi, gram, doc in anchors(data, first, last):
-            keep = np.zeros(len(p), bool)
-            for d in np.unique(doc):
-                mine = doc == d
-                keep[mine] = np.isin(gram[mine], np.array(wanted[d], np.int64))
+            keep = np.isin(_pair(doc, gram), wanted)
             p, lo, hi, gram, doc = (x[keep] for x in (p, lo, hi, gram, doc))
             if not len(p):
                 continue
+            low, high = (lo - p) // STEP, (hi - p) // STEP
+            of = np.repeat(np.arange(len(p)), high - low + 1)
+            no = np.arange(len(of)) - np.repeat(np.cumsum(high - low + 1) - (high - low + 1), high - low + 1) + low[of]
+            begin, end = np.maximum(p[of] + no * STEP, lo[of]), np.minimum(p[of] + no * STEP + STEP - 1, hi[of])
             base = int(lo.min())
-            local = Hashes(data[base:int(hi.max()) + SPAN])
-            right = local.of(p - base, np.minimum(p + Q + _half(), hi + SPAN) - base)
-            left = local.of(np.maximum(p - _half(), lo) - base, p + Q - base)
-            # A side that is cut off before the half cannot hold a window of that side.
-            right_ok, left_ok = hi + SPAN >= p + Q + _half(), lo <= p - _half()
+            piece = data[base:int(hi.max()) + SPAN]
+            one, two = Hashes(piece, 0), Hashes(piece, 1)
+            place = gram[of].view(np.uint64) * np.uint64(0x9FB21C651E98DF25) + no.astype(np.uint64)
+            inner = p[of] + no * STEP - base  # the windows of a block share [inner + STEP - 1, inner + SPAN)
+            core = _mix(one.of(inner + STEP - 1, inner + SPAN) + place).view(np.int64)
+            exact = place + ((begin - p[of]) * 1024 + (end - p[of])).astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
+            full = [_mix(x.of(begin - base, end - base + SPAN) + exact).view(np.int64) for x in (one, two)]
+            order = np.lexsort((full[0], doc[of]))
+            d, f = doc[of][order], full[0][order]
+            head = np.flatnonzero(np.concatenate([[True], (np.diff(d) != 0) | (np.diff(f) != 0)]))
+            at = order[head]
+            firsts = pa.ListArray.from_arrays(
+                pa.array(np.append(head, len(order)).astype(np.int32)), pa.array((begin - first[doc[of]])[order]))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(k1[doc]), pa.array(k2[doc]), pa.array(gram), pa.array(p - first[doc]), pa.array((lo - p).astype(np.int32)),
-                 pa.array((hi - p).astype(np.int32)), pa.array(right.view(np.int64), mask=~right_ok), pa.array(left.view(np.int64), mask=~left_ok)],
-                ["k1", "k2", "h", "pos", "lo", "hi", "r", "l"])
+                [pa.array(k1[doc[of][at]]), pa.array(k2[doc[of][at]]), pa.array(core[at]), pa.array(full[0][at]), pa.array(full[1][at]),
+                 pa.array((end - begin + 1)[at]), firsts], ["k1", "k2", "core", "f1", "f2", "size", "firsts"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per open run of starts its two identifiers."""
-    for part in slices(batches):
-        k1, k2 = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for i, text in enumerate(part.column(2).to_pylist()):
-            data = np.frombuffer(text.encode(), np.uint8)
-            a = {n: np.array([x[n] for x in part.column(3)[i].as_py()], np.int64) for n in ("h", "pos", "lo", "hi")}
-            start, end = a["pos"] + a["lo"], a["pos"] + a["hi"] + SPAN
-            c1, c2 = (Hashes(data, w).of(start, end).view(np.int64) for w in (0, 1))
-            m = len(start)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, k1[i])), pa.array(np.full(m, k2[i])), *[pa.array(a[n]) for n in ("h", "pos", "lo", "hi")],
-                 pa.array(c1), pa.array(c2)], ["k1", "k2", "h", "pos", "lo", "hi", "c1", "c2"])
+def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return _mix(b.view(np.uint64) ^ (a.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per start of the runs that stand for themselves: identifiers at the offsets 0, q, 2q, ... of its window."""
-    offsets = list(range(0, SPAN - Q, Q)) + [SPAN - Q]
+    """Per start of the blocks that stand for themselves: the window's identifier, from those at 0, q, ... of it."""
+    offsets = [*range(0, SPAN - Q, Q), SPAN - Q]
     for part in slices(batches):
         k1, k2 = (part.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        out: list[list[np.ndarray]] = [[] for _ in range(6)]
         for i, text in enumerate(part.column(2).to_pylist()):
             data = np.frombuffer(text.encode(), np.uint8)
-            a = {n: np.array([x[n] for x in part.column(3)[i].as_py()], np.int64) for n in ("h", "pos", "lo", "hi", "n")}
-            both = [Hashes(data, w) for w in (0, 1)]
-            size = a["hi"] - a["lo"] + 1
+            blocks = part.column(3)[i].values
+            core, begin, size, n = (blocks.field(x).to_numpy(zero_copy_only=False) for x in ("core", "first", "size", "n"))
             of = np.repeat(np.arange(len(size)), size)
-            rel = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size) + a["lo"][of]
-            at = a["pos"][of] + rel
-            w = []
-            for hashes in both:
-                total = np.zeros(len(at), np.uint64)
+            rel = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
+            at = begin[of] + rel
+            found = [_pair(np.zeros(len(at)), core[of]) for _ in (0, 1)]
+            for w in (0, 1):
+                hashes = Hashes(data, w)
                 for o in offsets:
-                    total = _mix(total * np.uint64(31) + hashes.of(at + o, at + o + Q))
-                w.append(total.view(np.int64))
-            m = len(at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(m, k1[i])), pa.array(np.full(m, k2[i])), pa.array(a["h"][of]), pa.array(rel.astype(np.int32)),
-                 pa.array(at), pa.array(w[0]), pa.array(w[1]), pa.array(a["n"][of] == 1)],
-                ["k1", "k2", "h", "rel", "at", "w1", "w2", "open"])
+                    found[w] = _mix(found[w] * np.uint64(31) + hashes.of(at + o, at + o + Q))
+            for cell, value in zip(out, (np.full(len(at), k1[i]), np.full(len(at), k2[i]), at, found[0].view(np.int64), found[1].view(np.int64), n[of] == 1)):
+                cell.append(value)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["k1", "k2", "at", "w1", "w2", "open"])
 
 
-def repeated_starts(docs: DataFrame) -> DataFrame:
-    """(k1, k2, first, last): ranges of starts whose ``SPAN``-byte string also starts elsewhere."""
+def _prepared(docs: DataFrame) -> DataFrame:
+    """Every row with its size and digest, and its text where it holds a gram that is found elsewhere."""
     text = text_of(docs)
-    texts = docs.where(F.octet_length(text) >= SPAN).select(*row_keys(docs["doc_id"], text), text.alias("text"))
-    grams = stage(texts.mapInArrow(_buckets, "k1 bigint, k2 bigint, h bigint, n bigint"))
+    rows = docs.select("doc_id", *row_keys(docs["doc_id"], text), text.alias("text"))
+    grams = stage(rows.where(F.octet_length("text") >= SPAN).select("k1", "k2", "text").mapInArrow(
+        _buckets, "k1 bigint, k2 bigint, h bigint, n bigint"))
     shared = grams.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
     # A gram shared by very many documents is spread over salted keys.
     met = salted_join(grams, shared, ["h"], ["k1"], salts=4).groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
-    held = stage(texts.join(met, ["k1", "k2"]))
-    found = stage(held.select("k1", "k2", "text", "hs").mapInArrow(
-        _extended, "k1 bigint, k2 bigint, h bigint, pos bigint, lo int, hi int, r bigint, l bigint"))
-    key = ["k1", "k2"]
-    right = found.where("r is not null").groupBy("h", "r").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "r", F.lit(1).alias("has_r"))
-    left = found.where("l is not null").groupBy("h", "l").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h", "l", F.lit(1).alias("has_l"))
-    half = _half()
-    kept = salted_join(salted_join(found, right, ["h", "r"], ["k1", "pos"], "left", 4), left, ["h", "l"], ["k1", "pos"], "left", 4)
-    # A window that reaches less than the half to the right reaches the half to the left.
-    lowest = F.when(F.col("has_l").isNotNull(), F.col("lo")).otherwise(F.greatest(F.col("lo"), F.lit(Q + half - SPAN)))
-    highest = F.when(F.col("has_r").isNotNull(), F.col("hi")).otherwise(F.least(F.col("hi"), F.lit(-half)))
-    kept = kept.where("has_l is not null or has_r is not null").select(*key, "h", "pos", lowest.alias("lo"), highest.alias("hi")).where("lo <= hi")
-    listed = kept.groupBy(*key).agg(F.collect_set(F.struct("h", "pos", "lo", "hi")).alias("runs"))
-    bodies = held.select("k1", "k2", "text")
-    runs = stage(bodies.join(listed, key).select(*key, "text", "runs").mapInArrow(
-        _runs, "k1 bigint, k2 bigint, h bigint, pos bigint, lo bigint, hi bigint, c1 bigint, c2 bigint"))
-    same = ["h", "lo", "hi", "c1", "c2"]
-    contents = stage(runs.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k1", "k2", "pos")).alias("rep")))
-    whole = salted_join(runs, contents.where("n > 1").select(*same), same, ["k1", "pos"], salts=4).select(
-        *key, (F.col("pos") + F.col("lo")).alias("first"), (F.col("pos") + F.col("hi")).alias("last"))
-    mixed = contents.groupBy("h").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
-    alone = contents.join(mixed.select("h"), "h").select("rep.*", "h", "lo", "hi", "n").groupBy(*key).agg(
-        F.collect_set(F.struct("h", "pos", "lo", "hi", "n")).alias("runs"))
-    # Repeated rows hold the same runs; one of them is read.
-    one = bodies.join(alone, key).dropDuplicates(key)
-    starts = stage(one.select(*key, "text", "runs").mapInArrow(
-        _starts, "k1 bigint, k2 bigint, h bigint, rel int, at bigint, w1 bigint, w2 bigint, open boolean"))
-    window = ["h", "rel", "w1", "w2"]
+    return stage(rows.join(met, ["k1", "k2"], "left").select(
+        "doc_id", "k1", "k2", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
+        F.when(F.col("hs").isNotNull(), F.col("text")).alias("text"), "hs"))
+
+
+def repeated_starts(held: DataFrame) -> DataFrame:
+    """(k1, k2, firsts, size): runs of ``size`` starts whose ``SPAN``-byte strings also start elsewhere."""
+    key, full, window = ["k1", "k2"], ["core", "f1", "f2"], ["w1", "w2"]
+    blocks = stage(held.select("k1", "k2", "text", "hs").mapInArrow(
+        _blocks, "k1 bigint, k2 bigint, core bigint, f1 bigint, f2 bigint, size bigint, firsts array<bigint>"))
+    rep = F.struct("k1", "k2", F.col("firsts")[0].alias("first"), "size")
+    distinct = stage(blocks.groupBy(*full).agg(F.sum(F.size("firsts")).alias("n"), F.min(rep).alias("rep")))
+    whole = salted_join(blocks, distinct.where("n > 1").select(*full), full, ["k1"], salts=4).select(*key, "firsts", "size")
+    mixed = distinct.groupBy("core").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    alone = distinct.join(mixed.select("core"), "core").select("rep.*", "core", "n").groupBy(*key).agg(
+        F.collect_list(F.struct("core", "first", "size", "n")).alias("blocks"))
+    # Repeated rows hold the same blocks; one of them is read.
+    one = held.select("k1", "k2", "text").join(alone, key).dropDuplicates(key)
+    starts = stage(one.select(*key, "text", "blocks").mapInArrow(
+        _starts, "k1 bigint, k2 bigint, at bigint, w1 bigint, w2 bigint, open boolean"))
     twice = starts.groupBy(*window).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*window)
-    single = salted_join(starts.where("open"), twice, window, ["k1", "at"], salts=4).select(
-        *key, F.col("at").alias("first"), F.col("at").alias("last"))
-    return whole.unionByName(single).distinct()
+    single = salted_join(starts.where("open"), twice, window, ["k1", "at"], salts=4).groupBy(*key).agg(
+        F.collect_list("at").alias("firsts")).select(*key, "firsts", F.lit(1).cast("bigint").alias("size"))
+    return whole.unionByName(single)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -243,10 +227,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
             raw = np.frombuffer(text.encode(), np.uint8)
             edge = np.zeros(len(raw) + 1, np.int64)
-            first = np.array([r["first"] for r in ranges], np.int64)
-            last = np.array([r["last"] for r in ranges], np.int64)
-            np.add.at(edge, first, 1)
-            np.add.at(edge, last + SPAN, -1)
+            for r in ranges:
+                first = np.array(r["firsts"], np.int64)
+                np.add.at(edge, first, 1)
+                np.add.at(edge, first + r["size"] - 1 + SPAN, -1)
             gone = np.cumsum(edge)[:-1] > 0
             spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
             left = raw[~gone].tobytes()
@@ -258,15 +242,19 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per input row; ``kept``: the bytes left."""
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per input row.
+
+    ``kept``: the bytes left, null where nothing is removed.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
-    ranges = stage(repeated_starts(docs).groupBy("k1", "k2").agg(F.collect_list(F.struct("first", "last")).alias("ranges")))
-    text = text_of(docs)
-    rows = docs.select("doc_id", text.alias("text"), *row_keys(docs["doc_id"], text)).join(ranges, ["k1", "k2"], "left")
-    same = rows.where("ranges is null").select(
-        "doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_removed"),
-        F.lit(0).cast("bigint").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), F.encode("text", "UTF-8").alias("kept"))
-    cut = rows.where("ranges is not null").select("doc_id", "text", "ranges").mapInArrow(
+    rows = _prepared(docs)
+    held = rows.where("text is not null")
+    ranges = stage(repeated_starts(held).groupBy("k1", "k2").agg(F.collect_list(F.struct("firsts", "size")).alias("ranges")))
+    cut = held.join(ranges, ["k1", "k2"]).select("doc_id", "text", "ranges").mapInArrow(
         _cut, f"doc_id {kind}, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").select(
         "doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
-    return same.unionByName(cut)
+    none = F.lit(0).cast("bigint")
+    whole = rows.join(ranges.select("k1", "k2"), ["k1", "k2"], "left_anti").select(
+        "doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"),
+        F.lit(None).cast("binary").alias("kept"))
+    return whole.unionByName(cut)
