@@ -7,10 +7,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Mapping, Sequence
-from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
@@ -20,19 +18,14 @@ SCAN_BLOCK = 1 << 20
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="voxelloom-")
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only in local mode, where it may be unset."""
+    """The cluster's checkpoint folder; in local mode, where it may be unset, a folder of the warehouse."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return _local_folder()
+    return spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:").rstrip("/") + "/checkpoints"
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -44,7 +37,16 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/voxelloom-stage/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def discard(staged: DataFrame) -> None:
+    """Deletes a table of ``stage`` once nothing that is still to run reads it."""
+    spark = staged.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(staged.staged_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def salted_join(
