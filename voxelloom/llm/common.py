@@ -8,7 +8,7 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401  registers pa.compute
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ..scale import salted_join, stage
+from ..scale import discard, salted_join, stage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -76,4 +76,4 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2
             yield batch.slice(start)
 
 
-__all__ = ["join_few", "lower_ascii", "once", "row_keys", "salted_join", "slices", "stage", "table", "text_of", "without"]
+__all__ = ["discard", "join_few", "lower_ascii", "once", "row_keys", "salted_join", "slices", "stage", "table", "text_of", "without"]

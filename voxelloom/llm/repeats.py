@@ -28,9 +28,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_keys, salted_join, slices, stage, text_of
+from .common import discard, row_keys, salted_join, slices, stage, text_of
 
-SPAN, Q, STEP = 400, 160, 64
+SPAN, Q, STEP = 400, 160, 128
 BLOCK = 1 << 19  # starts handled at once
 
 _rng = np.random.default_rng(20240)
@@ -195,13 +195,18 @@ def _prepared(docs: DataFrame) -> DataFrame:
     shared = grams.groupBy("h").agg(F.sum("n").alias("total")).where("total > 1").select("h")
     # A gram shared by very many documents is spread over salted keys.
     met = salted_join(grams, shared, ["h"], ["k1"], salts=4).groupBy("k1", "k2").agg(F.collect_set("h").alias("hs"))
-    return stage(rows.join(met, ["k1", "k2"], "left").select(
+    out = stage(rows.join(met, ["k1", "k2"], "left").select(
         "doc_id", "k1", "k2", F.octet_length("text").cast("bigint").alias("n_bytes"), F.sha2("text", 256).alias("sha"),
         F.when(F.col("hs").isNotNull(), F.col("text")).alias("text"), "hs"))
+    discard(grams)
+    return out
 
 
-def repeated_starts(held: DataFrame) -> DataFrame:
-    """(k1, k2, firsts, size): runs of ``size`` starts whose ``SPAN``-byte strings also start elsewhere."""
+def repeated_starts(held: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """(k1, k2, firsts, size): runs of ``size`` starts whose ``SPAN``-byte strings also start elsewhere.
+
+    And the staged tables that they are read from.
+    """
     key, full, window = ["k1", "k2"], ["core", "f1", "f2"], ["w1", "w2"]
     blocks = stage(held.select("k1", "k2", "text", "hs").mapInArrow(
         _blocks, "k1 bigint, k2 bigint, core bigint, f1 bigint, f2 bigint, size bigint, firsts array<bigint>"))
@@ -218,7 +223,7 @@ def repeated_starts(held: DataFrame) -> DataFrame:
     twice = starts.groupBy(*window).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*window)
     single = salted_join(starts.where("open"), twice, window, ["k1", "at"], salts=4).groupBy(*key).agg(
         F.collect_list("at").alias("firsts")).select(*key, "firsts", F.lit(1).cast("bigint").alias("size"))
-    return whole.unionByName(single)
+    return whole.unionByName(single), [blocks, distinct, starts]
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +254,10 @@ def remove(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _prepared(docs)
     held = rows.where("text is not null")
-    ranges = stage(repeated_starts(held).groupBy("k1", "k2").agg(F.collect_list(F.struct("firsts", "size")).alias("ranges")))
+    found, used = repeated_starts(held)
+    ranges = stage(found.groupBy("k1", "k2").agg(F.collect_list(F.struct("firsts", "size")).alias("ranges")))
+    for step in used:
+        discard(step)
     cut = held.join(ranges, ["k1", "k2"]).select("doc_id", "text", "ranges").mapInArrow(
         _cut, f"doc_id {kind}, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").select(
         "doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
