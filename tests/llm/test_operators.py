@@ -96,13 +96,14 @@ def test_decontamination(spark, corpus):
         words = text.split()
         return " ".join("zzz" if i % every == every - 1 else w for i, w in enumerate(words))
     cases = [prose(rng, 50) + " " + items[0][1] + " " + prose(rng, 50), prose(rng, 9) + " " + spoilt(items[2][1], 8),
-             spoilt(items[3][1], 2), items[1][1].upper(), prose(rng, 200), items[1][1][:40]]
+             spoilt(items[3][1], 2), items[1][1].upper(), prose(rng, 200), items[1][1][:40],
+             items[0][1] + " " + prose(rng, 80) + " " + items[2][1]]
     docs = spark.createDataFrame([(100 + i, t, "en", "a", 1, 0) for i, t in enumerate(cases)], DOCS).unionByName(corpus)
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, bench).collect()}
-    assert found == {(100, 0), (101, 2), (103, 1)}
+    assert found == {(100, 0), (101, 2), (103, 1), (106, 0), (106, 2)}
     left = decontaminate.decontaminated(docs, bench)
-    assert left.columns == docs.columns and left.count() == docs.count() - 3
+    assert left.columns == docs.columns and left.count() == docs.count() - 4
 
 
 def test_stretch_is_the_best_one():

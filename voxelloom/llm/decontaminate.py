@@ -29,7 +29,7 @@ from .common import row_keys, slices, stage, text_of, without
 
 MASKS = ("11101011", "1101001011", "1110010101", "1011000110011")
 LEAST, IDENTITY, MISMATCH = 13, 0.8, 3
-FILTER_BITS = 23
+FILTER_BITS = 25  # each hash sets two of 2^25 bits
 NEAR = 64  # hits closer than this share a region; regions keep as many tokens on either side, at least
 REMEMBERED = 500_000
 
@@ -87,9 +87,10 @@ def _items(benchmark: DataFrame) -> DataFrame:
 
 
 def _filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """Bit map over the leading bits of all hashes: 2^bits bits, however many hashes there are."""
-    place = F.shiftrightunsigned("h", 64 - bits)
-    words = seeds.select(place.alias("place")).select(
+    """Bit map over two parts of all hashes: 2^bits bits, however many hashes there are."""
+    one = F.shiftrightunsigned("h", 64 - bits)
+    two = F.shiftrightunsigned("h", 64 - 2 * bits).bitwiseAND(F.lit((1 << bits) - 1))
+    words = seeds.select(F.explode(F.array(one, two)).alias("place")).select(
         F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place % 64 as int))").alias("bit"))
     rows = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toPandas()
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
@@ -98,19 +99,20 @@ def _filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, passing, reach: int, bits: int = FILTER_BITS) -> DataFrame:
-    """Stretches of documents around windows that pass the filter: (doc_id, k1, k2, start, ids, seeds)."""
+    """Stretches of documents around windows that pass the filter: (doc_id, k1, k2, hit, start, ids, seeds)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = np.unpackbits(passing.value, bitorder="little").astype(bool)
         for part in slices(batches):
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], [], []]
             doc_ids, k1, k2 = (part.column(i).to_pylist() for i in range(3))
             for d, a, b, text in zip(doc_ids, k1, k2, part.column(3).to_pylist()):
                 ids = tokens(text)
                 at, hashes = [], []
                 for h in masked(ids):
                     hit = np.flatnonzero(present[(h >> np.uint64(64 - bits)).astype(np.int64)])
+                    hit = hit[present[((h[hit] >> np.uint64(64 - 2 * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]]
                     at.append(hit)
                     hashes.append(h[hit])
                 pos, h = np.concatenate(at), np.concatenate(hashes)
@@ -121,17 +123,17 @@ def _regions(docs: DataFrame, passing, reach: int, bits: int = FILTER_BITS) -> D
                 for cut in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > NEAR) + 1):
                     start, stop = max(int(pos[cut[0]]) - reach, 0), int(pos[cut[-1]]) + reach + NEAR
                     seeds = [{"h": x, "p": y} for x, y in zip(h[cut].view(np.int64).tolist(), (pos[cut] - start).tolist())]
-                    for cell, value in zip(out, (d, a, b, start, ids[start:stop].view(np.int64), seeds)):
+                    for cell, value in zip(out, (d, a, b, int(pos[cut[0]]), start, ids[start:stop].view(np.int64), seeds)):
                         cell.append(value)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out[0], part.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.list_(pa.int64())),
-                 pa.array(out[5], pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int64())])))],
-                ["doc_id", "k1", "k2", "start", "ids", "seeds"])
+                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.list_(pa.int64())),
+                 pa.array(out[6], pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int64())])))],
+                ["doc_id", "k1", "k2", "hit", "start", "ids", "seeds"])
 
     text = text_of(docs)
     return docs.select("doc_id", *row_keys(docs["doc_id"], text), text.alias("text")).mapInArrow(
-        run, f"doc_id {kind}, k1 bigint, k2 bigint, start bigint, ids array<bigint>, seeds array<struct<h:bigint,p:bigint>>")
+        run, f"doc_id {kind}, k1 bigint, k2 bigint, hit bigint, start bigint, ids array<bigint>, seeds array<struct<h:bigint,p:bigint>>")
 
 
 def stretch(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -175,13 +177,13 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     longest = items.agg(F.max(F.size("ids"))).first()[0] or 0
     passing = spark.sparkContext.broadcast(np.packbits(_filter(seeds), bitorder="little"))
     regions = stage(_regions(docs, passing, longest + NEAR))
-    region = ["k1", "k2", "start"]
+    region = ["k1", "k2", "hit"]  # its first hit names a region of a text
     hits = regions.select(*region, F.explode("seeds").alias("s")).select(*region, F.col("s.h").alias("h"), F.col("s.p").alias("at"))
     lines = hits.join(seeds, "h").select(*region, "row", (F.col("at") - F.col("p")).alias("diagonal")).distinct()
     pairs = lines.join(items.select("row", "item_id", F.col("ids").alias("item_ids")), "row").join(
         regions.drop("seeds").dropDuplicates(region), region)
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id")))
-    found = _verified(pairs.select("doc_id", *region, "ids", "item_id", "item_ids", "diagonal"), doc_kind, item_kind)
+    found = _verified(pairs.select("doc_id", "k1", "k2", "start", "ids", "item_id", "item_ids", "diagonal"), doc_kind, item_kind)
     best = found.groupBy("doc_id", "k1", "k2", "item_id").agg(
         F.max(F.struct(
             "n_equal", (-F.col("n_tokens")).alias("shorter"), (-F.col("first_token")).alias("earlier"), "item_tokens")).alias("b"))
