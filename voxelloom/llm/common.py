@@ -35,7 +35,8 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose keys are not among those of ``gone`` (k1, k2), all columns unchanged."""
     rows = _keyed(docs)
     same = (rows["_key1"] == gone["k1"]) & (rows["_key2"] == gone["k2"])
-    return rows.join(gone, same, "left_anti").select(*_names(docs))
+    # Always over sorted shuffles: the plan is the same at every size, and nothing grows into a broadcast.
+    return rows.join(gone.hint("merge"), same, "left_anti").select(*_names(docs))
 
 
 def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
