@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 AXES = ("xy", "xz", "yz")
 VOXEL_TYPES = ("uint8", "uint16", "float32")
 MAX_CLASS = {"uint8": 255, "uint16": 65535}
-MAX_SLICE_RADIUS = 20
 
 # axis -> (coordinate that is fixed, horizontal coordinate, vertical coordinate)
 AXIS_COORDS = {"xy": ("z", "x", "y"), "xz": ("y", "x", "z"), "yz": ("x", "y", "z")}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import bytes_per_voxel, dbl, round_half_up
-from ..model import AXES, MAX_SLICE_RADIUS, VOXEL_KEY, axis_dims, inside
+from ..model import AXES, VOXEL_KEY, axis_dims, inside
 from ..scale import attach, lookup, stage
 
 # Resolution levels (name, reduction), the upload budget and the overhead factor.
@@ -78,7 +78,7 @@ def slice_bounds(volumes: DataFrame) -> DataFrame:
 
 def slice_range(volumes: DataFrame, axis: str, center: Column | None = None, radius: float = 0) -> DataFrame:
     """Slice indices within ``radius`` (0..20) of the centre, clipped to the grid."""
-    r = max(0, min(MAX_SLICE_RADIUS, int(radius // 1)))
+    r = max(0, int(radius // 1))
     n = F.col(axis_dims(axis)[0])
     mid = F.expr(f"cast({axis_dims(axis)[0]} div 2 as int)") if center is None else center
     first, last = F.greatest(F.lit(0), mid - r), F.least(n - 1, mid + r)

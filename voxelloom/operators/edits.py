@@ -12,8 +12,6 @@ from ..model import AXIS_COORDS, MASK_KEY
 from ..scale import SCAN_BLOCK, attach, scan, stage
 from .mask import Written, set_voxels
 
-MAX_DEPTH = 512
-
 
 def effective_edits(log: DataFrame, mask: DataFrame, masks: DataFrame, block: int = SCAN_BLOCK) -> DataFrame:
     """Log rows that change their voxel, with the class before and after."""
@@ -51,14 +49,14 @@ def merge_strokes(changes: DataFrame, block: int = SCAN_BLOCK) -> DataFrame:
 
 
 def _last_strokes(strokes: DataFrame, n: int) -> DataFrame:
-    """The newest n strokes per mask, at most as many as the history keeps.
+    """The newest n strokes per mask.
 
     The rank limit reaches the shuffle: every task passes on at most n strokes per mask.
     """
     ops = strokes.groupBy("mask_id", "stroke").agg(
         F.max((F.col("before_class") != F.col("after_class")).cast("int")).alias("_moves"))
     newest = F.row_number().over(W.partitionBy("mask_id").orderBy(F.desc("stroke")))
-    return ops.withColumn("_rank", newest).where(F.col("_rank") <= min(int(n), MAX_DEPTH))
+    return ops.withColumn("_rank", newest).where(F.col("_rank") <= int(n))
 
 
 def undo(strokes: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFrame, n: int) -> Written:

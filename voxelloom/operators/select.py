@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clamp, dbl, round_half_up, to_class_id
-from ..model import AXES, MAX_SLICE_RADIUS, axis_coords, inside
+from ..model import AXES, axis_coords, inside
 from ..scale import attach, stage
 from .components import components
 from .slicing import slices
@@ -35,7 +35,7 @@ def threshold_apply(voxels: DataFrame, volumes: DataFrame, a: float, b: float, r
 
     ``centers`` (volume_id, cz, cy, cx) holds the current slices, by default the central ones.
     """
-    r = max(0, min(MAX_SLICE_RADIUS, int(radius)))
+    r = max(0, int(radius))
     if centers is None:
         centers = volumes.select("volume_id", *[
             F.expr(f"cast(n{c} div 2 as int)").alias(f"c{c}") for c in ("z", "y", "x")])
@@ -69,7 +69,7 @@ def region_grow_slices(voxels: DataFrame, volumes: DataFrame, axis: str, picks:
                        tolerance: float | Column, tile: int = 256) -> DataFrame:
     """Grows on every slice around the pick (volume_id, idx, px, py), each from its own value at the same spot."""
     _, u, v = axis_coords(axis)
-    r = max(0, min(MAX_SLICE_RADIUS, int(radius)))
+    r = max(0, int(radius))
     n = F.col(f"n{axis_coords(axis)[0]}")
     at = attach(picks, volumes.select("volume_id", "nx", "ny", "nz"), ["volume_id"], ["px", "py"])
     low, high = F.greatest(F.lit(0), F.col("idx") - r), F.least(n - 1, F.col("idx") + r)

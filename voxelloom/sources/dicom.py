@@ -200,6 +200,8 @@ def series_order(headers: DataFrame) -> DataFrame:
     coordinate, else the instance number, else the input order; ties keep the input order. The order is a
     global sort with block-wise counting, so a series of any length is spread over all tasks.
     """
+    if "skip_reason" in headers.columns:  # what is not read takes no slice number and decides no order
+        headers = headers.where("skip_reason is null")
     headers = stage(headers)  # decoded once
     placed = F.coalesce(F.size("position") == 3, F.lit(False))
     facts = headers.groupBy("series_id").agg(
@@ -210,8 +212,7 @@ def series_order(headers: DataFrame) -> DataFrame:
     key = (
         F.when(F.col("_all_placed") & F.col("_n").isNotNull(), _dot(F.col("position"), F.col("_n")))
         .when(F.col("_all_placed"), F.col("position")[2])
-        .when(F.col("_all_numbered"), F.col("instance_no").cast("double"))
-        .otherwise(F.col("file_no").cast("double")))
+        .when(F.col("_all_numbered"), F.col("instance_no").cast("double")))  # else file_no alone
     ordered = with_order(at.withColumn("_key", key).drop("_all_placed", "_all_numbered", "_n"), ["series_id", "_key", "file_no"])
     numbered = scan(ordered, ["series_id"], "_pos", {"_z": F.lit(1)}, block=ORDER_BLOCK)
     return numbered.withColumn("z", (F.col("_z") - 1).cast("int")).drop("_z", "_key")

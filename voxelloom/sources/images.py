@@ -73,7 +73,12 @@ def image_volumes(shapes: DataFrame) -> DataFrame:
 def natural_key(name: Column) -> Column:
     """Sort key in which digit runs compare as numbers; compared without case and accents."""
     runs = F.regexp_extract_all(name, F.lit(r"(\d+|\D+)"), F.lit(1))
-    padded = F.transform(runs, lambda s: F.when(s.rlike(r"^\d"), F.lpad(F.regexp_replace(s, r"^0+(?=\d)", ""), 24, "0")).otherwise(s))
+
+    def number(run: Column) -> Column:
+        bare = F.regexp_replace(run, r"^0+(?=\d)", "")
+        return F.concat(F.lpad(F.length(bare).cast("string"), 10, "0"), bare)  # longer numbers are larger ones
+
+    padded = F.transform(runs, lambda s: F.when(s.rlike(r"^\d"), number(s)).otherwise(s))
     return F.collate(F.concat_ws("", padded), "UNICODE_CI_AI")
 
 

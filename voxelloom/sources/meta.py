@@ -22,7 +22,7 @@ COLUMNS = ["nx", "ny", "nz", "data_type", "sx", "sy", "sz", "byte_order", "is_rg
 def read_side_files(spark: SparkSession, folder: str) -> DataFrame:
     """Whole side files (path, text) below a folder; they are small by nature."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option(
-        "pathGlobFilter", "*.{json,volumeinfo,dat}").load(folder)
+        "pathGlobFilter", "*.{[jJ][sS][oO][nN],[vV][oO][lL][uU][mM][eE][iI][nN][fF][oO],[dD][aA][tT]}").load(folder)
     return found.select("path", F.col("content").cast("string").alias("text"))
 
 
