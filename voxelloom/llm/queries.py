@@ -57,5 +57,5 @@ def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_bucket_refined_repeats, op2_spaced_seed_decontamination, op3_license_scan, op4_quality_discriminant,
-        op5_simhash_near_dedup, op6_disclosure_scan, op8_exact_dedup, op9_byte_bpe, op10_toxicity_gru)
+        op5_simhash_near_dedup, op6_disclosure_scan, op7_template_extraction, op8_exact_dedup, op9_byte_bpe, op10_toxicity_gru)
 }
