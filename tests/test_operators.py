@@ -335,3 +335,38 @@ def test_invariants(spark, grid):
 def test_slice_bounds_error(spark, grid):
     _, volumes = grid(a=np.zeros((2, 3, 4)))
     assert slicing.out_of_bounds(volumes, "xy", 2).count() == 1 and slicing.out_of_bounds(volumes, "xy", 1).count() == 0
+
+
+def test_nan_has_no_part_in_ranges_and_bins(spark):
+    values = [float("nan"), 1.0, 5.0, 3.0, float("nan"), float("nan")]
+    voxels = spark.createDataFrame([("v", 0, i // 3 * 8, i % 3, x) for i, x in enumerate(values)], "volume_id string, z int, y int, x int, v double")
+    volumes = spark.createDataFrame([("v", 3, 9, 1, 1.0, 5.0)], "volume_id string, nx int, ny int, nz int, vmin double, vmax double")
+    assert histogram.histogram256(voxels, volumes).agg(F.sum("n")).first()[0] == 3
+    got = {r.by: (r.vmin, r.vmax, r.n) for r in catalog.brick_minmax(voxels).collect()}
+    assert got == {0: (1.0, 5.0, 3), 1: (3.0, 3.0, 3)}
+    rays = {r.col: (r.vmin, r.vmax, r.vavg) for r in projection.project(voxels, "xz").collect()}
+    assert all(None in x or not np.isnan(x).any() for x in rays.values())
+    assert projection.project_visible(voxels, "xz", 4.0).agg(F.max("vmax")).first()[0] == 5.0
+
+
+@pytest.mark.parametrize("values", [
+    [float("-inf"), -1.0, 0.5, 0.5, 2.0, 7.0, float("inf"), float("inf")], [-1.7e308, 1.0, 1.7e308, 3.0, 2.0, -5.0],
+    [5e-324, 1e-323, 1.5e-323, 0.0, 2e-323, 3e-323], [float("inf"), float("-inf"), 1.0]])
+def test_quantiles_with_infinities_end(spark, values):
+    cells = spark.createDataFrame([("g", x, i) for i, x in enumerate(values)], "g string, value double, idx int")
+    probs = [i / (len(values) - 1) for i in range(len(values))]
+    got = histogram.exact_quantiles(cells, ["g"], "value", probs, limit=2).collect()
+    assert sorted(r.q for r in got) == probs
+    middle = {round(r.q * (len(values) - 1)): r.value for r in got}
+    want = sorted(values)
+    assert [middle[i] for i in range(len(want))] == want
+
+
+def test_class_ids_above_255_are_kept(spark):
+    mask = spark.createDataFrame([("m", 0, 0, 0, 300), ("m", 0, 0, 1, 70)], "mask_id string, z int, y int, x int, class_id int")
+    masks = spark.createDataFrame([("m", "v")], "mask_id string, volume_id string")
+    volumes = spark.createDataFrame([("v", 2, 1, 1)], "volume_id string, nx int, ny int, nz int")
+    targets = spark.createDataFrame([("v", 1, 1, 1)], "volume_id string, tx int, ty int, tz int")
+    assert [r.class_id for r in resample.label_scatter(mask, masks, volumes, targets).collect()] == [300]
+    assert [r.class_id for r in resample.label_scatter(mask, masks, volumes, targets, display=True).collect()] == [70]
+    assert [r.class_id for r in resample.label_downsample(mask, masks, volumes, targets).collect()] == [300]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from voxelloom.operators import measure, rle
 from voxelloom.plans.files import dicom_bytes, nifti_bytes
-from voxelloom.sources import bricks, dicom, exchange, files, images, meta, nifti, raw
+from voxelloom.sources import bricks, dicom, exchange, files, images, meta, nifti, raw, slabs
 
 
 def array_of(voxels):
@@ -133,6 +133,32 @@ def test_dicom_multiframe_signed_and_nested(spark, tmp_path):
     np.testing.assert_allclose(array_of(dicom.read_dicom(dicom.series_order(heads))), frames + 5.0)
 
 
+def test_dicom_several_multiframe_files_and_mixed_sizes(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(4)
+    one, two, three = (rng.integers(0, 500, (n, 2, 4)) for n in (3, 1, 5))
+    for name, frames, no in (("b", two, 2), ("a", one, 1), ("c", three, 3)):
+        (tmp_path / f"{name}.dcm").write_bytes(dicom_bytes(frames, 0, no, no, frames=len(frames), slope=0, intercept=0))
+    content = spark.read.format("binaryFile").load(str(tmp_path)).select("path", "content")
+    heads = dicom.admit(dicom.decode_headers(content)).select("*", F.lit("s").alias("series_id"), F.col("path").alias("file_no"))
+    ordered = dicom.series_order(heads.withColumn("position", F.lit(None).cast("array<double>")))
+    want = np.concatenate([one, two, three])
+    np.testing.assert_allclose(array_of(dicom.read_dicom(ordered)), want)
+    np.testing.assert_allclose(array_of(dicom.read_dicom(ordered, content)), want)
+    monkeypatch.setattr(slabs, "SLAB_BYTES", 40)  # two frames
+    assert dicom.pixel_slabs(dicom.with_frames(ordered)).count() == 6
+    np.testing.assert_allclose(array_of(dicom.read_dicom(ordered)), want)
+    mixed = ordered.withColumn("rows", F.when(F.col("frames") == 1, 1).otherwise(F.col("rows")))
+    assert dicom.read_dicom(mixed).count() == 0
+    assert {r.skip_reason for r in dicom.with_frames(mixed).collect()} == {"slices of the series differ in size"}
+
+
+def test_small_rows_are_spread_before_they_grow(spark):
+    grid = spark.sql("select 'v' volume_id, 'none' path, cast(null as binary) content, false gzip, 0L offset, '<u2' kind, 5120 nx, "
+                     "5120 ny, 400 nz, 2L bpv, 1.0D slope, 0.0D intercept")
+    plan = slabs.plan_slabs(grid)
+    assert plan.count() == 400 and plan.rdd.getNumPartitions() == 400
+
+
 def png(rgb):
     h, w, _ = rgb.shape
     raw_ = b"".join(b"\0" + rgb[y].astype("u1").tobytes() for y in range(h))

@@ -73,3 +73,8 @@ def to_class_id(c: Column, max_class: int | Column = 255) -> Column:
     """Rounds to a class id and clamps it to the mask's range; non-finite values become 0."""
     finite = c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < F.lit(float("inf")))
     return F.when(finite, clamp(round_half_up(c.cast("double")), 0, max_class)).otherwise(0).cast("int")
+
+
+def number_or_null(c: str) -> Column:
+    """The value, null for NaN, which Spark would order above every number."""
+    return F.when(~F.isnan(dbl(c)), F.col(c))

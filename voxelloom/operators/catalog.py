@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import bytes_per_voxel, dbl, round_half_up
+from ..functions.numeric import bytes_per_voxel, dbl, number_or_null, round_half_up
 from ..model import AXES, VOXEL_KEY, axis_dims, inside
 from ..scale import attach, lookup, stage
 
@@ -77,7 +77,7 @@ def slice_bounds(volumes: DataFrame) -> DataFrame:
 
 
 def slice_range(volumes: DataFrame, axis: str, center: Column | None = None, radius: float = 0) -> DataFrame:
-    """Slice indices within ``radius`` (0..20) of the centre, clipped to the grid."""
+    """Slice indices within ``radius`` of the centre, clipped to the grid."""
     r = max(0, int(radius // 1))
     n = F.col(axis_dims(axis)[0])
     mid = F.expr(f"cast({axis_dims(axis)[0]} div 2 as int)") if center is None else center
@@ -167,10 +167,12 @@ def brick_of(size: int = ZONE) -> dict[str, Column]:
 
 
 def brick_minmax(voxels: DataFrame, size: int = ZONE) -> DataFrame:
+    """Range and size of every brick. NaN has no part in a range; a brick of nothing else has none."""
+    v = number_or_null("v")
     return (
         voxels.withColumns(brick_of(size))
         .groupBy("volume_id", "bz", "by", "bx")
-        .agg(F.min("v").alias("vmin"), F.max("v").alias("vmax"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(v).alias("vmin"), F.max(v).alias("vmax"), F.count(F.lit(1)).alias("n"))
     )
 
 

@@ -12,21 +12,19 @@ from ..functions.numeric import clamp, dbl
 from ..scale import attach, stage
 
 BINS = 256
-# Sampling caps, quantiles of the display windows and their overlap.
-THRESHOLD_SAMPLE_CAP = 65_536
-WINDOW_SAMPLE_CAP = 16_384
+# Quantiles of the display windows and their overlap.
 WINDOW_QUANTILES = (0.01, 0.20, 0.50, 0.80, 0.99)
 WINDOW_OVERLAP = 0.05
 MIN_WEIGHT = 1e-8
 
 
 def histogram256(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
-    """256 counts per volume between vmin and vmax, empty bins included; all zero for a flat volume."""
+    """256 counts per volume between vmin and vmax, empty bins included; all zero for a flat volume. NaN has no bin."""
     ranged = volumes.select("volume_id", "vmin", "vmax")
     span = F.col("vmax") - F.col("vmin")
     cells = attach(voxels.select("volume_id", "v", *_spread(voxels)), ranged, ["volume_id"], _spread(voxels))
     found = (
-        cells.where(span > 0)
+        cells.where((span > 0) & ~F.isnan(dbl("v")))
         .withColumn("bin", clamp(F.floor((dbl("v") - F.col("vmin")) / span * F.lit(255.0)), 0, 255).cast("int"))
         .groupBy("volume_id", "bin").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -169,25 +167,33 @@ def exact_quantiles(cells: DataFrame, keys: Sequence[str], value: str, probs: Se
 
     Values are first counted per group. While a span that holds a wanted rank still has more than ``limit``
     distinct values, it is cut into equal-width parts and only the parts with wanted ranks are kept, so the
-    closing window sorts at most ``limit`` rows.
+    closing window sorts at most ``limit`` rows. Infinities are parts of their own. The lowest and the highest finite
+    value of a span always fall in different parts, so every round leaves fewer distinct values and the loop ends.
     """
     keys = list(keys)
+    infinity = F.lit(float("inf"))
+    finite = F.when(F.abs("val") < infinity, F.col("val"))
     counts = stage(cells.where(~F.isnan(dbl(value))).groupBy(*keys, dbl(value).alias("val")).agg(
         F.count(F.lit(1)).alias("n")))
     totals = stage(counts.groupBy(*keys).agg(
-        F.sum("n").alias("total"), F.min("val").alias("lo"), F.max("val").alias("hi"), F.count("val").alias("m")))
+        F.sum("n").alias("total"), F.min("val").alias("lo"), F.max("val").alias("hi"), F.count("val").alias("m"),
+        F.min(finite).alias("flo"), F.max(finite).alias("fhi")))
     ranks = totals.select(*keys, "total", F.explode(F.array(*[F.lit(float(q)) for q in probs])).alias("q"))
     ranks = ranks.withColumn("_at", F.col("q") * dbl(F.col("total") - 1)).withColumns({
         "_r0": F.floor("_at"), "_r1": F.ceil("_at"), "_t": F.col("_at") - F.floor("_at")})
     targets = ranks.select(*keys, F.explode(F.array("_r0", "_r1")).alias("rank")).distinct()
-    spans = totals.select(*keys, "lo", "hi", F.lit(0).cast("bigint").alias("before"), "m")
+    spans = totals.select(*keys, "lo", "hi", F.lit(0).cast("bigint").alias("before"), "m", "flo", "fhi")
 
     def inside(some: DataFrame) -> DataFrame:
         return attach(counts, some, keys, ["val"]).where(F.col("val").between(F.col("lo"), F.col("hi")))
 
     while (spans.agg(F.max("m")).first()[0] or 0) > limit:
         wide = spans.where(F.col("m") > limit)
-        part = F.least(F.lit(4095), F.floor((F.col("val") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096.0))
+        width, half = F.col("fhi") - F.col("flo"), F.lit(0.5)
+        share = F.when(width < infinity, F.try_divide(F.col("val") - F.col("flo"), width)).otherwise(  # the width may overflow
+            (F.col("val") * half - F.col("flo") * half) / (F.col("fhi") * half - F.col("flo") * half))
+        part = F.when(F.col("val") == -infinity, -1).when(F.col("val") == infinity, 4096).otherwise(
+            F.least(F.lit(4095), F.floor(share * 4096.0).cast("int")))
         parts = inside(wide).groupBy(*keys, "lo", "hi", "before", part.alias("part")).agg(
             F.sum("n").alias("n"), F.min("val").alias("plo"), F.max("val").alias("phi"), F.count("val").alias("pm"))
         run = W.partitionBy(*keys, "lo").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -195,7 +201,8 @@ def exact_quantiles(cells: DataFrame, keys: Sequence[str], value: str, probs: Se
         kept = parts.join(targets, keys).where(
             (F.col("rank") >= F.col("start")) & (F.col("rank") < F.col("start") + F.col("n")))
         narrow = kept.select(*keys, F.col("plo").alias("lo"), F.col("phi").alias("hi"),
-                             F.col("start").alias("before"), F.col("pm").alias("m")).distinct()
+                             F.col("start").alias("before"), F.col("pm").alias("m"),
+                             F.col("plo").alias("flo"), F.col("phi").alias("fhi")).distinct()
         spans = stage(spans.where(F.col("m") <= limit).unionByName(narrow))
 
     run = W.partitionBy(*keys, "lo").orderBy("val").rowsBetween(W.unboundedPreceding, 0)
@@ -206,7 +213,8 @@ def exact_quantiles(cells: DataFrame, keys: Sequence[str], value: str, probs: Se
     low = ranks.join(hit.withColumnsRenamed({"rank": "_r0", "val": "_v0"}), [*keys, "_r0"])
     both = low.join(hit.withColumnsRenamed({"rank": "_r1", "val": "_v1"}), [*keys, "_r1"])
     return both.select(
-        *keys, "q", (F.col("_v0") * (F.lit(1.0) - F.col("_t")) + F.col("_v1") * F.col("_t")).alias("value"))
+        *keys, "q", F.when(F.col("_t") == 0, F.col("_v0")).otherwise(
+            F.col("_v0") * (F.lit(1.0) - F.col("_t")) + F.col("_v1") * F.col("_t")).alias("value"))
 
 
 def pseudo_rgb_windows(cells: DataFrame, keys: Sequence[str], value: str = "value",

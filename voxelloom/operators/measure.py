@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.numeric import auto_tolerance, clamp, dbl
+from ..functions.numeric import auto_tolerance, clamp, dbl, number_or_null
 from ..model import VOXEL_KEY, axis_dims
 from ..scale import BROADCAST_ROWS, attach
 from .catalog import voxel_count
@@ -41,7 +41,8 @@ def rect_range(rects: DataFrame, voxels: DataFrame, volumes: DataFrame, axis: st
         tiles = F.broadcast(tiles)
     hit = cells.join(tiles, ["volume_id", "idx", "_tv", "_tu"]).where(
         F.col("u").between(F.col("_u0"), F.col("_u1")) & F.col("v").between(F.col("_v0"), F.col("_v1")))
-    found = hit.groupBy("rect_id", "volume_id", "idx").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+    found = hit.groupBy("rect_id", "volume_id", "idx").agg(
+        F.min(number_or_null("value")).alias("vmin"), F.max(number_or_null("value")).alias("vmax"))
     return found.where(F.col("vmax") > F.col("vmin"))
 
 

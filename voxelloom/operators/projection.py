@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ..functions.numeric import clamp
+from ..functions.numeric import clamp, number_or_null
 from ..model import axis_coords
 from .catalog import brick_of
 
@@ -19,11 +19,13 @@ def _ray(axis: str) -> list[str]:
 def project(voxels: DataFrame, axis: str) -> DataFrame:
     """Maximum, minimum and average along each ray: (volume_id, v, u, vmax, vmin, vavg).
 
-    Sum and count aggregate map-side, so a shuffle carries one row per ray and task.
+    Sum and count aggregate map-side, so a shuffle carries one row per ray and task. NaN is left out; a ray of
+    nothing else has nulls.
     """
     _, u, v = axis_coords(axis)
+    value = number_or_null("v")
     return voxels.groupBy(*_ray(axis)).agg(
-        F.max("v").alias("vmax"), F.min("v").alias("vmin"), F.avg("v").alias("vavg"),
+        F.max(value).alias("vmax"), F.min(value).alias("vmin"), F.avg(value).alias("vavg"),
     ).select("volume_id", F.col(v).alias("row"), F.col(u).alias("col"), "vmax", "vmin", "vavg")
 
 
@@ -31,12 +33,12 @@ def project_visible(voxels: DataFrame, axis: str, display_min, size: int = 8) ->
     """Like ``project`` but bricks whose maximum lies below the display minimum contribute nothing.
 
     Voxels first shrink to one partial row per brick and ray; the brick maximum is a window over at most
-    size x size of these rows. Rays without a sample give 0.
+    size x size of these rows. NaN is left out. Rays without a sample give 0.
     """
     _, u, v = axis_coords(axis)
-    brick = ["volume_id", "bz", "by", "bx"]
+    brick, value = ["volume_id", "bz", "by", "bx"], number_or_null("v")
     parts = voxels.withColumns(brick_of(size)).groupBy(*brick, v, u).agg(
-        F.max("v").alias("hi"), F.min("v").alias("lo"), F.sum("v").alias("total"), F.count("v").alias("n"))
+        F.max(value).alias("hi"), F.min(value).alias("lo"), F.sum(value).alias("total"), F.count(value).alias("n"))
     seen = parts.withColumn("_shown", F.max("hi").over(W.partitionBy(*brick)) >= F.lit(display_min))
 
     def shown(c: str):

@@ -9,7 +9,7 @@ from ..model import DIM_OF
 from ..scale import attach
 from .catalog import LEVELS
 
-MAX_SHOWN_CLASS = 255
+MAX_SHOWN_CLASS = 255  # Fixed value: of the 8-bit display form.
 
 
 def z_decimate(voxels: DataFrame, step: int = 4) -> DataFrame:
@@ -72,16 +72,20 @@ def _mask_dims(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets: D
     return attach(mask, dims, ["mask_id"], ["z", "y", "x"])
 
 
-def label_downsample(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets: DataFrame) -> DataFrame:
+def _shown(display: bool):
+    return F.least("class_id", F.lit(MAX_SHOWN_CLASS)) if display else F.col("class_id")
+
+
+def label_downsample(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets: DataFrame, display: bool = False) -> DataFrame:
     """Most frequent class above 0 of each target cell; of equal counts, the class that got there first.
 
     Cell i of d covers [floor(i s / d), max(+1, floor((i + 1) s / d))) of s. The cells of a source index
-    follow by integer arithmetic, so no range join is needed. Classes above 255 count as 255. Scan order is
+    follow by integer arithmetic, so no range join is needed. With ``display`` classes above 255 count as 255. Scan order is
     linear, hence the class whose last voxel has the smallest linear index reached the top count first.
     """
     at = _mask_dims(mask.where(F.col("class_id") > 0), masks, volumes, targets)
     at = at.withColumns({
-        "class_id": F.least("class_id", F.lit(MAX_SHOWN_CLASS)),
+        "class_id": _shown(display),
         "_lin": F.expr("cast(x as bigint) + cast(y as bigint) * nx + cast(z as bigint) * nx * ny"),
     })
     for c in ("z", "y", "x"):
@@ -96,9 +100,13 @@ def label_downsample(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targ
     return best.select("mask_id", *[F.col(f"_{c}").cast("int").alias(c) for c in "zyx"], "class_id")
 
 
-def label_scatter(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets: DataFrame) -> DataFrame:
-    """Sparse variant: each voxel goes to floor(s d / n) and the highest class id of a cell wins."""
-    at = _mask_dims(mask.where(F.col("class_id").between(1, MAX_SHOWN_CLASS)), masks, volumes, targets)
+def label_scatter(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets: DataFrame, display: bool = False) -> DataFrame:
+    """Sparse variant: each voxel goes to floor(s d / n) and the highest class id of a cell wins.
+
+    With ``display`` classes above 255 are left out, as in an 8-bit texture.
+    """
+    shown = mask.where(F.col("class_id").between(1, MAX_SHOWN_CLASS) if display else F.col("class_id") > 0)
+    at = _mask_dims(shown, masks, volumes, targets)
     cell = [
         F.expr(f"cast(least(t{c} - 1, (cast({c} as bigint) * t{c}) div {DIM_OF[c]}) as int)").alias(c)
         for c in ("z", "y", "x")
@@ -106,7 +114,7 @@ def label_scatter(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets
     return at.groupBy("mask_id", *cell).agg(F.max("class_id").alias("class_id"))
 
 
-def label_upsample(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets: DataFrame) -> DataFrame:
+def label_upsample(mask: DataFrame, masks: DataFrame, volumes: DataFrame, targets: DataFrame, display: bool = False) -> DataFrame:
     """Nearest class for target grids that are at least as fine: every target cell takes the voxel at its start.
 
     Each mask row is repeated over the cells that start at it, so empty space costs nothing.
@@ -118,7 +126,7 @@ def label_upsample(mask: DataFrame, masks: DataFrame, volumes: DataFrame, target
         last = f"((cast({c} as bigint) + 1) * {d} - 1) div {s}"
         at = at.withColumn(f"_{c}", F.explode(F.expr(f"sequence({first}, {last})")))
     return at.select("mask_id", *[F.col(f"_{c}").cast("int").alias(c) for c in "zyx"],
-                     F.least("class_id", F.lit(MAX_SHOWN_CLASS)).alias("class_id"))
+                     _shown(display).alias("class_id"))
 
 
 def resize_nearest(cells: DataFrame, width: int, height: int) -> DataFrame:

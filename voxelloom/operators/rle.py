@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.numeric import dbl
 from ..model import coords_of_linear, linear_index
-from ..scale import SCAN_BLOCK, attach, scan, stage
+from ..scale import SCAN_BLOCK, attach, scan, spread_out, stage
 
 BINARY_ENCODING = "binary-rle-v1"
 LABEL_ENCODING = "label-rle-v1"
@@ -91,7 +91,7 @@ def expand_runs(runs: DataFrame, keep: Sequence[str], chunk: int = 1 << 16) -> D
     """One row per position of each run (st, len); long runs are cut up and spread before they grow."""
     cut = runs.select(*keep, "st", "len", F.explode(F.expr(f"sequence(st, st + len - 1, cast({chunk} as bigint))")).alias("_from"))
     cut = cut.withColumn("_to", F.least(F.col("_from") + chunk, F.col("st") + F.col("len")) - 1).drop("st", "len")
-    return cut.repartition(*keep, "_from").select(*keep, F.explode(F.expr("sequence(_from, _to)")).alias("linear"))
+    return spread_out(cut, *keep, "_from", per_task=16).select(*keep, F.explode(F.expr("sequence(_from, _to)")).alias("linear"))
 
 
 def rle_binary_decode(runs: DataFrame, headers: DataFrame, keys: Sequence[str],
@@ -157,7 +157,8 @@ def dense_rows(mask: DataFrame, masks: DataFrame, volumes: DataFrame) -> DataFra
     """Mask rows for every voxel of masks whose fill value is not 0; other masks stay sparse."""
     filled = masks.where(F.col("fill_value") != 0).join(volumes.select("volume_id", "nx", "ny", "nz"), "volume_id")
     rows = filled.select("mask_id", "fill_value", "nx", "ny", F.explode(F.expr("sequence(0, nz - 1)")).alias("z"))
-    rows = rows.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)"))).repartition("mask_id", "z", "y")
+    rows = rows.withColumn("y", F.explode(F.expr("sequence(0, ny - 1)")))
+    rows = spread_out(rows, "mask_id", "z", "y", per_task=1024)
     rows = rows.select("mask_id", "z", "y", F.explode(F.expr("sequence(0, nx - 1)")).alias("x"), "fill_value")
     return mask.join(rows, ["mask_id", "z", "y", "x"], "full_outer").select(
         "mask_id", "z", "y", "x", F.coalesce("class_id", "fill_value").cast("int").alias("class_id"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import clamp, dbl
 from ..model import axis_coords, axis_dims
-from ..scale import attach, lookup, stage
+from ..scale import attach, lookup, spread_out, stage
 
 
 def slices(voxels: DataFrame, axis: str, wanted: DataFrame | None = None) -> DataFrame:
@@ -41,7 +41,7 @@ def slice_grid(volumes: DataFrame, axis: str, wanted: DataFrame) -> DataFrame:
         .withColumn("v", F.explode(F.expr(f"sequence(0, {nv} - 1)")))
     )
     return (
-        rows.repartition("volume_id", "idx", "v")
+        spread_out(rows, "volume_id", "idx", "v", per_task=1024)
         .withColumn("u", F.explode(F.expr(f"sequence(0, {nu} - 1)")))
         .select("volume_id", F.lit(axis).alias("axis"), "idx", "v", "u")
     )

@@ -8,11 +8,9 @@ from __future__ import annotations
 
 from functools import cached_property
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.color import roi_color
-from ..model import VOLUMES
 
 # name -> (table, key, value expression, nx, ny)
 GRIDS = {
@@ -51,15 +49,17 @@ class Grids:
 
     @cached_property
     def volumes(self) -> DataFrame:
-        """The catalogue: one global aggregate per table gives its one row."""
+        """The catalogue: one global aggregate per table gives its one row, as part of the plan that asks for it."""
         rows = []
         for name, (table, key, value, nx, ny) in GRIDS.items():
             v = F.expr(f"cast(round({value} * 100) as int)")
-            n, lo, hi = self.table(table).agg(F.count(F.lit(1)), F.min(v).cast("double"), F.max(v).cast("double")).first()
-            rows.append(dict(zip(VOLUMES.fieldNames(), (
-                name, nx, ny, n // (nx * ny), "uint16", 0.5, 0.5, 2.0, "little-endian", False, lo, hi, table))))
-        # From Arrow, so that Spark plans it as a local relation.
-        return self.spark.createDataFrame(pa.Table.from_pylist(rows), VOLUMES)
+            found = self.table(table).agg(F.count(F.lit(1)).alias("n"), F.min(v).cast("double").alias("vmin"),
+                                          F.max(v).cast("double").alias("vmax"))
+            rows.append(found.selectExpr(
+                f"'{name}' as volume_id", f"{nx} as nx", f"{ny} as ny", f"cast(n div {nx * ny} as int) as nz",
+                "'uint16' as data_type", "0.5D as sx", "0.5D as sy", "2.0D as sz", "'little-endian' as byte_order",
+                "false as is_rgb", "vmin", "vmax", f"'{table}' as description"))
+        return rows[0].unionByName(rows[1])
 
     @cached_property
     def mask(self) -> DataFrame:

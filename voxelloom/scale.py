@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 
 BROADCAST_ROWS = 200_000
 SALTS = 32
+MOST_TASKS = 50_000  # of one shuffle; beyond that a task takes several rows
 SCAN_BLOCK = 1 << 20
 _PARTITION_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 
@@ -49,6 +50,15 @@ def discard(staged: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread_out(rows: DataFrame, *keys: str, per_task: int = 1) -> DataFrame:
+    """Deals small rows that are about to grow over tasks by their number.
+
+    Adaptive execution merges partitions by their size before they grow, unless their number is given.
+    """
+    tasks = min(MOST_TASKS, -(-rows.count() // per_task))
+    return rows.repartition(max(1, tasks), *keys)
+
+
 def salted_join(
     big: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
     how: str = "inner", salts: int = SALTS,

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..functions.numeric import number_or_null
 from ..model import VOXELS
 from ..scale import attach
 
@@ -24,7 +25,7 @@ def to_bricks(voxels: DataFrame, volumes: DataFrame, size: int = SIZE) -> DataFr
     pos = F.expr(f"x % {size} + (y % {size}) * size_x + (z % {size}) * size_x * size_y").alias("p")
     packed = at.select(*BRICK, "size_z", "size_y", "size_x", F.struct(pos, F.col("v").cast("float").alias("v")).alias("c"))
     return packed.groupBy(*BRICK, "size_z", "size_y", "size_x").agg(
-        F.min("c.v").alias("vmin"), F.max("c.v").alias("vmax"), F.array_sort(F.collect_list("c")).alias("_c"),
+        F.min(number_or_null("c.v")).alias("vmin"), F.max(number_or_null("c.v")).alias("vmax"), F.array_sort(F.collect_list("c")).alias("_c"),
     ).select(*BRICK, "size_z", "size_y", "size_x", "vmin", "vmax", F.col("_c.v").alias("vals"))
 
 

@@ -8,7 +8,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..scale import ORDER_BLOCK, attach, scan, stage, with_order
+from ..scale import ORDER_BLOCK, attach, scan, spread_out, stage, with_order
 from . import slabs
 
 # Value representations with a 32-bit length, transfer syntaxes and the valid representations.
@@ -250,33 +250,48 @@ def series_spacing(ordered: DataFrame) -> DataFrame:
 def pixel_slabs(ordered: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Slabs of admitted files of ``with_frames``; frames of a multi-frame file follow each other as slices.
 
-    Without ``contents`` (path, content) the files are opened by path when the slabs are read.
+    Without ``contents`` (path, content) the files are opened by path when the slabs are read, and a file with many
+    frames is cut into slabs of about 50 MB.
     """
     kind = F.when(F.col("bits_allocated") == 8, "<u1").when(F.col("pixel_representation") == 1, "<i2").otherwise("<u2")
+    frame = F.col("rows").cast("bigint") * F.col("cols") * F.expr("bits_allocated div 8")
     at = ordered.where(F.col("skip_reason").isNull())
     if contents is not None:
-        at = at.join(contents.select("path", "content"), "path")
+        at = at.join(contents.select("path", "content"), "path").withColumn("_from", F.lit(0))
+        step = F.col("_slices")
     else:
-        at = at.withColumn("content", F.lit(None).cast("binary"))
+        step = F.greatest(F.lit(1), F.floor(F.lit(slabs.SLAB_BYTES) / frame)).cast("int")
+        at = at.withColumns({"content": F.lit(None).cast("binary"),
+                             "_from": F.explode(F.sequence(F.lit(0), F.col("_slices") - 1, step))})
     return at.select(
         F.col("series_id").alias("volume_id"), "path", "content", F.lit(False).alias("gzip"),
-        F.col("pixel_offset").alias("offset"), kind.alias("kind"), F.col("cols").alias("nx"), F.col("rows").alias("ny"),
-        F.col("z").alias("z0"), F.col("_slices").alias("slices"),
+        (F.col("pixel_offset") + F.col("_from") * frame).alias("offset"), kind.alias("kind"), F.col("cols").alias("nx"), F.col("rows").alias("ny"),
+        (F.col("z") + F.col("_from")).alias("z0"), F.least(step, F.col("_slices") - F.col("_from")).alias("slices"),
         F.when(F.coalesce("slope", F.lit(0.0)) == 0, 1.0).otherwise(F.col("slope")).alias("slope"),
         F.coalesce("intercept", F.lit(0.0)).alias("intercept"))
 
 
 def with_frames(ordered: DataFrame) -> DataFrame:
-    """A series of a single multi-frame file takes its frames as slices; otherwise a file is one slice."""
-    sizes = ordered.groupBy("series_id").agg(F.count(F.lit(1)).alias("_files"))
-    at = attach(ordered, sizes, ["series_id"], ["file_no"])
-    many = (F.col("_files") == 1) & (F.col("frames") > 1)
+    """Frames of multi-frame files follow each other as slices, file by file in the order of ``series_order``.
+
+    Fills ``skip_reason`` for files with too few pixels and for all files of a series whose slices differ in size.
+    """
+    shapes = ordered.groupBy("series_id").agg(
+        ((F.min("rows") == F.max("rows")) & (F.min("cols") == F.max("cols"))).alias("_alike"))
+    at = attach(ordered, shapes, ["series_id"], ["file_no"])
+    many = F.col("frames") > 1
     need = F.col("rows").cast("bigint") * F.col("cols") * F.col("frames") * F.expr("bits_allocated div 8")
-    at = at.withColumn("skip_reason", F.coalesce("skip_reason", F.when(
-        many & (F.col("pixel_length") < need), F.lit("multi-frame pixel data too short"))))
-    return at.withColumn("_slices", F.when(many, F.col("frames")).otherwise(1).cast("int")).drop("_files")
+    at = at.withColumn("skip_reason", F.coalesce(
+        "skip_reason", F.when(~F.col("_alike"), F.lit("slices of the series differ in size")),
+        F.when(many & (F.col("pixel_length") < need), F.lit("multi-frame pixel data too short")))).drop("_alike")
+    frames = F.when(F.col("skip_reason").isNotNull(), 0).when(many, F.col("frames")).otherwise(1).cast("int")
+    counted = scan(at.withColumn("_slices", frames), ["series_id"], "_pos", {"_through": F.col("_slices")}, block=ORDER_BLOCK)
+    return counted.withColumn("z", (F.col("_through") - F.col("_slices")).cast("int")).drop("_through")
 
 
 def read_dicom(ordered: DataFrame, contents: DataFrame | None = None) -> DataFrame:
     """Rescaled voxels (volume_id = series_id) of ordered headers."""
-    return slabs.read_slabs(pixel_slabs(with_frames(ordered), contents))
+    framed = stage(with_frames(ordered))
+    if contents is not None:  # the bytes travel with the rows, whose size tells how to deal them
+        return slabs.read_slabs(pixel_slabs(framed, contents))
+    return slabs.read_slabs(spread_out(pixel_slabs(framed), "path", "z0"))

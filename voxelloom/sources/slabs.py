@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import GRAY_WEIGHTS
 from ..model import VOXELS
+from ..scale import spread_out
 
 # Fixed value: target size of a slab.
 SLAB_BYTES = 50 * 1024 * 1024
@@ -109,4 +110,4 @@ def plan_slabs(files: DataFrame, z_from: int | None = None, z_to: int | None = N
         "slices": F.least(F.col("_step"), F.col("_last") - F.col("z0") + 1),
         "offset": F.col("offset") + F.col("z0").cast("bigint") * size,
     })
-    return cut.select(*SLAB_COLUMNS).repartition("path", "z0")
+    return spread_out(cut.select(*SLAB_COLUMNS), "path", "z0")
