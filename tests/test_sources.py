@@ -91,6 +91,24 @@ def test_nifti_types(spark, tmp_path, code, kind):
     assert spacing == {"NIfTI": (0.5, 0.5, 2.0), "NIfTI (first volume)": (1.0, 1.0, 3.0)}
 
 
+def test_nifti_time_points(spark, tmp_path):
+    grid = np.random.default_rng(7).integers(0, 100, (6, 2, 3, 4)).astype("<i2")  # 3 times 2 volumes of 2 slices
+    data = bytearray(nifti_bytes(grid[0], 4, "<", dim4=3) + grid[1:].tobytes())
+    struct.pack_into("<h", data, 40, 5)
+    struct.pack_into("<h", data, 50, 2)
+    (tmp_path / "a.nii").write_bytes(bytes(data))
+    (tmp_path / "b.nii.gz").write_bytes(gzip.compress(bytes(data)))
+    (tmp_path / "c.nii").write_bytes(b"bad")
+    heads = nifti.decode_headers(files.list_files(spark, str(tmp_path)))
+    every = nifti.time_points(heads)
+    assert every.count() == 13 and every.columns == heads.columns
+    v = nifti.read_nifti(every).cache()
+    for t in range(6):
+        for name in ("a.nii", "b.nii.gz"):
+            np.testing.assert_array_equal(array_of(v.where(F.col("volume_id").endswith(f"{name}#{t}"))), grid[t])
+    np.testing.assert_array_equal(array_of(nifti.read_nifti(heads.where(F.col("path").endswith("a.nii")))), grid[0])
+
+
 def test_nifti_refusals():
     good = nifti_bytes(np.zeros((1, 1, 1), "u1"), 2)
     assert nifti.decode_header(b"x")["reject_reason"] == "invalid NIfTI header"

@@ -35,6 +35,33 @@ def test_edits_over_several_batches(spark, grid, labels, tmp_path):
     assert again[1] == got[1].voxels
 
 
+def test_edits_start_from_a_mask(spark, grid, labels, tmp_path):
+    rng = np.random.default_rng(4)
+    _, volumes = grid(a=np.zeros((2, 9, 18)))
+    held = rng.integers(0, 4, (2, 9, 18))
+    mask, masks = labels(held, fill=2)
+    rows = [("m", i, int(rng.integers(2)), int(rng.integers(9)), int(rng.integers(18)), int(rng.integers(4))) for i in range(300)]
+    source = tmp_path / "in"
+    outside = [("m", 400, 2, 0, 0, 1), ("m", 401, 0, -1, 0, 1), ("m", 402, 0, 0, 18, 1), ("other", 403, 0, 0, 0, 1)]
+    for part in (rows[150:], rows[:150], outside):  # the first batch holds the later edits
+        spark.createDataFrame(part, EDITS).coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema(EDITS).option("maxFilesPerTrigger", 1).parquet(str(source))
+    edits.follow(stream, str(tmp_path / "out"), str(tmp_path / "check"), mask=mask, masks=masks, volumes=volumes).awaitTermination()
+    want, net = held.copy(), {}
+    for _, _, z, y, x, c in rows:
+        want[z, y, x] = c
+    for r in edits.change_log(spark, str(tmp_path / "out")).collect():
+        assert r.before_class != r.after_class
+        cell = net.setdefault((r.z, r.y, r.x), {})
+        cell[r.before_class] = cell.get(r.before_class, 0) - 1
+        cell[r.after_class] = cell.get(r.after_class, 0) + 1
+    got = held.copy()
+    for at, moves in net.items():
+        assert moves.get(int(held[at]), 0) in (-1, 0)
+        got[at] = next((c for c, n in moves.items() if n == 1), held[at])
+    assert np.array_equal(got, want)
+
+
 def test_slabs_complete_in_any_order(spark, tmp_path):
     source = tmp_path / "in"
     for part in ([("a", 0), ("a", 2), ("b", 40000)], [("a", 1), ("a", 1), ("b", 0)]):

@@ -91,6 +91,18 @@ def nifti_slices(voxels: DataFrame) -> DataFrame:
     return _per_slice(voxels, encode)
 
 
+def nifti_times(voxels: DataFrame, points: int = 4) -> DataFrame:
+    """Plain files that hold up to ``points`` slices each as volumes of one slice."""
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["z", "y", "x"])
+        volume, z, n = part["volume_id"].iloc[0], int(part["z"].iloc[0]) // points, part["z"].nunique()
+        grid = part["v"].to_numpy().astype("<i4").reshape(n, 1, part["y"].max() + 1, part["x"].max() + 1)
+        data = nifti_bytes(grid[0], 8, "<", slope=0.5, intercept=3.0, dim4=n) + grid[1:].tobytes()
+        return pd.DataFrame({"path": [f"{volume}/{z:06d}.nii"], "volume_id": [volume], "z": [z], "content": [data]})
+    keyed = voxels.selectExpr("*", f"z div {points} as _file")
+    return keyed.groupBy("volume_id", "_file").applyInPandas(work, FILES)
+
+
 def raw_slices(voxels: DataFrame) -> DataFrame:
     """Bare float32 values of each slice, big-endian on odd slices."""
     return _per_slice(voxels, lambda volume, z, grid: (

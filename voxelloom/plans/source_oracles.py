@@ -65,6 +65,9 @@ oracle("nifti_voxels", "vox", f"""SELECT {FILE} || CASE WHEN z % 3 = 1 THEN '.ni
 oracle("nifti_headers", "vox vol", f"""SELECT DISTINCT {FILE} || CASE WHEN z % 3 = 1 THEN '.nii.gz' ELSE '.nii' END AS path, z % 3 = 1 AS gzip, CASE WHEN z % 3 = 2 THEN '>i4' ELSE '<i4' END AS kind, nx, ny, 1 AS nz,
   CAST(0.5 AS DOUBLE) AS sx, CAST(0.5 AS DOUBLE) AS sy, CAST(2 AS DOUBLE) AS sz, CAST(352 AS BIGINT) AS offset, CAST(0.5 AS DOUBLE) AS slope, CAST(3 AS DOUBLE) AS intercept, 'NIfTI' AS description FROM vox JOIN vol USING (volume_id)""")
 
+oracle("nifti_time", "vox vol", """SELECT volume_id || '/' || PRINTF('%06d', z // 4) || '.nii' || CASE WHEN LEAST(4, nz - z // 4 * 4) > 1 THEN '#' || (z % 4) ELSE '' END AS volume_id,
+  0 AS z, y, x, v * CAST(0.5 AS DOUBLE) + 3 AS v FROM vox JOIN vol USING (volume_id)""")
+
 PIX = """WITH px AS (SELECT 'img' || event_id // 500 AS path, event_id // 500 AS z, CAST((event_id // 20) % 25 AS INT) AS y, CAST(event_id % 20 AS INT) AS x, CAST(ROUND(value * 100) AS INT) AS v FROM events),
 p AS (SELECT path, z, y, x, v % 256 AS r, CASE WHEN z % 2 = 0 THEN v % 256 ELSE v // 256 END AS g, CASE WHEN z % 2 = 0 THEN v % 256 ELSE (v * 7) % 256 END AS b FROM px),
 s AS (SELECT path, BOOL_AND(r = g AND r = b) AS is_gray FROM p GROUP BY 1)
@@ -113,9 +116,13 @@ UNION ALL SELECT mask_id, 4611686018427387904, '],"rois":[' || STRING_AGG('{"id"
   || ',"locked":' || locked || '}', ',' ORDER BY ordinal) || ']}' FROM roi GROUP BY 1""")
 oracle("import_package_mask", "dense", "SELECT mask_id, z, y, x, class_id FROM dense WHERE class_id <> 0")
 oracle("import_package_registry", "dense roi", """SELECT mask_id, roi_id, class_id, name, color_hex, visible OR mask_id = 'm_prio' AS visible, locked AND mask_id = 'm_type' AS locked, ordinal FROM roi""")
-oracle("bricks_roundtrip", "vox", "SELECT volume_id, z, y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM vox WHERE y BETWEEN 5 AND 20 AND x BETWEEN 0 AND 9")
+oracle("bricks_roundtrip", "vox", "SELECT volume_id, z, y, x, CAST(v AS DOUBLE) AS v FROM vox WHERE y BETWEEN 5 AND 20 AND x BETWEEN 0 AND 9")
 
 oracle("stream_edits", "elog", "SELECT 'm_edit' AS mask_id, 0 AS z, CAST(lin // 20 AS INT) AS y, CAST(lin % 20 AS INT) AS x, c AS class_id FROM (SELECT lin, MAX_BY(a, seq) c FROM elog GROUP BY 1) WHERE c <> 0")
+oracle("stream_edits_on_mask", "dense", """, e AS (SELECT (event_id * 7919) % 500 AS lin, MAX_BY(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 0 END, event_id) AS c
+  FROM events WHERE event_id % 10 <> 0 GROUP BY 1),
+m AS (SELECT d.*, c FROM e JOIN dense d ON d.mask_id = 'm_type' AND d.lin = e.lin WHERE c <> d.class_id)
+SELECT mask_id, z, y, x, class_id, CAST(-1 AS BIGINT) AS n FROM m UNION ALL SELECT mask_id, z, y, x, c, 1 FROM m""")
 oracle("stream_stats", "vox elog", f"""SELECT 'm_edit' AS mask_id, c AS class_id, {STATS} FROM (SELECT lin, MAX_BY(a, seq) c FROM elog GROUP BY 1) e JOIN vox ON volume_id = 'events' AND vox.lin = e.lin
   WHERE c <> 0 GROUP BY c""")
 oracle("stream_slabs", "", """SELECT event_type AS volume_id, MAX(user_id) + 1 AS slabs, COUNT(DISTINCT user_id) AS seen, COUNT(DISTINCT user_id) >= MAX(user_id) + 1 AS complete FROM events GROUP BY 1""")

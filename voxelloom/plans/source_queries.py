@@ -189,6 +189,12 @@ def nifti_headers(g):
     return heads.select("path", "gzip", "kind", "nx", "ny", "nz", "sx", "sy", "sz", "offset", "slope", "intercept", "description")
 
 
+@query
+def nifti_time(g):
+    """Files of several time points, each a volume of its own."""
+    return nifti.read_nifti(nifti.time_points(nifti.decode_headers(files.nifti_times(g.voxels))))
+
+
 # ---- images ----------------------------------------------------------------------------------
 
 def _pixels(g):
@@ -339,16 +345,28 @@ def _edit_stream(g):
         "cast((event_id * 7919) % 20 as int) as x", f"{EVENT_CLASS} as after_class")
 
 
+def _net_moves(log: DataFrame) -> DataFrame:
+    """Per voxel that a log of change rows leaves changed: its class before (n = -1) and after (n = 1)."""
+    moves = log.select("mask_id", "z", "y", "x", F.explode(F.array(
+        F.struct(F.col("before_class").alias("c"), F.lit(-1).alias("n")), F.struct(F.col("after_class").alias("c"), F.lit(1).alias("n")))).alias("m"))
+    return moves.groupBy("mask_id", "z", "y", "x", F.col("m.c").alias("class_id")).agg(F.sum("m.n").alias("n")).where("n <> 0")
+
+
 @query
 def stream_edits(g):
     """Final mask from the change rows of a stream."""
     path = _folder(g, "edits")
     edit_stream.follow(_edit_stream(g), path + "/log", path + "/checkpoint").awaitTermination()
-    log = edit_stream.change_log(g.spark, path + "/log")
-    moves = log.select("mask_id", "z", "y", "x", F.explode(F.array(
-        F.struct(F.col("before_class").alias("c"), F.lit(-1).alias("n")), F.struct(F.col("after_class").alias("c"), F.lit(1).alias("n")))).alias("m"))
-    left = moves.groupBy("mask_id", "z", "y", "x", F.col("m.c").alias("class_id")).agg(F.sum("m.n").alias("n"))
-    return left.where("n = 1 and class_id <> 0").drop("n")
+    return _net_moves(edit_stream.change_log(g.spark, path + "/log")).where("n = 1 and class_id <> 0").drop("n")
+
+
+@query
+def stream_edits_on_mask(g):
+    """What a stream changes in a mask that is there already; every tenth edit lies outside its grid."""
+    path = _folder(g, "edits")
+    edits = _edit_stream(g).withColumns({"mask_id": F.lit("m_type"), "x": F.expr("if(seq % 10 = 0, x + 20, x)")})
+    edit_stream.follow(edits, path + "/log", path + "/checkpoint", mask=g.mask, masks=g.masks, volumes=g.volumes).awaitTermination()
+    return _net_moves(edit_stream.change_log(g.spark, path + "/log"))
 
 
 @query

@@ -1,7 +1,7 @@
 """Storage form of grids: cubic bricks with their value range, in Parquet.
 
 Files are clustered by brick, so row-group statistics prune slices on all three axes alike, and vmin/vmax
-skip empty space.
+skip empty space. Values are doubles, which hold every value of all data types.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ def to_bricks(voxels: DataFrame, volumes: DataFrame, size: int = SIZE) -> DataFr
         at = at.withColumn(f"b{c}", F.expr(f"cast({c} div {size} as int)")).withColumn(
             f"size_{c}", F.expr(f"cast(least({size}, n{c} - ({c} div {size}) * {size}) as int)"))
     pos = F.expr(f"x % {size} + (y % {size}) * size_x + (z % {size}) * size_x * size_y").alias("p")
-    packed = at.select(*BRICK, "size_z", "size_y", "size_x", F.struct(pos, F.col("v").cast("float").alias("v")).alias("c"))
+    packed = at.select(*BRICK, "size_z", "size_y", "size_x", F.struct(pos, F.col("v").cast("double").alias("v")).alias("c"))
     return packed.groupBy(*BRICK, "size_z", "size_y", "size_x").agg(
         F.min(number_or_null("c.v")).alias("vmin"), F.max(number_or_null("c.v")).alias("vmax"), F.array_sort(F.collect_list("c")).alias("_c"),
     ).select(*BRICK, "size_z", "size_y", "size_x", "vmin", "vmax", F.col("_c.v").alias("vals"))
@@ -48,7 +48,7 @@ def read_bricks(spark: SparkSession, path: str, volume_ids: list[str] | None = N
     for c, (first, last) in ranges.items():
         bricks = bricks.where(F.col(f"b{c}").between(first // size, last // size))
     if display_min is not None:
-        bricks = bricks.where(F.col("vmax") >= F.lit(float(display_min)).cast("float"))
+        bricks = bricks.where(F.col("vmax") >= F.lit(float(display_min)))
     return bricks
 
 
