@@ -369,6 +369,15 @@ def test_toxicity_learns(spark):
     assert {r["score"] for r in toxicity.classify(docs.limit(2), labels.where("toxic = 0")).collect()} == {0.0}
 
 
+def test_toxicity_takes_one_text_of_a_repeated_id(spark):
+    rng = random.Random(7)
+    rows = [(i, prose(rng, 30) + (" vile" if i % 2 else ""), "en", "a", 1, 0) for i in range(40)]
+    labels = labels_of(spark, [(i, 0, i % 2) for i in range(40)])
+    once = toxicity.train(spark.createDataFrame(rows, DOCS), labels)
+    many = toxicity.train(spark.createDataFrame(rows + rows[:1] * 50, DOCS), labels)
+    assert np.array_equal(once["out"], many["out"])
+
+
 # ---- all -------------------------------------------------------------------------------------
 
 def test_empty_tables(spark, empty):
