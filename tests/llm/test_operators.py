@@ -118,6 +118,41 @@ def test_stretch_is_the_best_one():
         assert equal - 3 * (n - equal) == best
 
 
+def test_every_stretch_that_is_equal_enough_has_a_seed_and_is_accepted():
+    def seen(n, gone, masks):
+        return any(all(b == "0" or at + i not in gone for i, b in enumerate(m)) for m in masks for at in range(n - len(m) + 1))
+
+    for n in range(1, 26):
+        masks = decontaminate.masks_for([n] if n < 13 else [])
+        for gone in combinations(range(n), n // 5):
+            if not seen(n, set(gone), masks):
+                pytest.fail(f"{n} tokens, substitutions at {gone}")
+    rng = np.random.default_rng(4)
+    for n, k in ((14, 1), (15, 2), (15, 3), (20, 4), (30, 6), (6, 1), (12, 2)):
+        for _ in range(100):
+            b = np.arange(n)
+            a = np.concatenate([np.arange(1000, 1005), b, np.arange(1000, 1005)])
+            a[5 + rng.choice(n, k, False)] = -1
+            at, length, equal = decontaminate.accepted(a, b, 5)
+            assert length >= min(13, n) and equal >= 0.8 * length and equal == int((a[at:at + length] == b[at - 5:at - 5 + length]).sum())
+    for _ in range(300):
+        a, b = (rng.random(40) < 0.72).astype(int), np.ones(int(rng.integers(5, 41)), int)
+        least = min(13, len(b))
+        some = any(5 * a[i:j].sum() >= 4 * (j - i) for i in range(len(b)) for j in range(i + least, len(b) + 1))
+        assert (decontaminate.accepted(a, b, 0) is not None) == some
+
+
+def test_decontamination_finds_spoilt_ends_and_short_items(spark):
+    words = [f"w{i}" for i in range(40)]
+    items = [(1, " ".join(words[:14])), (2, " ".join(words[14:20])), (3, " ".join(words[20:23])), (4, " ".join(words[23:38]))]
+    gone = lambda lo, hi, *at: " ".join("zz" if i in at else w for i, w in enumerate(words[lo:hi]))
+    cases = [gone(0, 14, 1), "a b " + gone(14, 20, 2) + " c", gone(20, 23), gone(20, 23, 1), gone(23, 38, 3, 7, 11), gone(14, 20, 2, 4)]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1, 0) for i, t in enumerate(cases)], DOCS)
+    got = decontaminate.contaminated(docs, spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"], r["first_token"], r["n_tokens"], r["n_equal"]) for r in got) == [
+        (0, 1, 0, 14, 13), (1, 2, 2, 6, 5), (2, 3, 0, 3, 3), (4, 4, 0, 15, 12)]
+
+
 # ---- 3: licences -----------------------------------------------------------------------------
 
 def test_licences(spark):

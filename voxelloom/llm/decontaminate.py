@@ -1,24 +1,28 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 Masks fix which positions of a short window of tokens must agree; the others are ignored. The masked windows of the
-benchmark are hashed, documents are searched for the same hashes, and every hit is verified along its diagonal: the
-alignment is scored token by token, a match +1 and a substitution -3, and its best stretch is kept. A document is
-contaminated by an item if a stretch covers ``LEAST`` tokens (or the whole item, if that is shorter) with at least
-``IDENTITY`` of them equal.
+benchmark are hashed, documents are searched for the same hashes, and every hit is verified along its diagonal. A
+document is contaminated by an item if any stretch of ``LEAST`` tokens or more (or the whole item, if that is shorter)
+has at least ``IDENTITY`` of them equal. The stretch reported is the best-scoring one, a match +1 and a substitution -3,
+where that is long and equal enough; else the one with the most equal tokens.
+
+The masks lose no such stretch: one of 26 tokens or more has a part of 13 to 25 that is equal enough, and each pattern of
+substitutions in 13 to 25 tokens leaves a window of one of ``MASKS`` untouched. Shorter items have masks of their own,
+which travel only if there are items of that length.
 
 A filter of a fixed number of bits, made from all benchmark hashes, travels to the tasks that read documents. Only
 windows that pass it are joined with the benchmark's hashes, so document text itself is never shuffled, and the join is
 an ordinary one whatever the benchmark's size.
 
-Defined results: tokens are runs of word characters in lower case; a null or empty text has none. An item or text
-shorter than the shortest mask has no hits. Repeated documents are reported each under their id; rows without an id are
+Defined results: tokens are runs of word characters in lower case; a null or empty text has none. Repeated documents are reported each under their id; rows without an id are
 searched too and reported with a null id. Repeated items are reported each.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import row_keys, slices, stage, text_of, without
 
-MASKS = ("11101011", "1101001011", "1110010101", "1011000110011")
+MASKS = ("11101011", "1101001011", "1110010101", "1011000110011", "111111")
 LEAST, IDENTITY, MISMATCH = 13, 0.8, 3
 FILTER_BITS = 25  # each hash sets two of 2^25 bits
 NEAR = 64  # hits closer than this share a region; regions keep as many tokens on either side, at least
@@ -50,12 +54,28 @@ def tokens(text: str) -> np.ndarray:
         return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
+def short_masks(n: int) -> set[str]:
+    """Masks of which one fits any alignment of a whole item of ``n`` < ``LEAST`` tokens that is equal enough.
+
+    The item is cut into more parts than it may have substitutions; a mask leaves out as many parts as those can spoil.
+    """
+    spoilt = sum(k < n and n - k >= IDENTITY * n for k in range(1, LEAST))
+    parts = {0: 1, 1: 3 if n > 5 else n}.get(spoilt, spoilt + 2)
+    part = [i * parts // n for i in range(n)] if n else []
+    return {"".join("01"[p not in gone] for p in part).strip("0") for gone in combinations(range(parts), spoilt)} - {""}
+
+
+def masks_for(lengths: Iterable[int]) -> tuple[str, ...]:
+    """``MASKS``, and those of items of the given lengths below ``LEAST``."""
+    return MASKS + tuple(sorted(set().union(*map(short_masks, lengths)) - set(MASKS)))
+
+
 def masked(ids: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[np.ndarray]:
     """Per mask the hash of the window at every position."""
     out = []
-    for no, mask in enumerate(masks):
+    for mask in masks:
         n = len(ids) - len(mask) + 1
-        h = np.full(max(n, 0), 0x9E3779B97F4A7C15 + no, dtype=np.uint64)
+        h = np.full(max(n, 0), 0x9E3779B97F4A7C15 + int(mask, 2), dtype=np.uint64)
         for i, bit in enumerate(mask):
             if bit == "1" and n > 0:
                 h = (h ^ ids[i:i + n]) * np.uint64(0xD6E8FEB86659FD93)
@@ -73,7 +93,7 @@ def _items(benchmark: DataFrame) -> DataFrame:
             ids = [tokens(t) for t in part.column(2).to_pylist()]
             seeds = []
             for x in ids:
-                found = masked(x)
+                found = masked(x, masks_for([len(x)] if len(x) < LEAST else []))
                 h = np.concatenate(found).view(np.int64).tolist()
                 p = np.concatenate([np.arange(len(f)) for f in found]).tolist()
                 seeds.append([{"h": a, "p": b} for a, b in zip(h, p)])
@@ -98,7 +118,7 @@ def _filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return np.unpackbits(out.view(np.uint8), bitorder="little").astype(bool)
 
 
-def _regions(docs: DataFrame, passing, reach: int, bits: int = FILTER_BITS) -> DataFrame:
+def _regions(docs: DataFrame, passing, reach: int, masks: tuple[str, ...], bits: int = FILTER_BITS) -> DataFrame:
     """Stretches of documents around windows that pass the filter: (doc_id, k1, k2, hit, start, ids, seeds)."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -110,7 +130,7 @@ def _regions(docs: DataFrame, passing, reach: int, bits: int = FILTER_BITS) -> D
             for d, a, b, text in zip(doc_ids, k1, k2, part.column(3).to_pylist()):
                 ids = tokens(text)
                 at, hashes = [], []
-                for h in masked(ids):
+                for h in masked(ids, masks):
                     hit = np.flatnonzero(present[(h >> np.uint64(64 - bits)).astype(np.int64)])
                     hit = hit[present[((h[hit] >> np.uint64(64 - 2 * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]]
                     at.append(hit)
@@ -148,14 +168,39 @@ def stretch(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]
     return low + begin, end - begin, int(same[begin:end].sum())
 
 
+def accepted(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    """A stretch like ``stretch``'s that is long and equal enough, or None if the diagonal has none."""
+    least = min(LEAST, len(b))
+    at, n, equal = stretch(a, b, diagonal)
+    if n and n >= least and equal >= IDENTITY * n:
+        return at, n, equal
+    low, high = max(diagonal, 0), min(len(a), len(b) + diagonal)
+    if not 0 < least <= high - low:
+        return None
+    same = a[low:high] == b[low - diagonal:high - diagonal]
+    count = np.concatenate([[0], np.cumsum(same)])
+    over = 5 * count - 4 * np.arange(len(count))  # does not fall from begin to end where 4 of 5 tokens are equal
+    begin = np.searchsorted(-np.minimum.accumulate(over), -over[least:])  # the first place from which it does not
+    end = np.arange(least, len(over))
+    begin, end = begin[begin <= end - least], end[begin <= end - least]
+    if not len(end):
+        return None
+    # Leading substitutions are left out as far as the length allows.
+    first = np.append(np.flatnonzero(same), len(same))
+    begin = np.minimum(first[np.searchsorted(first, begin)], end - least)
+    equal = count[end] - count[begin]
+    best = np.lexsort((begin, end - begin, -equal))[0]
+    return low + int(begin[best]), int(end[best] - begin[best]), int(equal[best])
+
+
 def _verified(pairs: DataFrame, doc_kind: str, item_kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for r in batch.to_pylist():
                 a, b = np.array(r["ids"], np.int64), np.array(r["item_ids"], np.int64)
-                at, n, equal = stretch(a, b, r["diagonal"])
-                if n and n >= min(LEAST, len(b)) and equal >= IDENTITY * n:
+                if found := accepted(a, b, r["diagonal"]):
+                    at, n, equal = found
                     rows.append((r["doc_id"], r["k1"], r["k2"], r["item_id"], r["start"] + at, n, equal, len(b)))
             if rows:
                 cells = list(zip(*rows))
@@ -174,9 +219,11 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     items = stage(_items(benchmark))
     seeds = items.select("row", F.explode("seeds").alias("s")).select("row", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
-    longest = items.agg(F.max(F.size("ids"))).first()[0] or 0
+    size = F.size("ids")
+    longest, short = items.agg(F.max(size), F.collect_set(F.when(size < LEAST, size))).first()
+    longest = longest or 0
     passing = spark.sparkContext.broadcast(np.packbits(_filter(seeds), bitorder="little"))
-    regions = stage(_regions(docs, passing, longest + NEAR))
+    regions = stage(_regions(docs, passing, longest + NEAR, masks_for(short)))
     region = ["k1", "k2", "hit"]  # its first hit names a region of a text
     hits = regions.select(*region, F.explode("seeds").alias("s")).select(*region, F.col("s.h").alias("h"), F.col("s.p").alias("at"))
     lines = hits.join(seeds, "h").select(*region, "row", (F.col("at") - F.col("p")).alias("diagonal")).distinct()
