@@ -171,6 +171,15 @@ def test_licences(spark):
         assert got[i]["labels"] == ",".join(sorted(more | {label for _, label in places}))
 
 
+def test_wrapped_licences(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"
+    texts = [bsd, "x\n * " + bsd.replace("\n", "\n * ") + ".\ny", "Licensed under the Apache\nLicense,\nVersion 2.0", "all\nother rights are reserved",
+             bsd.replace("\n", "\n\n" + "other words " * 8)]
+    docs = spark.createDataFrame([(i, t, "a", "b", 1, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: (r["labels"], r["score"]) for r in licences.scan(docs).collect()}
+    assert got == {0: ("bsd", 1.0), 1: ("bsd", 1.0), 2: ("apache-2.0", 1.0), 3: ("", 0.0), 4: ("", 0.0)}
+
+
 # ---- 4: quality ------------------------------------------------------------------------------
 
 def test_quality_learns_and_handles_lone_classes(spark):
