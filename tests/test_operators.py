@@ -321,6 +321,18 @@ def test_no_class_id_left(spark, labels):
     assert roi.next_class_id(masks, full, 4).first().next_class_id == 4
 
 
+def test_requests_beyond_the_last_class_id_are_refused(spark):
+    masks = spark.createDataFrame([("a", "uint8"), ("b", "uint16")], "mask_id string, class_data_type string")
+    rois = spark.createDataFrame([("a", "roi-1", 2, 1), ("b", "roi-1", 300, 1)], "mask_id string, roi_id string, class_id int, ordinal int")
+    wanted = masks.select("mask_id", F.explode(F.sequence(F.lit(1), F.lit(300))).alias("nth"))
+    added = roi.add_rois(masks, rois, wanted).groupBy("mask_id").agg(F.count("*").alias("n"), F.max("class_id").alias("top"))
+    assert cells(added, "mask_id", "n", "top") == [("a", 254, 255), ("b", 300, 301)]
+    late = roi.refused_rois(masks, rois, wanted)
+    assert cells(late, "mask_id", "nth", "reject_reason") == [("a", n, "no free class id") for n in range(255, 301)]
+    all_taken = masks.select("mask_id", F.explode(F.sequence(F.lit(1), F.lit(255))).alias("class_id"))
+    assert cells(roi.next_class_id(masks, all_taken), "mask_id", "next_class_id") == [("a", None), ("b", 256)]
+
+
 def test_invariants(spark, grid):
     a = np.random.default_rng(9).integers(0, 1000, (6, 9, 10)).astype(float)
     voxels, volumes = grid(a=a)

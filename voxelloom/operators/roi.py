@@ -8,19 +8,33 @@ from ..functions.color import roi_color
 from ..functions.numeric import dbl
 from ..model import ROIS
 from ..scale import stage
-from .mask import Remapped, Written, remap, set_voxels
+from .mask import Remapped, Written, _max_class, remap, set_voxels
 
+NO_FREE_CLASS = "no free class id"
 
-def free_class_ids(masks: DataFrame, rois: DataFrame, max_class: int = 255) -> DataFrame:
-    """Unused class ids of every mask, ranked from the smallest."""
-    slots = masks.select("mask_id", F.explode(F.sequence(F.lit(1), F.lit(max_class))).alias("class_id"))
+
+def class_limit(max_class: int | None = None):
+    """Highest class id of a mask: the given one, else that of its data type."""
+    return _max_class() if max_class is None else F.lit(max_class)
+
+
+def free_class_ids(masks: DataFrame, rois: DataFrame, max_class: int | None = None, asked: DataFrame | None = None) -> DataFrame:
+    """Unused class ids of every mask, ranked from the smallest; only those up to rank ``n`` of ``asked`` (mask_id, n)."""
+    last = masks.select("mask_id", class_limit(max_class).alias("_last"))
+    if asked is not None:
+        # The nth free id is at most n above the number of ids that are taken.
+        taken = rois.groupBy("mask_id").agg(F.count_distinct("class_id").alias("_taken"))
+        last = last.join(asked, "mask_id").join(taken, "mask_id", "left").where("n >= 1").select(
+            "mask_id", F.least("_last", F.col("n") + F.coalesce("_taken", F.lit(0))).cast("int").alias("_last"))
+    slots = last.select("mask_id", F.explode(F.sequence(F.lit(1), F.col("_last"))).alias("class_id"))
     free = slots.join(rois.select("mask_id", "class_id").distinct(), ["mask_id", "class_id"], "left_anti")
     return free.withColumn("rank", F.row_number().over(W.partitionBy("mask_id").orderBy("class_id")))
 
 
-def next_class_id(masks: DataFrame, rois: DataFrame, max_class: int = 255) -> DataFrame:
+def next_class_id(masks: DataFrame, rois: DataFrame, max_class: int | None = None) -> DataFrame:
     """Smallest unused id per mask, null when all are taken."""
-    free = free_class_ids(masks, rois, max_class).groupBy("mask_id").agg(F.min("class_id").alias("next_class_id"))
+    first = masks.select("mask_id", F.lit(1).alias("n"))
+    free = free_class_ids(masks, rois, max_class, first).groupBy("mask_id").agg(F.min("class_id").alias("next_class_id"))
     return masks.select("mask_id").join(free, "mask_id", "left")
 
 
@@ -37,12 +51,25 @@ def _counters(masks: DataFrame, rois: DataFrame) -> DataFrame:
     return masks.select("mask_id").join(seen, "mask_id", "left").fillna(0, ["_ids", "_ord"])
 
 
-def add_rois(masks: DataFrame, rois: DataFrame, wanted: DataFrame, max_class: int = 255) -> DataFrame:
+def _asked(wanted: DataFrame) -> DataFrame:
+    return wanted.groupBy("mask_id").agg(F.max("nth").alias("n"))
+
+
+def refused_rois(masks: DataFrame, rois: DataFrame, wanted: DataFrame, max_class: int | None = None) -> DataFrame:
+    """The requests that ``add_rois`` has no entry for, with a reject_reason."""
+    free = free_class_ids(masks, rois, max_class, _asked(wanted)).select("mask_id", F.col("rank").alias("nth"))
+    known = masks.select("mask_id", F.lit(True).alias("_known"))
+    reason = F.when(F.col("_known").isNull(), "no such mask").when(F.col("nth") < 1, "not a request number").otherwise(NO_FREE_CLASS)
+    return wanted.join(free, ["mask_id", "nth"], "left_anti").join(known, "mask_id", "left").withColumn(
+        "reject_reason", reason).drop("_known")
+
+
+def add_rois(masks: DataFrame, rois: DataFrame, wanted: DataFrame, max_class: int | None = None) -> DataFrame:
     """New entries for requests (mask_id, nth[, name, color_hex]), nth = 1, 2, ... per mask.
 
-    The nth request takes the nth free class id; requests beyond the last free id have no row.
+    The nth request takes the nth free class id; those beyond the last free id are in ``refused_rois``.
     """
-    free = free_class_ids(masks, rois, max_class).withColumnRenamed("rank", "nth")
+    free = free_class_ids(masks, rois, max_class, _asked(wanted)).withColumnRenamed("rank", "nth")
     at = wanted.join(free, ["mask_id", "nth"]).join(_counters(masks, rois), "mask_id")
     ordinal = F.col("_ord") + F.col("nth")
     name = F.concat(F.lit("ROI "), ordinal.cast("string"))
@@ -115,8 +142,11 @@ def delete_rois(mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois: Dat
 
 
 def duplicate_roi(mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois: DataFrame,
-                  sources: DataFrame, max_class: int = 255) -> tuple[Written, DataFrame]:
-    """Copies one region per mask (mask_id, roi_id). A voxel has one class, so the copy takes the voxels over."""
+                  sources: DataFrame, max_class: int | None = None) -> tuple[Written, DataFrame]:
+    """Copies one region per mask (mask_id, roi_id). A voxel has one class, so the copy takes the voxels over.
+
+    A mask without a free class id, as ``next_class_id`` tells, stays as it is.
+    """
     origin = rois.join(sources.select("mask_id", "roi_id"), ["mask_id", "roi_id"], "left_semi")
     wanted = origin.select("mask_id", F.lit(1).alias("nth"), F.concat("name", F.lit(" Copy")).alias("name"), "color_hex",
                            F.col("class_id").alias("source"))

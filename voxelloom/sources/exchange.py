@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.color import normalize_hex
+from ..model import MAX_CLASS
 from ..operators import mask as masking, rle, roi
 from ..operators.mask import Written
 from ..scale import attach, stage
@@ -124,7 +125,7 @@ def _same_grid(dims: Column) -> Column:
 
 
 def import_roi_json(docs: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois: DataFrame,
-                    max_class: int = 255) -> tuple[Written, DataFrame, DataFrame]:
+                    max_class: int | None = None) -> tuple[Written, DataFrame, DataFrame]:
     """Adds region documents (mask_id, doc_no, text) to masks: the written mask, the new registry, the refused.
 
     Documents are taken in the order ``doc_no``; each gets the next free class id, and later ones overwrite.
@@ -146,16 +147,17 @@ def import_roi_json(docs: DataFrame, mask: DataFrame, masks: DataFrame, volumes:
                         F.col("j.mask.startsWith").cast("int").alias("starts_with"))
     positions, broken = rle.rle_binary_decode(runs, heads, key)
     fine = good.join(broken.select(*key), key, "left_anti")
-    # More than max_class documents per mask cannot be admitted, so the rank limit reaches the shuffle.
+    # More documents per mask than there are class ids cannot be admitted, so the rank limit reaches the shuffle.
     nth = F.row_number().over(W.partitionBy("mask_id").orderBy("doc_no"))
-    wanted = stage(fine.withColumn("nth", nth).where(F.col("nth") <= max_class).select(
+    wanted = stage(fine.withColumn("nth", nth).where(F.col("nth") <= (max_class or MAX_CLASS["uint16"])).select(
         *key, "nth", F.when(F.trim("j.name") != "", F.trim("j.name")).alias("name"), normalize_hex(F.col("j.colorHex")).alias("color_hex")))
     new = stage(roi.add_rois(masks, rois, wanted.drop("doc_no"), max_class))
-    free = roi.free_class_ids(masks, rois, max_class).withColumnRenamed("rank", "nth")
+    asked = wanted.groupBy("mask_id").agg(F.max("nth").alias("n"))
+    free = roi.free_class_ids(masks, rois, max_class, asked).withColumnRenamed("rank", "nth")
     classes = stage(wanted.select(*key, "nth").join(free, ["mask_id", "nth"]))
     cells = attach(rle.positions_to_voxels(positions, masks, volumes), classes, key, ["z", "y", "x"])
     written = masking.set_voxels(mask, masks, volumes, cells.select("mask_id", "z", "y", "x", F.col("nth").alias("seq"), "class_id"))
-    full = fine.select(*key).join(classes.select(*key), key, "left_anti").select(*key, F.lit("no free class id").alias("reject_reason"))
+    full = fine.select(*key).join(classes.select(*key), key, "left_anti").select(*key, F.lit(roi.NO_FREE_CLASS).alias("reject_reason"))
     refused = d.where(F.col("reject_reason").isNotNull()).select(*key, "reject_reason").unionByName(
         broken.select(*key, F.lit("runs do not add up").alias("reject_reason"))).unionByName(full)
     return written, rois.unionByName(new.select(*rois.columns)), refused
