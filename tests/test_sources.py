@@ -246,6 +246,35 @@ def test_fragments_on_disk_join_to_json(spark, grid, labels, tmp_path):
     assert sorted(r.roi_id for r in registry.collect()) == ["roi-1", "roi-2"]
 
 
+def test_fragments_are_imported_without_joining_them(spark, grid, labels):
+    a = np.random.default_rng(7).integers(0, 3, (3, 9, 10))
+    _, volumes = grid(a=a.astype(float))
+    mask, masks = labels(a)
+    rois = spark.createDataFrame([("m", f"roi-{c}", c, f"R {c}", "#00ff00", True, False, c) for c in (1, 2)],
+                                 "mask_id string, roi_id string, class_id int, name string, color_hex string, visible boolean, locked boolean, ordinal int")
+    parts = exchange.export_roi_json(mask, masks, volumes, rois, runs_per_part=4).withColumn(
+        "doc_no", F.substring("roi_id", 5, 1).cast("int")).drop("roi_id")
+    assert parts.count() > 10
+    lost = parts.where("part_no <> 2").withColumn("doc_no", F.col("doc_no") + 10)
+    open_ended = parts.where("part_no < 100000").withColumn("doc_no", F.col("doc_no") + 20)
+    wrong = parts.withColumns({"doc_no": F.col("doc_no") + 30, "text": F.when(F.col("part_no") == 3, ",1,x").otherwise(F.col("text"))})
+    everything = parts.unionByName(lost).unionByName(open_ended).unionByName(wrong)
+    written, registry, refused = exchange.import_roi_fragments(everything, mask.limit(0), masks, volumes, rois.limit(0))
+    assert {(r.z, r.y, r.x): r.class_id for r in written.mask.collect()} == {tuple(map(int, p)): int(a[tuple(p)]) for p in np.argwhere(a > 0)}
+    assert sorted((r.class_id, r.name) for r in registry.collect()) == [(1, "R 1"), (2, "R 2")]
+    assert sorted((r.doc_no, r.reject_reason) for r in refused.collect()) == [
+        *[(n, "runs do not add up") for n in (11, 12)], *[(n, "unsupported ROI file format") for n in (21, 22, 31, 32)]]
+
+    package = exchange.export_package(mask, masks, volumes, rois, 8)
+    ids = spark.createDataFrame([(f"m{i}", "a", "uint8", 0, 64) for i in range(3)], masks.schema)
+    several = package.withColumn("mask_id", F.lit("m0")).unionByName(package.where("part_no < 100000").withColumn("mask_id", F.lit("m1"))).unionByName(
+        package.withColumns({"mask_id": F.lit("m2"), "text": F.when(F.col("part_no") == 1, "{").otherwise(F.col("text"))}))
+    rows, registry, refused = exchange.import_package_fragments(several, ids, volumes)
+    assert sorted((r.mask_id, r.reject_reason) for r in refused.collect()) == [(f"m{i}", "unsupported package format") for i in (1, 2)]
+    assert {(r.mask_id, r.z, r.y, r.x): r.class_id for r in rows.collect()} == {("m0", *map(int, p)): int(a[tuple(p)]) for p in np.argwhere(a > 0)}
+    assert sorted(r.roi_id for r in registry.collect()) == ["roi-1", "roi-2"]
+
+
 def test_filled_mask_exports_its_background(spark, grid, labels):
     a = np.random.default_rng(8).integers(0, 3, (2, 9, 9))
     _, volumes = grid(a=a.astype(float))

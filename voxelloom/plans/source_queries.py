@@ -274,15 +274,14 @@ def export_roi_json(g):
 
 
 def _roi_documents(g):
-    parts = exchange.export_roi_json(g.mask, g.masks, g.volumes, g.rois)
-    return stage(exchange.documents(parts, ["mask_id", "roi_id"])[0])
+    return stage(exchange.export_roi_json(g.mask, g.masks, g.volumes, g.rois))
 
 
 def _imported(g):
     """Every region comes back twice, once with a wrong total; all masks hold class 1 beforehand."""
     docs = _roi_documents(g).withColumn("doc_no", F.regexp_extract("roi_id", r"(\d+)", 1).cast("int")).drop("roi_id")
     broken = docs.withColumns({"doc_no": F.col("doc_no") + 100, "text": F.regexp_replace("text", '"startsWith":(.)', '"startsWith":7')})
-    return exchange.import_roi_json(
+    return exchange.import_roi_fragments(
         docs.unionByName(broken), g.mask.where("class_id = 1"), g.masks, g.volumes, g.rois.where("class_id = 1"))
 
 
@@ -307,7 +306,7 @@ def export_package(g):
 
 
 def _package(g):
-    docs = exchange.documents(exchange.export_package(g.mask, g.masks, g.volumes, g.rois, chunk=16), ["mask_id"])[0]
+    docs = exchange.export_package(g.mask, g.masks, g.volumes, g.rois, chunk=16)
     # One of the masks comes without regions.
     return stage(docs.withColumn("text", F.when(
         F.col("mask_id") == "m_prio", F.regexp_replace("text", r'"rois":\[.*\]\}$', '"rois":[]}')).otherwise(F.col("text"))))
@@ -315,12 +314,12 @@ def _package(g):
 
 @query
 def import_package_mask(g):
-    return exchange.import_package(_package(g), g.masks, g.volumes)[0]
+    return exchange.import_package_fragments(_package(g), g.masks, g.volumes)[0]
 
 
 @query
 def import_package_registry(g):
-    return exchange.import_package(_package(g), g.masks, g.volumes)[1]
+    return exchange.import_package_fragments(_package(g), g.masks, g.volumes)[1]
 
 
 @query

@@ -1,7 +1,8 @@
 """Exchange of masks as JSON: single regions and whole segmentations.
 
 Exports are text fragments in order, so that a document of any size is written by many tasks: joining the
-files of a document's folder in name order gives the JSON. Imports take whole documents, as the format demands.
+files of a document's folder in name order gives the JSON. Imports take such fragments, of documents of any length, or
+whole documents of one row each.
 """
 
 from __future__ import annotations
@@ -12,20 +13,23 @@ from ..functions.color import normalize_hex
 from ..model import MAX_CLASS
 from ..operators import mask as masking, rle, roi
 from ..operators.mask import Written
-from ..scale import attach, stage
+from ..scale import attach, scan, stage
 
 ROI_FORMAT = "viewer-roi-mask-v1"
 PACKAGE_FORMAT = "viewer-segmentation-package-v1"
 RUNS_PER_PART = 8192
 MAX_DOCUMENT = 1 << 28
+LAST_PART = 1 << 62
 
 ROI_SCHEMA = (
     "format string, name string, colorHex string, classId double, dimensions array<double>, spacing array<double>, "
     "voxelCount double, mask struct<encoding:string, totalVoxels:double, oneCount:double, startsWith:double, runs:array<double>>")
+TILE_SCHEMA = (
+    "struct<coord:array<int>, size:array<int>, data:struct<encoding:string, totalVoxels:bigint, "
+    "nonZeroVoxels:bigint, values:array<double>, lengths:array<double>>>")
 PACKAGE_SCHEMA = (
     "format string, dimensions array<double>, spacing array<double>, classDataType string, chunkSize double, "
-    "tiles array<struct<coord:array<int>, size:array<int>, data:struct<encoding:string, totalVoxels:bigint, "
-    "nonZeroVoxels:bigint, values:array<double>, lengths:array<double>>>>, "
+    f"tiles array<{TILE_SCHEMA}>, "
     "rois array<struct<id:string, classId:double, name:string, colorHex:string, visible:boolean, locked:boolean>>")
 
 
@@ -124,14 +128,50 @@ def _same_grid(dims: Column) -> Column:
     return (dims[0] == F.col("nx")) & (dims[1] == F.col("ny")) & (dims[2] == F.col("nz"))
 
 
+def _ends(fragments: DataFrame, key: list[str]) -> DataFrame:
+    """(key, head, tail): first and last fragment of every document, null where there is none."""
+    return fragments.groupBy(*key).agg(
+        F.max(F.when(F.col("part_no") == 0, F.col("text"))).alias("head"),
+        F.max(F.when(F.col("part_no") == LAST_PART, F.col("text"))).alias("tail"))
+
+
+def _body(fragments: DataFrame) -> DataFrame:
+    """What stands between the ends, without the comma that joins it to the fragment before."""
+    return fragments.where((F.col("part_no") > 0) & (F.col("part_no") < LAST_PART)).withColumn(
+        "text", F.regexp_replace("text", r"^\s*,", ""))
+
+
+def import_roi_fragments(fragments: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois: DataFrame,
+                         max_class: int | None = None) -> tuple[Written, DataFrame, DataFrame]:
+    """``import_roi_json`` of documents of any length, as fragments (mask_id, doc_no, part_no, text) of ``export_roi_json``."""
+    key = ["mask_id", "doc_no"]
+    body = stage(_body(fragments).select(*key, "part_no", F.transform(
+        F.split("text", ","), lambda n: F.trim(n).try_cast("double")).alias("_runs")))
+    bad = body.where(F.exists("_runs", lambda n: n.isNull())).select(*key).distinct().withColumn("_bad", F.lit(True))
+    head = F.when((F.regexp_replace("tail", r"\s", "") == "]}}") & F.col("_bad").isNull(), F.concat("head", F.lit("]}}")))
+    d = _ends(fragments, key).join(bad, key, "left").select(*key, F.from_json(head, ROI_SCHEMA).alias("j"))
+    sized = scan(body.select(*key, "part_no", F.size("_runs").alias("_size")), key, "part_no", {"_end": F.col("_size")})
+    runs = body.join(sized.select(*key, "part_no", (F.col("_end") - F.col("_size")).alias("_before")), [*key, "part_no"]).select(
+        *key, "_before", F.posexplode("_runs").alias("_i", "length")).select(
+        *key, (F.col("_before") + F.col("_i") + 1).alias("run_no"), "length")
+    return _import_rois(d, runs, mask, masks, volumes, rois, max_class)
+
+
 def import_roi_json(docs: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois: DataFrame,
                     max_class: int | None = None) -> tuple[Written, DataFrame, DataFrame]:
     """Adds region documents (mask_id, doc_no, text) to masks: the written mask, the new registry, the refused.
 
     Documents are taken in the order ``doc_no``; each gets the next free class id, and later ones overwrite.
     """
+    d = docs.withColumn("j", F.from_json("text", ROI_SCHEMA)).drop("text")
+    return _import_rois(d, None, mask, masks, volumes, rois, max_class)
+
+
+def _import_rois(d: DataFrame, runs: DataFrame | None, mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois: DataFrame,
+                 max_class: int | None) -> tuple[Written, DataFrame, DataFrame]:
+    """Imports parsed documents (mask_id, doc_no, j) with their runs (mask_id, doc_no, run_no, length), which else are in ``j``."""
     key = ["mask_id", "doc_no"]
-    d = docs.withColumn("j", F.from_json("text", ROI_SCHEMA)).join(_grid(masks, volumes).select("mask_id", "nx", "ny", "nz"), "mask_id")
+    d = d.join(_grid(masks, volumes).select("mask_id", "nx", "ny", "nz"), "mask_id")
     m = F.col("j.mask")
     shaped = (
         (F.col("j.format") == ROI_FORMAT) & F.col("j.name").isNotNull() & (F.size("j.dimensions") == 3) & (F.size("j.spacing") == 3)
@@ -140,9 +180,12 @@ def import_roi_json(docs: DataFrame, mask: DataFrame, masks: DataFrame, volumes:
     reason = F.when(F.col("j").isNull() | ~F.coalesce(shaped, F.lit(False)), "unsupported ROI file format").when(
         ~_same_grid(F.col("j.dimensions")), "dimensions do not match").when(
         m["totalVoxels"] != F.col("nx").cast("double") * F.col("ny") * F.col("nz"), "mask length mismatch")
-    d = stage(d.withColumn("reject_reason", reason).drop("text"))
+    d = stage(d.withColumn("reject_reason", reason))
     good = d.where(F.col("reject_reason").isNull())
-    runs = good.select(*key, F.posexplode("j.mask.runs").alias("run_no", "length")).withColumn("run_no", F.col("run_no") + 1)
+    if runs is None:
+        runs = good.select(*key, F.posexplode("j.mask.runs").alias("run_no", "length")).withColumn("run_no", F.col("run_no") + 1)
+    else:
+        runs = attach(runs, good.select(*key), key, ["run_no"], "left_semi")
     heads = good.select(*key, F.col("j.mask.totalVoxels").cast("bigint").alias("total_voxels"),
                         F.col("j.mask.startsWith").cast("int").alias("starts_with"))
     positions, broken = rle.rle_binary_decode(runs, heads, key)
@@ -163,23 +206,47 @@ def import_roi_json(docs: DataFrame, mask: DataFrame, masks: DataFrame, volumes:
     return written, rois.unionByName(new.select(*rois.columns)), refused
 
 
+def import_package_fragments(fragments: DataFrame, masks: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``import_package`` of documents of any length, as fragments (mask_id, part_no, text) of ``export_package``."""
+    listed = F.from_json(F.concat(F.lit("["), F.col("text"), F.lit("]")), f"array<{TILE_SCHEMA}>")
+    body = stage(_body(fragments).select("mask_id", F.explode_outer(listed).alias("t")))
+    data = F.col("t.data")
+    broken = F.col("t.coord").isNull() | F.col("t.size").isNull() | data["totalVoxels"].isNull() | data["values"].isNull() | data["lengths"].isNull()
+    bad = body.where(broken).select("mask_id").distinct().withColumn("_bad", F.lit(True))
+    head = F.from_json(F.when(F.col("_bad").isNull(), F.concat("head", F.lit('],"rois":[]}'))), PACKAGE_SCHEMA)
+    tail = F.from_json(F.concat(F.lit('{"tiles":['), F.col("tail")), PACKAGE_SCHEMA)
+    d = _ends(fragments, ["mask_id"]).join(bad, "mask_id", "left").select("mask_id", head.alias("j"), tail.alias("_t"))
+    j = F.when(F.col("j").isNotNull(), F.col("j").withField("rois", F.col("_t.rois")))
+    return _import_package(d.select("mask_id", j.alias("j")), body, masks, volumes)
+
+
 def import_package(docs: DataFrame, masks: DataFrame, volumes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Restores segmentation documents (mask_id, text), one per mask: mask rows, registry, refused documents.
 
     The mask is cleared first. Regions come in class order; a document without usable ones gets one region
     per class in use.
     """
-    d = docs.withColumn("j", F.from_json("text", PACKAGE_SCHEMA)).join(_grid(masks, volumes).select("mask_id", "nx", "ny", "nz"), "mask_id")
+    return _import_package(docs.withColumn("j", F.from_json("text", PACKAGE_SCHEMA)).drop("text"), None, masks, volumes)
+
+
+def _import_package(d: DataFrame, tiles: DataFrame | None, masks: DataFrame,
+                    volumes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Restores parsed documents (mask_id, j) with their tiles (mask_id, t), which else are in ``j``."""
+    d = d.join(_grid(masks, volumes).select("mask_id", "nx", "ny", "nz"), "mask_id")
     shaped = (
         (F.col("j.format") == PACKAGE_FORMAT) & (F.size("j.dimensions") == 3) & (F.size("j.spacing") == 3)
         & F.col("j.classDataType").isin("uint8", "uint16") & F.col("j.chunkSize").isNotNull()
         & F.col("j.tiles").isNotNull() & F.col("j.rois").isNotNull())
     reason = F.when(F.col("j").isNull() | ~F.coalesce(shaped, F.lit(False)), "unsupported package format").when(
         ~_same_grid(F.col("j.dimensions")), "dimensions do not match")
-    d = stage(d.withColumn("reject_reason", reason).drop("text"))
+    d = stage(d.withColumn("reject_reason", reason))
     good = d.where(F.col("reject_reason").isNull())
     chunk = F.greatest(F.lit(rle.MIN_TILE), F.floor(F.when(F.col("j.chunkSize") != 0, F.col("j.chunkSize")).otherwise(rle.TILE))).cast("int")
-    tiles = good.select("mask_id", chunk.alias("chunk"), F.explode("j.tiles").alias("t")).select(
+    if tiles is None:
+        tiles = good.select("mask_id", chunk.alias("chunk"), F.explode("j.tiles").alias("t"))
+    else:
+        tiles = attach(tiles, good.select("mask_id", chunk.alias("chunk")), ["mask_id"], ["t"])
+    tiles = tiles.select(
         "mask_id", "chunk", *[F.col("t.coord")[i].alias(f"c{c}") for i, c in enumerate("xyz")],
         *[F.col("t.size")[i].alias(f"size_{c}") for i, c in enumerate("xyz")],
         F.col("t.data.totalVoxels").alias("total_voxels"), F.col("t.data.values").alias("values"), F.col("t.data.lengths").alias("lengths"))
