@@ -1,4 +1,4 @@
-"""Toxicity by a bidirectional gated recurrent network over all overlapping windows of a text.
+"""Toxicity by a bidirectional gated recurrent network over overlapping windows of a text, one start in 16 words.
 
 A text is cut into windows of ``WINDOW`` words, each ``STEP`` words after the one before; every window is scored and a
 document's score is its largest window's, calibrated. The network learns from whole documents: their labels say that
