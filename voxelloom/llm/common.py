@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from typing import AnyStr
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  registers pa.compute
@@ -77,4 +79,33 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 2
             yield batch.slice(start)
 
 
-__all__ = ["discard", "join_few", "lower_ascii", "once", "row_keys", "salted_join", "slices", "stage", "table", "text_of", "without"]
+def pieces(text: AnyStr, word: re.Pattern[AnyStr], size: int = 1 << 20) -> Iterator[AnyStr]:
+    """Parts of a text of about ``size``, cut where no word is cut; ``word`` matches runs of a set of characters."""
+    at = 0
+    while len(text) - at > size:
+        inside = word.match(text, at + size)
+        end = inside.end() if inside else at + size
+        yield text[at:end]
+        at = end
+    yield text[at:]
+
+
+class Remembered(dict):
+    """Values of a function of words; ``trim`` forgets them once they hold more than ``limit`` characters."""
+
+    def __init__(self, function: Callable[[AnyStr], int], limit: int = 16_000_000) -> None:
+        super().__init__()
+        self.function, self.limit, self.held = function, limit, 0
+
+    def __missing__(self, word: AnyStr) -> int:
+        self.held += len(word)
+        value = self[word] = self.function(word)
+        return value
+
+    def trim(self) -> None:
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
+
+
+__all__ = ["discard", "join_few", "lower_ascii", "once", "pieces", "Remembered", "row_keys", "salted_join", "slices", "stage", "table", "text_of", "without"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import licences
+from . import importance, licences, spelling, url_rules
 
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -117,4 +117,136 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
 FROM d LEFT JOIN by_doc b USING (doc_id)
 """
 
-ORACLES = {"op3_license_scan": LICENSES, "op6_disclosure_scan": DISCLOSURE, "op8_exact_dedup": EXACT_DEDUP}
+
+_GIVEN = ", ".join(f"('{r}', '{r.partition('/')[0]}', '/{r.partition('/')[2]}', '{v}')" for r, v in url_rules.RULES)
+
+
+def _tokens(kind: str, text: str) -> str:
+    return (f"list_transform(regexp_extract_all(translate({text}, '{_UP}', '{_LOW}'), '{url_rules.PARTS[kind]}'), lambda w: '{kind}:' || "
+            "CASE WHEN regexp_full_match(w, '[0-9]+') THEN w[1] || repeat('#', length(w) - 1) ELSE w END)")
+
+
+URL_RULES = rf"""
+WITH cut AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UP}', '{_LOW}') AS host,
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) AS query FROM cut),
+rules(rule, own, start, says) AS (VALUES {_GIVEN}),
+fits AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS given
+  FROM parts JOIN rules ON (host = own OR ends_with(host, '.' || own)) AND starts_with(path, start) GROUP BY page_id),
+urls AS MATERIALIZED (
+  SELECT page_id, host, path, rule, given, list_sort(list_distinct(list_concat({_tokens('h', 'host')},
+         list_concat({_tokens('p', 'path')}, {_tokens('q', 'query')})))) AS tokens
+  FROM parts LEFT JOIN fits USING (page_id)),
+labelled AS MATERIALIZED (
+  SELECT row_number() OVER () AS no, * FROM (SELECT DISTINCT host, path, tokens, given FROM urls WHERE given IS NOT NULL)),
+sums AS (
+  SELECT greatest({url_rules.LEAST}, ceil({url_rules.SUPPORT} * count(*)))::BIGINT AS need,
+         count(*) FILTER (given = 'block') / count(*) AS share FROM labelled),
+spread AS MATERIALIZED (SELECT no, given, unnest(tokens) AS token FROM labelled),
+useful AS (
+  SELECT token, -abs(count(*) FILTER (given = 'block') / count(*) - any_value(share)) AS rank FROM spread, sums
+  GROUP BY token HAVING count(*) >= any_value(need) ORDER BY count(*) DESC, token LIMIT {url_rules.TOKENS}),
+sets AS MATERIALIZED (
+  SELECT no, given, list_sort(list(token ORDER BY rank, token)[1:{url_rules.ITEMS}]) AS items
+  FROM spread JOIN useful USING (token) GROUP BY no, given),
+combined AS (
+  SELECT given, list_filter(items, lambda t, i: (bits >> (i - 1)) & 1 = 1) AS items
+  FROM (SELECT given, items, unnest(range(1, 1 << len(items))) AS bits FROM sets)),
+freqs AS (
+  SELECT items, says AS verdict, n_own AS freq, n_own / n AS confidence FROM (
+    SELECT items, count(*) AS n, count(*) FILTER (given = 'block') AS n_block FROM combined GROUP BY items),
+    LATERAL (VALUES ('block', n_block), ('allow', n - n_block)) AS v(says, n_own)),
+mined AS MATERIALIZED (
+  SELECT items, verdict, freq, confidence FROM freqs, sums WHERE freq >= need AND confidence >= {url_rules.CONFIDENCE}),
+kept AS MATERIALIZED (
+  SELECT * FROM mined m WHERE NOT EXISTS (
+    SELECT 1 FROM mined s WHERE s.verdict = m.verdict AND len(s.items) < len(m.items) AND list_has_all(m.items, s.items)
+      AND s.confidence >= m.confidence)
+  ORDER BY confidence DESC, freq DESC, len(items), array_to_string(items, ' '), verdict LIMIT {url_rules.MOST_RULES}),
+hits AS (
+  SELECT page_id, array_to_string(items, ' ') AS mined, verdict, confidence FROM urls JOIN kept ON list_has_all(tokens, items)
+  WHERE given IS NULL
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, freq DESC, len(items), array_to_string(items, ' '), verdict) = 1)
+SELECT page_id, host, path, rule, coalesce(given, verdict, 'allow') AS verdict, mined, confidence
+FROM urls LEFT JOIN hits USING (page_id)
+"""
+
+
+def _crc_table() -> list[int]:
+    """Remainders of the 256 bytes by the reflected polynomial 0xEDB88320."""
+    out = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        out.append(byte)
+    return out
+
+
+def _crc32(text: str) -> str:
+    pair = "strpos('0123456789ABCDEF', {h}[2 * i + 1]) * 16 + strpos('0123456789ABCDEF', {h}[2 * i + 2]) - 17".format(h=f"hex(encode({text}))")
+    return (f"xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(range(strlen({text})), lambda i: ({pair})::BIGINT)), "
+            f"lambda c, b: xor(c >> 8, ({_crc_table()}::BIGINT[])[xor(c, b) % 256 + 1])), 4294967295)")
+
+
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+RESAMPLING = rf"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS w FROM documents),
+b AS (SELECT regexp_extract_all(translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '{_WORD}') AS w FROM benchmark),
+dw AS MATERIALIZED (SELECT doc_id, w, count(*) AS n FROM (SELECT doc_id, unnest(w) AS w FROM d) GROUP BY ALL),
+bw AS MATERIALIZED (SELECT w, count(*) AS n FROM (SELECT unnest(w) AS w FROM b) GROUP BY ALL),
+buckets AS MATERIALIZED (
+  SELECT w, {_crc32('w')} % {importance.BUCKETS} AS bucket FROM (SELECT w FROM dw UNION SELECT w FROM bw)),
+own AS (SELECT bucket, sum(n)::DOUBLE AS s FROM dw JOIN buckets USING (w) GROUP BY bucket),
+other AS (SELECT bucket, sum(n)::DOUBLE AS t FROM bw JOIN buckets USING (w) GROUP BY bucket),
+gains AS MATERIALIZED (
+  SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1) * ((SELECT coalesce(sum(s), 0) FROM own) + {importance.BUCKETS})
+           / ((s + 1) * ((SELECT coalesce(sum(t), 0) FROM other) + {importance.BUCKETS}))))::BIGINT AS gain
+  FROM own LEFT JOIN other USING (bucket)),
+weights AS (SELECT doc_id, sum(n * gain)::BIGINT AS weight FROM dw JOIN buckets USING (w) JOIN gains USING (bucket) GROUP BY doc_id),
+hashed AS (
+  SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         list_reduce(list_concat([0::BIGINT], list_transform(range(8), lambda i: (strpos('0123456789abcdef',
+           sha256('{importance.SEED}' || doc_id)[i + 1]) - 1)::BIGINT)), lambda a, x: a * 16 + x)::DOUBLE AS h
+  FROM d LEFT JOIN weights USING (doc_id)),
+scores AS MATERIALIZED (
+  SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0)))::BIGINT AS score FROM hashed),
+ranks AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS total FROM scores
+  WHERE n_features >= {importance.WORDS})
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= {importance.SHARE} * total // 100 THEN rank END AS rank
+FROM scores LEFT JOIN ranks USING (doc_id)
+"""
+
+SPELLING = rf"""
+WITH RECURSIVE runs AS MATERIALIZED (
+  SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(
+    translate(coalesce(text, ''), '{_UP}', '{_LOW}'), '[a-z\x{{00C0}}-\x{{00FF}}]{{{spelling.SHORTEST},}}')) AS run FROM documents) GROUP BY ALL),
+hashed AS (SELECT run, n, {_crc32("(doc_id || ':' || run)")} AS h FROM runs),
+words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM (
+    SELECT n, CASE WHEN h % {spelling.DROPPED} = 0 THEN run[1:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word FROM hashed)
+  WHERE length(word) >= {spelling.SHORTEST} GROUP BY word HAVING sum(n) >= {spelling.LEAST}),
+gaps AS MATERIALIZED (
+  SELECT word, n, i, word[1:i] || word[i + 2:] AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+pairs AS MATERIALIZED (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM gaps a JOIN gaps b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT g.word, w.word, w.n FROM gaps g JOIN words w ON g.rest = w.word
+  UNION SELECT w.word, g.word, g.n FROM gaps g JOIN words w ON g.rest = w.word),
+best AS (
+  SELECT word, count(*) AS n_near, min({{'n': -near_n, 'form': near}}) AS best FROM pairs GROUP BY word),
+named AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN -best.n >= {spelling.RATIO} * n THEN best.form END AS form,
+         CASE WHEN -best.n >= {spelling.RATIO} * n THEN -best.n END AS form_n FROM words LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, form AS root FROM named WHERE form IS NOT NULL
+  UNION ALL SELECT c.word, f.form FROM chain c JOIN named f ON f.word = c.root AND f.form IS NOT NULL),
+last AS (SELECT c.word, c.root FROM chain c JOIN named f ON f.word = c.root AND f.form IS NULL)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM named LEFT JOIN last USING (word)
+"""
+
+ORACLES = {"op3_license_scan": LICENSES, "op6_disclosure_scan": DISCLOSURE, "op8_exact_dedup": EXACT_DEDUP,
+           "op11_url_rules": URL_RULES, "op12_importance_resampling": RESAMPLING, "op13_spelling_variants": SPELLING}

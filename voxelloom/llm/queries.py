@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, disclosure, exact_dedup, licences, quality, repeats, simhash, templates, toxicity
+from . import (bpe, decontaminate, disclosure, exact_dedup, importance, licences, quality, repeats, simhash, spelling, templates,
+               toxicity, url_rules)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -54,8 +55,21 @@ def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge(table(spark, sf_dir, "pages"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f for f in (
         op1_bucket_refined_repeats, op2_spaced_seed_decontamination, op3_license_scan, op4_quality_discriminant,
-        op5_simhash_near_dedup, op6_disclosure_scan, op7_template_extraction, op8_exact_dedup, op9_byte_bpe, op10_toxicity_gru)
+        op5_simhash_near_dedup, op6_disclosure_scan, op7_template_extraction, op8_exact_dedup, op9_byte_bpe, op10_toxicity_gru,
+        op11_url_rules, op12_importance_resampling, op13_spelling_variants)
 }
