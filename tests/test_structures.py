@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, Not
 
-from voxelloom.operators import history
-from voxelloom.sources import volume_format
+from voxelloom.operators import history, measure, projection
+from voxelloom.sources import bricktree, volume_format
+from voxelloom.streaming import edits as edit_stream, voxel_state
 
 
 # ---- data source -----------------------------------------------------------------------------
@@ -147,3 +149,120 @@ def test_history_mask(spark, grid, labels):
     for r in out.collect():
         got[r.z, r.y, r.x] = r.class_id
     assert (got == state).all()
+
+
+# ---- brick tree ------------------------------------------------------------------------------
+
+def rows_read(df):
+    """Rows that the scan of a plan without a shuffle hands on."""
+    df.write.format("noop").mode("overwrite").save()
+    rows = df.collect()  # the metrics belong to this frame's own plan
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().get("numOutputRows").get().value(), len(rows)
+
+
+@pytest.fixture
+def tree(spark, grid, tmp_path):
+    rng = np.random.default_rng(6)
+    a = rng.integers(0, 50, (20, 37, 70)).astype(float)
+    a[3:6, 30:, 60:] = 900
+    a[8:16, 8:16, 8:16] = np.nan
+    arrays = {"a": a, "b": rng.integers(0, 40, (3, 2, 2)).astype(float)}
+    voxels, volumes = grid(**arrays)
+    path = str(tmp_path / "tree")
+    top = bricktree.write_tree(voxels.repartition(4), volumes, path, 4, file_bytes=8 * 64 * 30)
+    return path, arrays, top, voxels
+
+
+def test_tree_levels(spark, tree):
+    path, arrays, top, _ = tree
+    levels = {}
+    for r in bricktree.read_levels(spark, path).collect():
+        levels.setdefault((r.volume_id, r.level), {})[r.code] = (r.vmin, r.vmax, r.bricks)
+    assert top == 5 and set(levels) == {(v, n) for v in "ab" for n in range(6)}
+    for (name, level), nodes in levels.items():
+        a, side = arrays[name], 4 << level
+        want = {}
+        for z in range(0, a.shape[0], side):
+            for y in range(0, a.shape[1], side):
+                for x in range(0, a.shape[2], side):
+                    part = a[z:z + side, y:y + side, x:x + side]
+                    code = sum((c // side >> i & 1) << 3 * i + k for i in range(8) for k, c in enumerate((x, y, z)))
+                    known = part[~np.isnan(part)]
+                    bricks = int(np.prod([-(-n // 4) for n in part.shape]))
+                    want[code] = (known.min() if len(known) else None, known.max() if len(known) else None, bricks)
+        assert nodes == want
+
+
+def test_search_reads_few_bricks(spark, tree):
+    path, arrays, _, _ = tree
+    every = spark.read.parquet(f"{path}/bricks").count()
+    found = bricktree.search(spark, path, F.col("vmax") >= 800.0)
+    scanned, kept = rows_read(spark.read.parquet(f"{path}/bricks").where(found.pruned))
+    assert kept == found.codes.count() == 18 and scanned < every / 4
+    got = {(r.volume_id, r.z, r.y, r.x) for r in bricktree.threshold(spark, path, 800, 1000, 4).collect()}
+    assert got == {("a", *map(int, at)) for at in np.argwhere(arrays["a"] >= 800)}
+    assert bricktree.threshold(spark, path, 5000, 9000, 4).count() == 0
+
+
+@pytest.mark.parametrize("nodes", [bricktree.NODES, 3])
+def test_threshold_at_any_width(spark, tree, monkeypatch, nodes):
+    """With few nodes at the driver, the last narrow level prunes and the joins do the rest."""
+    path, arrays, _, _ = tree
+    monkeypatch.setattr(bricktree, "NODES", nodes)
+    got = {(r.volume_id, r.z, r.y, r.x) for r in bricktree.threshold(spark, path, 48, 1000, 4).collect()}
+    assert got == {(n, *map(int, at)) for n, a in arrays.items() for at in np.argwhere(a >= 48)}
+
+
+@pytest.mark.parametrize("axis", ["xy", "xz", "yz"])
+def test_project_visible_tree(spark, tree, axis):
+    path, _, _, voxels = tree
+    want = {(r.volume_id, r.row, r.col): (r.vmax, r.vmin, round(r.vavg, 9)) for r in projection.project_visible(voxels, axis, 48, 4).collect()}
+    got = {(r.volume_id, r.row, r.col): (r.vmax, r.vmin, round(r.vavg, 9)) for r in bricktree.project_visible(spark, path, axis, 48, 4).collect()}
+    assert got == want
+
+
+def test_ranges():
+    nodes = [("a", c) for c in (1, 2, 3, 9, 10, 50)] + [("b", 4)]
+    assert bricktree.ranges_of(nodes) == [("a", 1, 3), ("a", 9, 10), ("a", 50, 50), ("b", 4, 4)]
+    assert bricktree.ranges_of(nodes, 3) == [("a", 1, 10), ("a", 50, 50), ("b", 4, 4)]
+    assert bricktree.ranges_of(nodes, 1) == [("a", 1, 50), ("b", 4, 4)]  # volumes are never joined
+    assert bricktree.ranges_of([]) == []
+
+
+# ---- stream state per voxel ------------------------------------------------------------------
+
+def test_voxel_state_over_batches_and_a_restart(spark, grid, labels, tmp_path):
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 50, (2, 20, 20)).astype(float)
+    voxels, volumes = grid(a=a)
+    _, masks = labels(np.zeros((1, 1, 1), int))
+    edits = "mask_id string, seq bigint, z int, y int, x int, after_class int"
+    rows = [("m", i, int(rng.integers(2)), int(rng.integers(20)), int(rng.integers(20)), int(rng.integers(3))) for i in range(900)]
+    rows += [("m", 900 + i, 1, 1, 1, i % 3) for i in range(300)]  # one voxel gets a quarter of all edits
+    source = tmp_path / "in"
+
+    def arrive(part):
+        spark.createDataFrame(part, edits).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run():
+        stream = spark.readStream.schema(edits).option("maxFilesPerTrigger", 1).parquet(str(source))
+        voxel_state.follow_stats(stream, masks, voxels, str(tmp_path / "out"), str(tmp_path / "check"), volumes=volumes).awaitTermination()
+
+    before = spark.conf.get(voxel_state._SETTING)
+    arrive(rows[:400])
+    arrive(rows[400:800])
+    run()
+    arrive(rows[800:])
+    arrive(rows[100:300])  # repeated
+    arrive([("m", 3, 1, 1, 1, 9)])  # late
+    run()  # a new query goes on where the first one ended
+    assert spark.conf.get(voxel_state._SETTING) == before
+    cls = np.zeros(a.shape, int)
+    for _, _, z, y, x, c in rows:
+        cls[z, y, x] = c
+    got = {r.class_id: r for r in measure.stats_of(edit_stream.current_moments(spark, str(tmp_path / "out")), volumes).collect()}
+    for c in (1, 2):
+        v = a[cls == c]
+        assert got[c].voxels == len(v) and abs(got[c].mean - v.mean()) < 1e-9 and abs(got[c]["std"] - v.std()) < 1e-6
+    assert 9 not in got or got[9].voxels == 0

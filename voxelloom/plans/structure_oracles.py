@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import source_oracles  # noqa: F401  the SQL that some queries share
 from .oracles import ORACLES, oracle
 
 oracle("volume_source", "vox", """SELECT volume_id, z, y, x, CAST(CAST(v AS FLOAT) AS DOUBLE) AS v FROM vox
@@ -37,3 +38,20 @@ last AS (
   SELECT m, (event_id * 7919) % 500 AS lin, arg_max(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 3
          WHEN 'signup' THEN 4 ELSE 0 END, event_id) AS c FROM ops JOIN events ON event_id = op_seq GROUP BY ALL)
 SELECT 'm_' || m AS mask_id, 0 AS z, CAST(lin // 20 AS INT) AS y, CAST(lin % 20 AS INT) AS x, c AS class_id FROM last WHERE c <> 0""")
+
+# ---- brick tree ------------------------------------------------------------------------------
+
+CODE = " + ".join(f"((({c} >> {i}) & 1) << {3 * i + k})" for i in range(16) for k, c in enumerate(("x // 8", "y // 8", "z // 8")))
+oracle("tree_levels", "vox", f""", b AS MATERIALIZED (
+  SELECT volume_id, CAST({CODE} AS BIGINT) AS code, MIN(v) AS lo, MAX(v) AS hi, greatest(MAX(x), MAX(y), MAX(z)) // 8 AS far FROM vox GROUP BY 1, 2),
+l AS (SELECT UNNEST(range(17)) AS level)
+SELECT volume_id, CAST(level AS INT) AS level, code >> CAST(3 * level AS BIGINT) AS code, CAST(MIN(lo) AS DOUBLE) AS vmin, CAST(MAX(hi) AS DOUBLE) AS vmax,
+       COUNT(*) AS bricks FROM b, l WHERE level = 0 OR (SELECT MAX(far) FROM b) >= 1 << (level - 1) GROUP BY 1, 2, 3""")
+ORACLES["project_visible_tree"] = ORACLES["project_visible"].replace(
+    "THEN v END), 0) AS v", "THEN CAST(v AS DOUBLE) END), 0) AS v")
+oracle("threshold_tree", "vox", "SELECT volume_id, z, y, x, CAST(v AS DOUBLE) AS v FROM vox WHERE v BETWEEN 49000 AND 1000000")
+
+# ---- streams ---------------------------------------------------------------------------------
+
+ORACLES["stream_voxel_state"] = ORACLES["stream_edits_on_mask"]
+ORACLES["stream_voxel_stats"] = ORACLES["stream_stats"]

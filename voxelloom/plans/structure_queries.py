@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import history
-from ..sources import volume_format
+from ..operators import history, measure
+from ..scale import stage
+from ..sources import bricktree, volume_format
+from ..streaming import edits as edit_stream, voxel_state
 from .grids import EVENT_CLASS, Grids
-from .queries import query
-from .source_queries import _folder
+from .queries import _projected, _stats, query
+from .source_queries import _edit_stream, _folder, _net_moves, _spread_edits
 
 
 # ---- data source -----------------------------------------------------------------------------
@@ -49,3 +51,48 @@ def history_mask(g):
         f"concat('m_', event_id % {LOGS}) as mask_id", "event_id as op_seq", "0 as z",
         "cast(((event_id * 7919) % 500) div 20 as int) as y", "cast((event_id * 7919) % 20 as int) as x", f"{EVENT_CLASS} as after_class")
     return history.replay(_commands(g), changes, g.no_mask, masks, g.edit_volumes, block=256).mask
+
+
+# ---- brick tree ------------------------------------------------------------------------------
+
+def _tree(g: Grids) -> str:
+    path = _folder(g, "tree")
+    bricktree.write_tree(g.voxels, g.volumes, path, file_bytes=1 << 16)
+    return path
+
+
+@query
+def tree_levels(g):
+    return bricktree.read_levels(g.spark, _tree(g))
+
+
+@query
+def project_visible_tree(g):
+    return _projected(bricktree.project_visible(g.spark, _tree(g), "xy", 48_000))
+
+
+@query
+def threshold_tree(g):
+    return bricktree.threshold(g.spark, _tree(g), 49_000, 1_000_000)
+
+
+# ---- streams ---------------------------------------------------------------------------------
+
+@query
+def stream_voxel_state(g):
+    """What a stream of all events changes in a mask; every tenth edit lies outside its grid, every one comes twice."""
+    path = _folder(g, "edits")
+    edits = _edit_stream(g).withColumns({"mask_id": F.lit("m_type"), "x": F.expr("if(seq % 10 = 0, x + 20, x)")})
+    twice = edits.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    voxel_state.follow(twice, path + "/log", path + "/checkpoint", mask=g.mask, masks=g.masks, volumes=g.volumes).awaitTermination()
+    return _net_moves(edit_stream.change_log(g.spark, path + "/log"))
+
+
+@query
+def stream_voxel_stats(g):
+    """Running statistics per class over all slices of events: one state entry per voxel."""
+    path = _folder(g, "stats")
+    voxels = g.voxels.where("volume_id = 'events'").withColumn("volume_id", F.lit("edit"))
+    voxel_state.follow_stats(_spread_edits(g), g.edit_masks, stage(voxels), path + "/moments", path + "/checkpoint").awaitTermination()
+    moments = edit_stream.current_moments(g.spark, path + "/moments").where("class_id > 0")
+    return _stats(measure.stats_of(moments, g.edit_volumes))
