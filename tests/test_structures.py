@@ -1,12 +1,14 @@
 """The structures that spare reading, against brute force and with what they read as evidence."""
 
+import uuid
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, Not
 
-from voxelloom.operators import history, measure, projection
-from voxelloom.sources import bricktree, volume_format
+from voxelloom.operators import history, measure, projection, raymerge, rectindex, runsets
+from voxelloom.sources import bricks, bricktree, colocated, volume_format
 from voxelloom.streaming import edits as edit_stream, voxel_state
 
 
@@ -266,3 +268,107 @@ def test_voxel_state_over_batches_and_a_restart(spark, grid, labels, tmp_path):
         v = a[cls == c]
         assert got[c].voxels == len(v) and abs(got[c].mean - v.mean()) < 1e-9 and abs(got[c]["std"] - v.std()) < 1e-6
     assert 9 not in got or got[9].voxels == 0
+
+
+# ---- co-located bricks -----------------------------------------------------------------------
+
+def test_colocated_stats_need_no_shuffle_below_the_sum(spark, grid, labels):
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=(7, 10, 13))
+    cls = rng.integers(0, 4, a.shape)
+    voxels, volumes = grid(a=a)
+    mask, masks = labels(cls)
+    more, more_masks = labels(rng.integers(0, 2, a.shape), mask_id="n")
+    names = [f"t{uuid.uuid4().hex}" for _ in range(2)]
+    colocated.write_grid(voxels, volumes, names[0], 4, 4)
+    colocated.write_mask(mask.unionByName(more), masks.unionByName(more_masks), volumes, names[1], 4, 4)
+    got = colocated.class_moments(spark, *names)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.index("HashAggregate") < plan.index("Exchange") < plan.index("SortMergeJoin")
+    rows = {(r.mask_id, r.class_id): r for r in got.collect()}
+    for c in (1, 2, 3):
+        v = a[cls == c]
+        r = rows["m", c]
+        assert (r.voxels, r.samples) == (len(v), len(v)) and np.allclose([r.total, r.total_sq], [v.sum(), (v * v).sum()])
+    assert ("n", 1) in rows
+    for n in names:
+        spark.sql(f"drop table {n}")
+
+
+# ---- merged rays -----------------------------------------------------------------------------
+
+@pytest.mark.parametrize("axis", ["xy", "xz", "yz"])
+def test_composite_by_segments(spark, grid, axis):
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 100, (11, 9, 14)).astype(float)
+    a[:, 2, 3] = 100.0  # opaque at once
+    a[:, 5, 6] = 0.0
+    voxels, volumes = grid(a=a)
+    shade = lambda v: np.stack([v / 100, 1 - v / 100, np.full_like(v, 0.5), np.where(v == 100, 1.0, v / 400)], axis=-1)
+    got = raymerge.composite(bricks.to_bricks(voxels, volumes, 4), axis, shade, 4)
+    fixed = {"xy": 0, "xz": 1, "yz": 2}[axis]
+    rays = np.moveaxis(a, fixed, 2)
+    seen = set()
+    for r in got.collect():
+        want, front = np.zeros(4), 1.0
+        for v in rays[r.row, r.col]:
+            if 1 - front >= 0.95:
+                break
+            red, green, blue, alpha = shade(np.array(v))
+            want += front * alpha * np.array([red, green, blue, 1.0])
+            front *= 1 - alpha
+        assert np.allclose([r.r, r.g, r.b, r.alpha], want, atol=1e-9)
+        seen.add((r.row, r.col))
+    assert seen == set(np.ndindex(rays.shape[:2]))
+
+
+# ---- run sets --------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("block", [5, 1 << 20])
+def test_run_sets(spark, block):
+    rng = np.random.default_rng(block)
+
+    def runs(sets):
+        out = []
+        for key, bits in sets.items():
+            at = np.flatnonzero(np.diff(np.concatenate([[0], bits, [0]])))
+            for st, end in zip(at[::2], at[1::2]):
+                middle = (st + end) // 2  # neighbours may touch
+                out += [(key, int(st), int(end - st))] if end - st < 4 else [(key, int(st), int(middle - st)), (key, int(middle), int(end - middle))]
+        return spark.createDataFrame(out, "k string, st bigint, len bigint")
+
+    a = {k: (rng.random(n) < p).astype(int) for k, n, p in (("x", 200, .5), ("y", 60, .9), ("only a", 20, .5))}
+    b = {k: (rng.random(n) < p).astype(int) for k, n, p in (("x", 200, .3), ("y", 60, .2), ("only b", 20, .5))}
+    for fn, holds in ((runsets.union, np.logical_or), (runsets.difference, lambda p, q: p & ~q), (runsets.intersection, np.logical_and)):
+        got = {}
+        for r in fn(runs(a), runs(b), ["k"], block).collect():
+            got.setdefault(r.k, []).append((r.st, r.st + r.len))
+        for k in {*a, *b}:
+            n = len(a.get(k, b.get(k)))
+            bits = holds(*(s.get(k, np.zeros(n, int)).astype(bool) for s in (a, b)))
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], bits.astype(int), [0]])))
+            assert sorted(got.get(k, [])) == [(int(s), int(e)) for s, e in zip(edges[::2], edges[1::2])]
+
+
+# ---- rectangles ------------------------------------------------------------------------------
+
+@pytest.mark.parametrize("tile", [4, 64])
+def test_rectangles_by_blocks(spark, grid, tile):
+    rng = np.random.default_rng(tile)
+    a = rng.normal(size=(2, 37, 45))
+    a[0, 5:9, 5:30] = np.nan
+    a[1] = 3.0  # flat
+    voxels, volumes = grid(a=a)
+    rects = [(i, "a", int(rng.integers(3)), *(float(x) for x in rng.uniform(-4, 50, 4))) for i in range(150)]
+    rects += [(200 + i, "a", 0, 0.0, 0.0, 44.9, 36.0) for i in range(50)] + [(300, "a", 0, 3.0, 3.0, 3.5, 9.0)]
+    frame = spark.createDataFrame(rects, "rect_id int, volume_id string, idx int, x1 double, y1 double, x2 double, y2 double")
+    want = {(r.rect_id, r.vmin, r.vmax) for r in measure.rect_range(frame, voxels, volumes, "xy").collect()}
+    got = {(r.rect_id, r.vmin, r.vmax) for r in rectindex.rect_range(frame, voxels, volumes, "xy", tile).collect()}
+    assert got == want and len(want) > 60
+
+
+def test_dyadic_cover(spark):
+    rows = spark.createDataFrame([(a, b) for a in range(0, 40, 3) for b in range(a + 1, 45)], "a int, b int")
+    for r in rows.select("a", "b", rectindex.dyadic(F.col("a"), F.col("b")).alias("n")).collect():
+        cells = [x for n in r.n for x in range(n.no << n.level, n.no + 1 << n.level)]
+        assert sorted(cells) == list(range(r.a, r.b)) and len(r.n) <= 2 * 6

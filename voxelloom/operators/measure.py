@@ -13,11 +13,10 @@ from .slicing import slices
 TILE = 64
 
 
-def rect_range(rects: DataFrame, voxels: DataFrame, volumes: DataFrame, axis: str) -> DataFrame:
-    """Value range in each rectangle (rect_id, volume_id, idx, x1, y1, x2, y2), corners inclusive.
+def clipped(rects: DataFrame, volumes: DataFrame, axis: str) -> DataFrame:
+    """Rectangles with their cells from (_v0, _u0) to (_v1, _u1): corners are floored and clipped to the slice.
 
-    Corners are floored and clipped to the slice. Rectangles without area and flat ones give no row. The
-    range join becomes an equi-join on the tiles a rectangle covers.
+    Rectangles without area are left out.
     """
     _, nu, nv = axis_dims(axis)
     at = attach(rects, volumes.select("volume_id", F.col(nu).alias("_w"), F.col(nv).alias("_h")),
@@ -27,10 +26,19 @@ def rect_range(rects: DataFrame, voxels: DataFrame, volumes: DataFrame, axis: st
         pick = F.least(dbl(a), dbl(b)) if low else F.greatest(dbl(a), dbl(b))
         return clamp(F.floor(pick), 0, F.col(n) - 1).cast("int")
 
-    at = at.withColumns({
+    return at.withColumns({
         "_u0": corner("x1", "x2", "_w", True), "_u1": corner("x1", "x2", "_w", False),
         "_v0": corner("y1", "y2", "_h", True), "_v1": corner("y1", "y2", "_h", False),
     }).where((F.col("_u1") > F.col("_u0")) & (F.col("_v1") > F.col("_v0")))
+
+
+def rect_range(rects: DataFrame, voxels: DataFrame, volumes: DataFrame, axis: str) -> DataFrame:
+    """Value range in each rectangle (rect_id, volume_id, idx, x1, y1, x2, y2), corners inclusive.
+
+    Flat rectangles give no row. The range join becomes an equi-join on the tiles a rectangle covers; for many or large
+    rectangles see ``rectindex``.
+    """
+    at = clipped(rects, volumes, axis)
     tiles = at.select(
         "rect_id", "volume_id", "idx", "_u0", "_u1", "_v0", "_v1",
         F.explode(F.expr(f"sequence(_v0 div {TILE}, _v1 div {TILE})")).alias("_tv"),

@@ -55,3 +55,14 @@ oracle("threshold_tree", "vox", "SELECT volume_id, z, y, x, CAST(v AS DOUBLE) AS
 
 ORACLES["stream_voxel_state"] = ORACLES["stream_edits_on_mask"]
 ORACLES["stream_voxel_stats"] = ORACLES["stream_stats"]
+
+# ---- co-located bricks, merged rays, run sets ------------------------------------------------
+
+ORACLES["roi_stats_colocated"] = ORACLES["roi_stats"]
+ORACLES["composite_bricks"] = ORACLES["composite_z"]
+for _name, _holds in (("union", "a OR b"), ("difference", "a AND NOT b"), ("intersection", "a AND b")):
+    oracle(f"runs_{_name}", "vox dense", f""", m AS (
+  SELECT d.mask_id, d.lin, d.class_id = 1 AS a, v > 5000 AS b FROM dense d JOIN vox ON vox.volume_id = d.volume_id AND vox.lin = d.lin),
+r AS (SELECT mask_id, lin, lin - ROW_NUMBER() OVER (PARTITION BY mask_id ORDER BY lin) AS grp FROM m WHERE {_holds})
+SELECT mask_id, MIN(lin) AS st, COUNT(*) AS len FROM r GROUP BY mask_id, grp""")
+ORACLES["rect_range_indexed"] = ORACLES["rect_range"]

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, functions as F
 
-from ..operators import history, measure
-from ..scale import stage
-from ..sources import bricktree, volume_format
+from ..model import linear_index
+from ..operators import appearance, history, measure, raymerge, rectindex, rle, runsets
+from ..scale import attach, stage
+from ..sources import bricks, bricktree, colocated, volume_format
 from ..streaming import edits as edit_stream, voxel_state
 from .grids import EVENT_CLASS, Grids
-from .queries import _projected, _stats, query
+from .queries import _bright, _projected, _stats, query, r6
 from .source_queries import _edit_stream, _folder, _net_moves, _spread_edits
 
 
@@ -96,3 +99,50 @@ def stream_voxel_stats(g):
     voxel_state.follow_stats(_spread_edits(g), g.edit_masks, stage(voxels), path + "/moments", path + "/checkpoint").awaitTermination()
     moments = edit_stream.current_moments(g.spark, path + "/moments").where("class_id > 0")
     return _stats(measure.stats_of(moments, g.edit_volumes))
+
+
+# ---- co-located bricks, merged rays, run sets ------------------------------------------------
+
+@query
+def roi_stats_colocated(g):
+    grid, mask = (f"voxelloom_{uuid.uuid4().hex}_{kind}" for kind in ("grid", "mask"))
+    colocated.write_grid(g.voxels, g.volumes, grid, buckets=8)
+    colocated.write_mask(g.mask, g.masks, g.volumes, mask, buckets=8)
+    return _stats(colocated.roi_stats(g.spark, grid, mask, g.volumes, g.rois))
+
+
+@query
+def composite_bricks(g):
+    shade = raymerge.tf_shade(appearance.tf_lut(g.spark, "Grayscale"), 0.0, 50_000.0)
+    out = raymerge.composite(stage(bricks.to_bricks(g.voxels, g.volumes, 8)), "xy", shade, 8)
+    return out.select("volume_id", "row", "col", *[r6(c).alias(c) for c in ("r", "g", "b", "alpha")])
+
+
+def _run_sets(g: Grids) -> tuple[DataFrame, DataFrame]:
+    """Runs of class 1 and of bright voxels."""
+    grids = g.masks.join(g.volumes.select("volume_id", "nx", "ny"), "volume_id").select("mask_id", "nx", "ny")
+
+    def runs(cells: DataFrame) -> DataFrame:
+        at = attach(cells, grids, ["mask_id"], ["z", "y", "x"])
+        return stage(rle.islands(at.select("mask_id", linear_index().alias("linear")), ["mask_id"]))
+    return runs(g.mask.where("class_id = 1").drop("class_id")), runs(_bright(g))
+
+
+@query
+def runs_union(g):
+    return runsets.union(*_run_sets(g), ["mask_id"])
+
+
+@query
+def runs_difference(g):
+    return runsets.difference(*_run_sets(g), ["mask_id"])
+
+
+@query
+def runs_intersection(g):
+    return runsets.intersection(*_run_sets(g), ["mask_id"])
+
+
+@query
+def rect_range_indexed(g):
+    return rectindex.rect_range(g.rects, g.voxels, g.volumes, "xy", tile=8)
