@@ -73,8 +73,10 @@ def test_repeats(corpus):
             if seen[raw[i:i + 400]] > 1:
                 gone[i:i + 400] = True
         kept = bytes(b for b, g in zip(raw, gone) if not g)
-        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        want[(d, len(raw), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest())] += 1
+        starts = [i for i, g in enumerate(gone) if g and not (i and gone[i - 1])]
+        ends = [i + 1 for i, g in enumerate(gone) if g and not (i + 1 < len(gone) and gone[i + 1])]
+        removed = ",".join(f"{a}:{b}" for a, b in zip(starts, ends))
+        want[(d, len(raw), int(gone.sum()), len(starts), hashlib.sha256(kept).hexdigest(), removed)] += 1
     got = Counter(tuple(r) for r in repeats.remove(corpus).drop("kept").collect())
     assert got == want and any(k[2] for k in want)
 
@@ -155,20 +157,52 @@ def test_decontamination_finds_spoilt_ends_and_short_items(spark):
 
 # ---- 3: licences -----------------------------------------------------------------------------
 
+def _licence_blocks(low, template):
+    """Word sets of the lines, and of stretches over line ends as long as the template's phrase."""
+    lines = [re.findall(licences.WORD, b) for b in low.split("\n")]
+    yield from map(set, lines)
+    words = [(w, i) for i, b in enumerate(lines) for w in b]
+    for s in range(len(words) - template.length + 1):
+        if words[s][1] < words[s + template.length - 1][1]:
+            yield {w for w, _ in words[s:s + template.length]}
+
+
+def _licence_labels(text):
+    low = "".join(c.lower() if c.isascii() else c for c in text or "")
+    for t in licences.template_sets():
+        for b in _licence_blocks(low, t):
+            if len(b & set(t.words)) >= t.need and b >= set(t.apart) and not any(b >= set(more) for more in t.longer):
+                yield t.label
+
+
 def test_licences(spark):
     texts = [None, "", "CC-BY and cc by", "General  Public\nLicense", "under the Apache License, Version 2.0 licensed\nx",
-             "All rights, reserved. ALL RIGHTS RESERVED", "the license of the version", "apache license version", "éCC BY"]
+             "All rights, reserved. ALL RIGHTS RESERVED", "the license of the version", "apache license version", "éCC BY",
+             "Licensed under CC BY 4.0\nand all\nrights are reserved under the\nGNU General Public License version 2 or 3", "mit " * 900]
     docs = spark.createDataFrame([(i, t, "a", "b", 1, 0) for i, t in enumerate(texts)], DOCS)
     got = {r["doc_id"]: r for r in licences.scan(docs).collect()}
-    sets = licences.template_sets()
     for i, t in enumerate(texts):
         low = "".join(c.lower() if c.isascii() else c for c in t or "")
         words = re.findall(licences.WORD, low)
         places = [(k, label) for phrase, label in licences.PHRASES for k in range(len(words)) if words[k:k + len(phrase.split())] == phrase.split()]
-        more = {label for b in low.split("\n") for _, label, ws, need in sets if len(set(ws) & set(re.findall(licences.WORD, b))) >= need}
         assert (got[i]["n_words"], got[i]["n_base"]) == (len(words), len(places))
         assert got[i]["first_word"] == min((k for k, _ in places), default=None)
-        assert got[i]["labels"] == ",".join(sorted(more | {label for _, label in places}))
+        assert got[i]["labels"] == ",".join(sorted({*_licence_labels(t), *(label for _, label in places)}))
+
+
+def test_licences_that_differ_in_a_word(spark):
+    cases = {
+        "Licensed under CC BY 4.0.": "cc-by", "Licensed under CC BY-NC 4.0.": "cc-by,cc-by-nc", "Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY-NC-SA 4.0": "cc-by,cc-by-nc-sa", "Licensed under CC BY-NC-ND 4.0": "cc-by,cc-by-nc-nd",
+        "Released under the BSD license.": "bsd", "Released under the MIT license.": "mit", "Released under the ISC license": "isc",
+        "Released under the Apache license": "apache-2.0", "Released under the Foo license.": "",
+        "This work is licensed under the GNU General Public License version 2": "gpl,gpl-2.0",
+        "This work is licensed under the GNU General Public License version 3": "gpl,gpl-3.0",
+        "Licensed under the GNU Affero General Public License, version 3": "agpl-3.0,gpl",
+        "Licensed under the GNU Lesser General Public License, version 3": "gpl,lgpl-3.0"}
+    docs = spark.createDataFrame([(i, t, "a", "b", 1, 0) for i, t in enumerate(cases)], DOCS)
+    got = {r["doc_id"]: r["labels"] for r in licences.scan(docs).collect()}
+    assert {t: got[i] for i, t in enumerate(cases)} == cases
 
 
 def test_wrapped_licences(spark):
@@ -304,6 +338,43 @@ def test_revealing_words(spark):
     assert set(clean) == {0, 1, 2} and "[EMAIL]" in clean[0] and "Zorblatt7" not in clean[0] and "the first day" in clean[0]
 
 
+def test_revealing_words_against_brute_force(spark):
+    """Words near entities, over line ends and in copies; entities that touch words, each other and the ends of the text."""
+    rng = random.Random(4)
+    people = [(f"p{i}@mail.org", f"Name{i}", f"+49 (30) 123 45{i}0") for i in range(4)]
+    texts = []
+    for _ in range(60):
+        words = [rng.choice("a is the of Xu corpus day night é ü1 22".split()) for _ in range(rng.randrange(0, 60))]
+        for mail, name, phone in rng.sample(people, rng.choice([0, 1, 1, 2])):
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = [name, rng.choice(["", "\n\n", "at"]), rng.choice([mail, phone, "é" + mail, mail + ";" + mail])]
+        texts.append(rng.choice([" ", "\n"]).join(words))
+    texts += ["Name9\nsigns\np9@mail.org"] * 30 + [people[0][0] + people[1][0], "x " * 3000 + "p0@mail.org " + "y " * 3000, None, ""]
+    docs = spark.createDataFrame([(i, t, "a", "b", 1, 0) for i, t in enumerate(texts)], DOCS)
+    got = {r["doc_id"]: r["spans"] for r in disclosure.scan(docs).collect()}
+    base = {d: [(k, int(a), int(b)) for k, a, b in (s.split(":") for s in spans.split(",")) if k != "term"] if spans else [] for d, spans in got.items()}
+    held, holders, both, n_docs = {}, Counter(), Counter(), Counter()
+    for d, t in enumerate(texts):
+        t = t or ""
+        low = "".join(c.lower() if c.isascii() else c for c in t)
+        words = [(m.start(), m.end(), m[0]) for m in re.finditer(disclosure.TERM, low)]
+        n_docs.update({w for *_, w in words})
+        holders.update({(k, t[a:b]) for k, a, b in base[d]})
+        for k, a, b in base[d]:
+            before, behind = sum(w[0] < a for w in words), sum(w[0] < b for w in words)
+            for i in (*range(max(0, before - disclosure.WINDOW), before), *range(behind, min(len(words), behind + disclosure.WINDOW))):
+                if not any(words[i][0] < y and words[i][1] > x for _, x, y in base[d]):
+                    held.setdefault(d, set()).add(((k, t[a:b]), words[i]))
+        both.update({(e, w[2]) for e, w in held.get(d, ())})
+    total = len(texts)
+    told = {(e, w) for (e, w), n in both.items() if n >= 2 and np.log2(total / holders[e]) > 0
+            and np.log2(n * total / (holders[e] * n_docs[w])) >= disclosure.SHARE * np.log2(total / holders[e])}
+    for d in got:
+        want = {(w[0], w[1]) for e, w in held.get(d, ()) if (e, w[2]) in told}
+        assert {(int(a), int(b)) for k, a, b in (s.split(":") for s in got[d].split(",") if s) if k == "term"} == want
+    assert sum("term" in s for s in got.values()) > 30
+
+
 # ---- 7: templates ----------------------------------------------------------------------------
 
 PAGE = ("<html><head><title>t</title><script>var a='</p>';</script></head><body><nav><ul><li>menu</ul></nav><div class='cookie notice'>ok?</div>"

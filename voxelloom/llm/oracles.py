@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import importance, licences, spelling, url_rules
+from . import disclosure, importance, licences, spelling, url_rules
 
 EXACT_DEDUP = """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -11,7 +11,8 @@ FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))
 """
 
 _UP, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_ROWS = ", ".join(f"({no}, '{label}', {words!r}, {need})" for no, label, words, need in licences.template_sets())
+_ROWS = ", ".join(f"({t.no}, '{t.label}', {t.words}, {t.need}, {t.length}, {t.apart}::VARCHAR[], {t.longer}::VARCHAR[][])"
+                  for t in licences.template_sets())
 
 LICENSES = rf"""
 WITH words AS MATERIALIZED (
@@ -24,13 +25,24 @@ places AS MATERIALIZED (
          list_filter(range(len(w)), lambda i: w[i + 1] = 'general' AND w[i + 2] = 'public' AND w[i + 3] = 'license') AS p1,
          list_filter(range(len(w)), lambda i: w[i + 1] = 'all' AND w[i + 2] = 'rights' AND w[i + 3] = 'reserved') AS p2
   FROM words),
-templates(no, label, t, need) AS (VALUES {_ROWS}),
-blocks AS MATERIALIZED (
+templates(no, label, t, need, length, apart, longer) AS (VALUES {_ROWS}),
+lines AS MATERIALIZED (SELECT doc_id, w, string_split(low, chr(10)) AS l FROM words JOIN places USING (doc_id, low)),
+whole AS MATERIALIZED (
   SELECT DISTINCT doc_id, list_distinct(regexp_extract_all(b, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS b
-  FROM (SELECT doc_id, unnest(string_split(low, chr(10))) AS b FROM places)),
+  FROM (SELECT doc_id, unnest(l) AS b FROM lines)),
+numbered AS MATERIALIZED (
+  SELECT doc_id, w, flatten(list_transform(l, lambda b, i: list_transform(regexp_extract_all(b, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: i))) AS line
+  FROM lines WHERE len(l) > 1),
+wrapped AS (
+  SELECT doc_id, no, list_distinct(w[s + 1:s + length]) AS b FROM (
+    SELECT doc_id, w, line, no, length, unnest(range(len(w) - length + 1)) AS s FROM numbered, templates
+    WHERE len(list_intersect(w, t)) >= need) WHERE line[s + 1] < line[s + length]),
+blocks AS (
+  SELECT doc_id, no, b FROM wrapped UNION ALL SELECT doc_id, no, b FROM whole, templates WHERE len(b) >= need),
 met AS (
   SELECT doc_id, list(DISTINCT label) AS more, max(len(list_intersect(b, t)) / len(t)) AS share
-  FROM blocks, templates WHERE len(b) >= need AND len(list_intersect(b, t)) >= need GROUP BY doc_id),
+  FROM blocks JOIN templates USING (no) WHERE len(list_intersect(b, t)) >= need AND list_has_all(b, apart)
+    AND len(list_filter(longer, lambda more: list_has_all(b, more))) = 0 GROUP BY doc_id),
 base AS (
   SELECT doc_id, n_words, list_concat(p0, list_concat(p1, p2)) AS p,
          list_concat(CASE WHEN len(p0) > 0 THEN ['cc-by'] ELSE [] END,
@@ -70,42 +82,33 @@ spans AS MATERIALIZED (
       CASE WHEN i % 2 = 0 THEN CAST(dig[length(dig) - i] AS INT)
            ELSE CAST(dig[length(dig) - i] AS INT) * 2 - CASE WHEN CAST(dig[length(dig) - i] AS INT) > 4 THEN 9 ELSE 0 END END)) % 10 = 0
     END),
-lines AS (
-  SELECT doc_id, no AS line_no, line, coalesce(sum(length(line) + 1) OVER (
-      PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS offs
-  FROM (SELECT doc_id, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM (
-    SELECT doc_id, string_split(text, chr(10)) AS l FROM d WHERE doc_id IN (SELECT doc_id FROM spans)))),
-held AS MATERIALIZED (
-  SELECT l.doc_id, line_no, line, offs, entity, start, stop FROM lines l JOIN spans s
-    ON l.doc_id = s.doc_id AND start >= offs AND start < offs + length(line)),
-terms AS (
-  SELECT doc_id, line_no, term, (stop - length(term) + offs)::BIGINT AS start, (stop + offs)::BIGINT AS stop FROM (
-    SELECT *, sum(gap + length(term)) OVER (PARTITION BY doc_id, line_no ORDER BY i) AS stop FROM (
-      SELECT doc_id, line_no, offs, generate_subscripts(h, 1) AS i, unnest(h) AS term,
-             unnest(list_transform(g[1:len(h)], lambda x: length(x))) AS gap FROM (
-        SELECT doc_id, line_no, offs,
-               regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]{{3,}}') AS h,
-               string_split_regex(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]{{3,}}') AS g
-        FROM (SELECT DISTINCT doc_id, line_no, offs, translate(line, '{_UP}', '{_LOW}') AS low FROM held)) WHERE len(h) > 0))),
+words AS MATERIALIZED (
+  SELECT doc_id, i - 1 AS no, term, (stop - length(term))::BIGINT AS start, stop::BIGINT AS stop FROM (
+    SELECT *, sum(gap + length(term)) OVER (PARTITION BY doc_id ORDER BY i) AS stop FROM (
+      SELECT doc_id, generate_subscripts(h, 1) AS i, unnest(h) AS term, unnest(list_transform(g[1:len(h)], lambda x: length(x))) AS gap FROM (
+        SELECT doc_id, regexp_extract_all(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS h, string_split_regex(low, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS g
+        FROM (SELECT doc_id, translate(text, '{_UP}', '{_LOW}') AS low FROM d WHERE doc_id IN (SELECT doc_id FROM spans))) WHERE len(h) > 0))),
+placed AS MATERIALIZED (
+  SELECT s.doc_id, s.entity, s.start, s.stop, count(w.no) FILTER (w.start < s.start) AS before, count(w.no) FILTER (w.start < s.stop) AS behind
+  FROM spans s LEFT JOIN words w ON w.doc_id = s.doc_id GROUP BY ALL),
 clear AS MATERIALIZED (
-  SELECT * FROM terms t WHERE NOT EXISTS (
-    SELECT 1 FROM held h WHERE h.doc_id = t.doc_id AND h.line_no = t.line_no AND t.start < h.stop AND t.stop > h.start)),
+  SELECT * FROM words w WHERE NOT EXISTS (SELECT 1 FROM spans s WHERE s.doc_id = w.doc_id AND w.start < s.stop AND w.stop > s.start)),
 met AS MATERIALIZED (
-  SELECT DISTINCT c.doc_id, c.line_no, term, entity, line FROM clear c JOIN held h ON c.doc_id = h.doc_id AND c.line_no = h.line_no),
+  SELECT DISTINCT c.doc_id, no, term, entity FROM clear c JOIN placed p ON c.doc_id = p.doc_id
+    AND (no BETWEEN before - {disclosure.WINDOW} AND before - 1 OR no BETWEEN behind AND behind + {disclosure.WINDOW} - 1)),
 pairs AS (
-  SELECT entity, term, count(DISTINCT line) AS n_lines, count(DISTINCT doc_id) AS n_both FROM met GROUP BY ALL
-  HAVING count(DISTINCT line) >= 2),
+  SELECT entity, term, count(DISTINCT doc_id) AS n_both FROM met GROUP BY ALL HAVING count(DISTINCT doc_id) >= {disclosure.SUPPORT}),
 counts AS (
   SELECT term, count(*) AS n_docs FROM (SELECT unnest(list_distinct(regexp_extract_all(
-    translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]{{3,}}'))) AS term FROM d) GROUP BY term),
+    translate(text, '{_UP}', '{_LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'))) AS term FROM d) GROUP BY term),
 holders AS (SELECT entity, count(DISTINCT doc_id) AS n_entity FROM spans GROUP BY entity),
 flagged AS (
   SELECT entity, term FROM pairs JOIN counts USING (term) JOIN holders USING (entity), (SELECT count(*)::DOUBLE AS total FROM d)
-  WHERE log2(total / n_entity) > 0 AND log2(n_both * total / (n_entity * n_docs)) >= 0.8 * log2(total / n_entity)),
+  WHERE log2(total / n_entity) > 0 AND log2(n_both * total / (n_entity * n_docs)) >= {disclosure.SHARE} * log2(total / n_entity)),
 every AS (
   SELECT doc_id, kind, no, start, stop FROM spans UNION ALL
-  SELECT DISTINCT c.doc_id, 'term', 4, c.start, c.stop FROM clear c JOIN met m ON c.doc_id = m.doc_id AND c.line_no = m.line_no
-    AND c.term = m.term JOIN flagged f ON f.entity = m.entity AND f.term = m.term),
+  SELECT DISTINCT c.doc_id, 'term', 4, c.start, c.stop FROM clear c JOIN met m ON c.doc_id = m.doc_id AND c.no = m.no
+    JOIN flagged f ON f.entity = m.entity AND f.term = m.term),
 by_doc AS (
   SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip,
          count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,

@@ -228,7 +228,7 @@ def repeated_starts(held: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches):
-        out: list[list] = [[], [], [], []]
+        out: list[list] = [[], [], [], [], []]
         for text, ranges in zip(part.column(1).to_pylist(), part.column(2).to_pylist()):
             raw = np.frombuffer(text.encode(), np.uint8)
             edge = np.zeros(len(raw) + 1, np.int64)
@@ -237,19 +237,20 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 np.add.at(edge, first, 1)
                 np.add.at(edge, first + r["size"] - 1 + SPAN, -1)
             gone = np.cumsum(edge)[:-1] > 0
-            spans = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
+            turns = np.flatnonzero(np.diff(gone, prepend=False, append=False))
+            removed = ",".join(f"{a}:{b}" for a, b in zip(turns[::2].tolist(), turns[1::2].tolist()))
             left = raw[~gone].tobytes()
-            for cell, value in zip(out, (int(gone.sum()), spans, hashlib.sha256(left).hexdigest(), left)):
+            for cell, value in zip(out, (int(gone.sum()), len(turns) // 2, hashlib.sha256(left).hexdigest(), left, removed)):
                 cell.append(value)
         yield pa.RecordBatch.from_arrays(
             [part.column(0), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()),
-             pa.array(out[3], pa.binary())], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept"])
+             pa.array(out[3], pa.binary()), pa.array(out[4], pa.string())], ["doc_id", "n_removed", "n_spans", "kept_sha256", "kept", "removed"])
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept), one row per input row.
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept, removed), one row per input row.
 
-    ``kept``: the bytes left, null where nothing is removed.
+    ``kept``: the bytes left, null where nothing is removed; ``removed``: the runs cut out as start:end, in bytes, end exclusive.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = _prepared(docs)
@@ -259,10 +260,10 @@ def remove(docs: DataFrame) -> DataFrame:
     for step in used:
         discard(step)
     cut = held.join(ranges, ["k1", "k2"]).select("doc_id", "text", "ranges").mapInArrow(
-        _cut, f"doc_id {kind}, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary").select(
-        "doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept")
+        _cut, f"doc_id {kind}, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary, removed string").select(
+        "doc_id", (F.octet_length("kept") + F.col("n_removed")).alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", "kept", "removed")
     none = F.lit(0).cast("bigint")
     whole = rows.join(ranges.select("k1", "k2"), ["k1", "k2"], "left_anti").select(
         "doc_id", "n_bytes", none.alias("n_removed"), none.alias("n_spans"), F.col("sha").alias("kept_sha256"),
-        F.lit(None).cast("binary").alias("kept"))
+        F.lit(None).cast("binary").alias("kept"), F.lit("").alias("removed"))
     return whole.unionByName(cut)
