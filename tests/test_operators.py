@@ -382,3 +382,38 @@ def test_class_ids_above_255_are_kept(spark):
     assert [r.class_id for r in resample.label_scatter(mask, masks, volumes, targets).collect()] == [300]
     assert [r.class_id for r in resample.label_scatter(mask, masks, volumes, targets, display=True).collect()] == [70]
     assert [r.class_id for r in resample.label_downsample(mask, masks, volumes, targets).collect()] == [300]
+
+
+def test_pictures_of_several_masks_on_a_volume(spark, grid, labels):
+    """Each mask colours its own picture; a mask without marked cells leaves the grey one."""
+    rng = np.random.default_rng(12)
+    a = rng.integers(0, 100, (3, 4, 5)).astype(float)
+    voxels, volumes = grid(a=a)
+    classes = {"m": rng.integers(0, 3, a.shape), "n": rng.integers(0, 3, a.shape), "none": np.zeros(a.shape, int)}
+    built = {k: labels(c, mask_id=k) for k, c in classes.items()}
+    mask, masks = built["m"]
+    for k in ("n", "none"):
+        mask, masks = mask.unionByName(built[k][0]), masks.unionByName(built[k][1])
+    colour = {("m", 1): (1.0, 0.0, 0.0), ("m", 2): (0.0, 1.0, 0.0), ("n", 1): (0.0, 0.0, 1.0), ("n", 2): (0.5, 0.5, 0.0)}
+    palette = spark.createDataFrame([(m, c, *rgb, 1.0) for (m, c), rgb in colour.items()], "mask_id string, class_id int, r double, g double, b double, a double")
+    cells = mask.selectExpr("mask_id", "z as idx", "y as v", "x as u", "class_id")
+    out = appearance.overlay_blend(slicing.slices(voxels, "xy"), masks, cells, palette, 0.0, 100.0, 0.25).collect()
+    assert len(out) == 3 * a.size
+    for r in out:
+        grey, c = a[r.idx, r.v, r.u] / 100, classes[r.mask_id][r.idx, r.v, r.u]
+        top = colour.get((r.mask_id, c))
+        want = [grey if top is None else grey * 0.75 + top[k] * 0.25 for k in range(3)]
+        assert np.allclose([r.r, r.g, r.b], want)
+    base = spark.createDataFrame([("a", y, x, 0.5, 0.5, 0.5) for y in range(4) for x in range(5)],
+                                 "volume_id string, row int, col int, r double, g double, b double")
+    lit = mask.join(palette, ["mask_id", "class_id"]).withColumn("alpha", F.lit(0.5))
+    mixed = projection.blend(base, masks, projection.composite(lit, "xy", ["r", "g", "b"]), ["r", "g", "b"]).collect()
+    assert len(mixed) == 3 * 20
+    for r in mixed:
+        total, front = np.zeros(4), 1.0
+        for z in range(3):
+            top = colour.get((r.mask_id, classes[r.mask_id][z, r.row, r.col]))
+            if top is not None:
+                total += front * 0.5 * np.array([*top, 1.0])
+                front *= 0.5
+        assert np.allclose([r.r, r.g, r.b], 0.5 * (1 - total[3]) + total[:3] * total[3])

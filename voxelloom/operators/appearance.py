@@ -76,13 +76,19 @@ def mask_palette(masks: DataFrame, rois: DataFrame, fallback: tuple[float, float
         .when(on, 1.0).otherwise(0.0).alias("a"))
 
 
-def overlay_blend(cells: DataFrame, mask_cells: DataFrame, palette: DataFrame, lo, hi, opacity: float) -> DataFrame:
-    """Grey slice cells with the class colours of ``mask_cells`` (mask_id, volume_id, idx, v, u, class_id) on top."""
-    grey = cells.withColumn("_g", window_level(dbl("value"), lo, hi))
-    marked = attach(mask_cells.where(F.col("class_id") > 0), palette, ["mask_id", "class_id"], ["idx", "v", "u"])
-    both = grey.join(marked, ["volume_id", "idx", "v", "u"], "left")
+def overlay_blend(cells: DataFrame, masks: DataFrame, mask_cells: DataFrame, palette: DataFrame, lo, hi, opacity: float) -> DataFrame:
+    """Grey slice cells with the class colours of ``mask_cells`` (mask_id, idx, v, u, class_id) on top.
+
+    A picture for every mask of ``masks`` (mask_id, volume_id): volumes with several masks have several.
+    """
+    per_volume = masks.groupBy("volume_id").agg(F.collect_set("mask_id").alias("_masks"))
+    grey = attach(cells.withColumn("_g", window_level(dbl("value"), lo, hi)), per_volume, ["volume_id"], ["idx", "v", "u"])
+    grey = grey.withColumn("mask_id", F.explode("_masks")).drop("_masks")
+    marked = attach(mask_cells.where(F.col("class_id") > 0).select("mask_id", "idx", "v", "u", "class_id"), palette,
+                    ["mask_id", "class_id"], ["idx", "v", "u"])
+    both = grey.join(marked, ["mask_id", "idx", "v", "u"], "left")
     a = F.coalesce(F.lit(float(min(1.0, max(0.0, opacity)))) * F.col("a"), F.lit(0.0))
-    return both.select("volume_id", "idx", "v", "u", *[
+    return both.select("mask_id", "volume_id", "idx", "v", "u", *[
         (F.col("_g") * (F.lit(1.0) - a) + F.coalesce(F.col(c), F.lit(0.0)) * a).alias(c) for c in ("r", "g", "b")
     ])
 

@@ -74,7 +74,7 @@ def redo(strokes: DataFrame, mask: DataFrame, masks: DataFrame, volumes: DataFra
     """
     back = undo(strokes, mask, masks, volumes, undone)
     ready = _last_strokes(strokes, undone).where(F.col("_moves") == 1)
-    oldest = F.row_number().over(W.partitionBy("mask_id").orderBy("stroke"))  # at most 512 rows per mask
+    oldest = F.row_number().over(W.partitionBy("mask_id").orderBy("stroke"))  # at most ``undone`` rows per mask
     again = stage(ready.withColumn("_nth", oldest).where(F.col("_nth") <= n).select("mask_id", "stroke"))
     hit = attach(strokes, again, ["mask_id", "stroke"], ["z", "y", "x"], "left_semi")
     writes = hit.select(*MASK_KEY, F.col("stroke").alias("seq"), F.col("after_class").alias("class_id"))

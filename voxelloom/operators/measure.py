@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.numeric import auto_tolerance, clamp, dbl, number_or_null
 from ..model import VOXEL_KEY, axis_dims
-from ..scale import BROADCAST_ROWS, attach
+from ..scale import attach, is_small
 from .catalog import voxel_count
 from .slicing import slices
 
@@ -45,7 +45,7 @@ def rect_range(rects: DataFrame, voxels: DataFrame, volumes: DataFrame, axis: st
     ).withColumn("_tu", F.explode(F.expr(f"sequence(_u0 div {TILE}, _u1 div {TILE})")))
     cells = slices(voxels, axis).withColumns({
         "_tv": F.expr(f"v div {TILE}"), "_tu": F.expr(f"u div {TILE}")})
-    if tiles.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    if is_small(tiles):
         tiles = F.broadcast(tiles)
     hit = cells.join(tiles, ["volume_id", "idx", "_tv", "_tu"]).where(
         F.col("u").between(F.col("_u0"), F.col("_u1")) & F.col("v").between(F.col("_v0"), F.col("_v1")))

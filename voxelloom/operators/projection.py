@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.numeric import clamp, number_or_null
 from ..model import axis_coords
+from ..scale import attach
 from .catalog import brick_of
 
 OPAQUE = 0.95  # Fixed value: a ray ends once this alpha is reached.
@@ -76,12 +77,17 @@ def composite(samples: DataFrame, axis: str, channels: list[str], alpha: str = "
     ).withColumnsRenamed({v: "row", u: "col"})
 
 
-def blend(base: DataFrame, overlay: DataFrame, channels: list[str]) -> DataFrame:
-    """Mixes an accumulated overlay (r, g, b, alpha) into the base picture on (volume_id, row, col)."""
-    top = overlay.select("volume_id", "row", "col", *[F.col(c).alias(f"_{c}") for c in channels],
+def blend(base: DataFrame, masks: DataFrame, overlay: DataFrame, channels: list[str]) -> DataFrame:
+    """Mixes accumulated overlays (mask_id, row, col, r, g, b, alpha) into the base picture of their volume.
+
+    A picture for every mask of ``masks`` (mask_id, volume_id): volumes with several masks have several.
+    """
+    top = overlay.select("mask_id", "row", "col", *[F.col(c).alias(f"_{c}") for c in channels],
                          F.col("alpha").alias("_alpha"))
+    per_volume = masks.groupBy("volume_id").agg(F.collect_set("mask_id").alias("_masks"))
+    below = attach(base, per_volume, ["volume_id"], ["row", "col"]).withColumn("mask_id", F.explode("_masks"))
     a = F.coalesce("_alpha", F.lit(0.0))
-    mixed = base.join(top, ["volume_id", "row", "col"], "left")
+    mixed = below.join(top, ["mask_id", "row", "col"], "left")
     return mixed.select(
-        "volume_id", "row", "col",
+        "mask_id", "volume_id", "row", "col",
         *[(F.col(c) * (F.lit(1.0) - a) + F.coalesce(F.col(f"_{c}"), F.lit(0.0)) * a).alias(c) for c in channels])

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from ..functions.color import roi_color
 from ..functions.numeric import dbl
 from ..model import ROIS
-from ..scale import stage
+from ..scale import is_small, stage
 from .mask import Remapped, Written, _max_class, remap, set_voxels
 
 NO_FREE_CLASS = "no free class id"
@@ -153,6 +153,6 @@ def duplicate_roi(mask: DataFrame, masks: DataFrame, volumes: DataFrame, rois: D
     new = add_rois(masks, rois, wanted.drop("source"), max_class)
     move = wanted.select("mask_id", F.col("source").alias("class_id")).join(
         new.select("mask_id", F.col("class_id").alias("_to")), "mask_id")
-    rows = mask.join(F.broadcast(move) if move.limit(10_001).count() <= 10_000 else move, ["mask_id", "class_id"])
+    rows = mask.join(F.broadcast(move) if is_small(move) else move, ["mask_id", "class_id"])
     written = set_voxels(mask, masks, volumes, rows.select("mask_id", "z", "y", "x", F.col("_to").alias("class_id")))
     return written, rois.select(*ROIS.fieldNames()).unionByName(new)

@@ -221,9 +221,9 @@ PALETTE = """SELECT m.mask_id, CAST(m.class_id AS INT) AS class_id, ROUND(COALES
 oracle("mask_palette", "dense roi pal", PALETTE.format(r="CAST(0.2 AS DOUBLE)", g="CAST(0.4 AS DOUBLE)", b="CAST(0.6 AS DOUBLE)", a="p.a"))
 oracle("mask_palette_active", "dense roi pal", PALETTE.format(
     r="CAST(1 AS DOUBLE)", g="CAST(0 AS DOUBLE)", b="CAST(0 AS DOUBLE)", a="CASE WHEN p.class_id = 1 THEN p.a WHEN p.class_id IS NOT NULL THEN CAST(0 AS DOUBLE) END"))
-oracle("overlay_blend", "vox dense roi pal", """SELECT volume_id, z AS idx, y AS v, x AS u, ROUND(t * (1 - k) + COALESCE(r, 0) * k, 6) AS r, ROUND(t * (1 - k) + COALESCE(g, 0) * k, 6) AS g,
+oracle("overlay_blend", "vox dense roi pal", """SELECT mask_id, volume_id, z AS idx, y AS v, x AS u, ROUND(t * (1 - k) + COALESCE(r, 0) * k, 6) AS r, ROUND(t * (1 - k) + COALESCE(g, 0) * k, 6) AS g,
   ROUND(t * (1 - k) + COALESCE(b, 0) * k, 6) AS b FROM (
-  SELECT vox.volume_id, vox.z, vox.y, vox.x, LEAST(CAST(1 AS DOUBLE), CAST(vox.v AS DOUBLE) / 50000) t, COALESCE(CAST(0.4 AS DOUBLE) * pal.a, 0) k, pal.r, pal.g, pal.b
+  SELECT d.mask_id, vox.volume_id, vox.z, vox.y, vox.x, LEAST(CAST(1 AS DOUBLE), CAST(vox.v AS DOUBLE) / 50000) t, COALESCE(CAST(0.4 AS DOUBLE) * pal.a, 0) k, pal.r, pal.g, pal.b
   FROM vox JOIN dense d ON d.volume_id = vox.volume_id AND d.lin = vox.lin LEFT JOIN pal ON pal.mask_id = d.mask_id AND pal.class_id = d.class_id)""")
 oracle("hex_colors", "", """WITH t AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE '#' END || SUBSTR(MD5(text), 1, 6) || CASE WHEN doc_id % 5 = 0 THEN 'Z' ELSE '' END s,
     SUBSTR(MD5(text), 1, 6) d, doc_id % 5 <> 0 ok FROM documents)
@@ -242,12 +242,12 @@ oracle("project_visible", "vox", """SELECT volume_id, y AS row, x AS col, COALES
   COALESCE(MIN(CASE WHEN top >= 48000 THEN v END), 0) AS vmin, ROUND(COALESCE(AVG(CASE WHEN top >= 48000 THEN v END), 0), 6) AS vavg
   FROM (SELECT *, MAX(v) OVER (PARTITION BY volume_id, z // 8, y // 8, x // 8) top FROM vox) GROUP BY 1, 2, 3""")
 oracle("composite_z", "vox ramp lit comp", """SELECT volume_id, y AS row, x AS col, ROUND(c, 6) AS r, ROUND(c, 6) AS g, ROUND(c, 6) AS b, ROUND(alpha, 6) AS alpha FROM comp""")
-oracle("composite_mask", "vox ramp lit comp dense roi pal", """, mk AS (SELECT d.volume_id, d.z, d.y, d.x, pal.r, pal.g, pal.b, pal.a * 0.25 a FROM dense d JOIN pal USING (mask_id, class_id)),
-ov AS (SELECT volume_id, y, x, SUM(tr * a * r) r, SUM(tr * a * g) g, SUM(tr * a * b) b, SUM(tr * a) a FROM (SELECT *, EXP(COALESCE(SUM(LN(1 - a)) OVER
-  (PARTITION BY volume_id, y, x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) tr FROM mk) WHERE 1 - tr < 0.95 GROUP BY ALL)
-SELECT c.volume_id, c.y AS row, c.x AS col, ROUND(c.c * (1 - COALESCE(a, 0)) + COALESCE(r, 0) * COALESCE(a, 0), 6) AS r,
+oracle("composite_mask", "vox ramp lit comp dense roi pal", """, mk AS (SELECT d.mask_id, d.z, d.y, d.x, pal.r, pal.g, pal.b, pal.a * 0.25 a FROM dense d JOIN pal USING (mask_id, class_id)),
+ov AS (SELECT mask_id, y, x, SUM(tr * a * r) r, SUM(tr * a * g) g, SUM(tr * a * b) b, SUM(tr * a) a FROM (SELECT *, EXP(COALESCE(SUM(LN(1 - a)) OVER
+  (PARTITION BY mask_id, y, x ORDER BY z ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) tr FROM mk) WHERE 1 - tr < 0.95 GROUP BY ALL)
+SELECT p.mask_id, c.volume_id, c.y AS row, c.x AS col, ROUND(c.c * (1 - COALESCE(a, 0)) + COALESCE(r, 0) * COALESCE(a, 0), 6) AS r,
   ROUND(c.c * (1 - COALESCE(a, 0)) + COALESCE(g, 0) * COALESCE(a, 0), 6) AS g, ROUND(c.c * (1 - COALESCE(a, 0)) + COALESCE(b, 0) * COALESCE(a, 0), 6) AS b
-FROM comp c LEFT JOIN ov USING (volume_id, y, x)""")
+FROM comp c JOIN (SELECT DISTINCT mask_id, volume_id FROM dense) p USING (volume_id) LEFT JOIN ov USING (mask_id, y, x)""")
 
 HIST = """hist AS (SELECT b.volume_id, CAST(b.bin AS INT) AS bin, COALESCE(n, 0) AS n, vmin, vmax FROM (SELECT volume_id, vmin, vmax, UNNEST(RANGE(256)) AS bin FROM vol) b LEFT JOIN (
   SELECT volume_id, GREATEST(0, LEAST(255, CAST(FLOOR((v - vmin) / (vmax - vmin) * 255) AS INT))) bin, COUNT(*) n FROM vox JOIN vol USING (volume_id) WHERE vmax > vmin GROUP BY 1, 2) q

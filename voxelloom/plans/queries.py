@@ -177,10 +177,10 @@ def mask_palette_active(g):
 @query
 def overlay_blend(g):
     palette = appearance.mask_palette(g.masks, g.rois, (1.0, 0.0, 0.0))
-    marked = attach(g.mask, g.masks.select("mask_id", "volume_id"), ["mask_id"], ["z", "y", "x"]).select(
-        "mask_id", "volume_id", F.col("z").alias("idx"), F.col("y").alias("v"), F.col("x").alias("u"), "class_id")
-    out = appearance.overlay_blend(slicing.slices(g.voxels, "xy"), marked, palette, 0.0, 50_000.0, 0.4)
-    return out.select("volume_id", "idx", "v", "u", *[r6(c).alias(c) for c in "rgb"])
+    marked = g.mask.select(
+        "mask_id", F.col("z").alias("idx"), F.col("y").alias("v"), F.col("x").alias("u"), "class_id")
+    out = appearance.overlay_blend(slicing.slices(g.voxels, "xy"), g.masks, marked, palette, 0.0, 50_000.0, 0.4)
+    return out.select("mask_id", "volume_id", "idx", "v", "u", *[r6(c).alias(c) for c in "rgb"])
 
 
 @query
@@ -241,12 +241,10 @@ def composite_z(g):
 @query
 def composite_mask(g):
     palette = appearance.mask_palette(g.masks, g.rois, (1.0, 0.0, 0.0))
-    marked = attach(attach(g.mask, g.masks.select("mask_id", "volume_id"), ["mask_id"], ["z", "y", "x"]),
-                    palette, ["mask_id", "class_id"], ["z", "y", "x"])
-    marked = marked.withColumn("alpha", F.col("a") * 0.25).drop("mask_id")
+    marked = attach(g.mask, palette, ["mask_id", "class_id"], ["z", "y", "x"]).withColumn("alpha", F.col("a") * 0.25)
     over = projection.composite(marked, "xy", ["r", "g", "b"])
-    out = projection.blend(_lit(g), over, ["r", "g", "b"])
-    return out.select("volume_id", "row", "col", *[r6(c).alias(c) for c in "rgb"])
+    out = projection.blend(_lit(g), g.masks, over, ["r", "g", "b"])
+    return out.select("mask_id", "volume_id", "row", "col", *[r6(c).alias(c) for c in "rgb"])
 
 
 # ---- histograms and thresholds ---------------------------------------------------------------

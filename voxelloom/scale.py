@@ -73,19 +73,24 @@ def salted_join(
     return left.join(right, [*on, "_salt"], how).drop("_salt")
 
 
+def is_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
+    """Whether a table has few enough rows to be broadcast; tasks pass on counts, not rows."""
+    return df.count() <= limit
+
+
 def attach(
     cells: DataFrame, small: DataFrame, on: Sequence[str], spread: Sequence[str],
     how: str = "inner", limit: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Joins a catalogue-like table (unique on ``on``) to cells without shuffling them if it is small."""
-    if small.limit(limit + 1).count() <= limit:
+    if is_small(small, limit):
         return cells.join(F.broadcast(small), list(on), how)
     return salted_join(cells, small, on, spread, how)
 
 
 def lookup(cells: DataFrame, wanted: DataFrame, key: Sequence[str], limit: int = BROADCAST_ROWS) -> DataFrame:
     """Cells (unique on ``key``) with one of the wanted keys; these are broadcast only after they were counted."""
-    if wanted.limit(limit + 1).count() <= limit:
+    if is_small(wanted, limit):
         wanted = F.broadcast(wanted)
     return cells.join(wanted, list(key), "left_semi")
 

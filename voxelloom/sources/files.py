@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..scale import is_small
+
 # File extensions per kind.
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "bmp")
 TIFF_EXTENSIONS = ("tif", "tiff")
@@ -57,7 +59,7 @@ def group_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
         "selection", F.lit("3d-raw").alias("type"), F.col("base").alias("name"), "path", "metadata_path")
     single = known.where(F.col("kind").isin("nifti", "tiff", "2d-image", "dicom"))
     size = known.where(F.col("kind") == "dicom").groupBy("selection").agg(F.count(F.lit(1)).alias("_n"))
-    single = single.join(F.broadcast(size) if size.limit(10_001).count() <= 10_000 else size, "selection", "left")
+    single = single.join(F.broadcast(size) if is_small(size) else size, "selection", "left")
     name = F.when(F.col("kind") == "dicom", F.format_string("DICOM series (%d files)", F.col("_n"))).otherwise(F.col("name"))
     others = single.select("selection", F.col("kind").alias("type"), name.alias("name"), "path",
                            F.lit(None).cast("string").alias("metadata_path"))
