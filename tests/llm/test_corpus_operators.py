@@ -397,6 +397,16 @@ def test_templates(spark, holder):
     assert any(f"html/body/{holder}" in r["paths"] and "html/body/nav" in r["paths"] for r in valid)
 
 
+def test_deep_pages(spark):
+    """Unclosed elements of any depth; formulas stay in the text."""
+    page = "<article>" + "".join(f"<div class=a>text {i}" for i in range(5000)) + "<p>a <math><mi>x</mi></math> b"
+    assert max(map(len, templates.tokens(page))) <= 1000 + len("/article.a")
+    assert templates.tokens("<main><div>ab<div>c</div></div><nav>d</nav></main>")["main"][2] == 3
+    table = spark.createDataFrame([(i, f"http://h.example/{i}", page) for i in range(4)], "page_id int, url string, html string")
+    want = "\n\n".join([*(f"text {i}" for i in range(5000)), "a x b"])
+    assert {r["text"] for r in templates.extract(table).collect()} == {want}
+
+
 # ---- 8: exact dedup --------------------------------------------------------------------------
 
 def test_exact_dedup(corpus):

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from collections.abc import Iterator
 
 # Fixed values of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea iframe svg math object select button title".split())
+RAW = frozenset("script style noscript template textarea iframe svg object select button title".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 "
     "h5 h6 header hr li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
@@ -30,17 +31,28 @@ _NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 _SPLIT = re.compile(r"[^a-z]+")
 
 
+LONGEST_PATH = 1000
+
+
 class Element:
-    """An open element: its tag, its path of tags and names, and whether it holds no article text."""
+    """An open element: its tag, its path of tags and names, and whether it holds no article text.
 
-    __slots__ = ("tag", "path", "aside", "main")
+    ``hidden``: it or an element above holds none. Beyond ``LONGEST_PATH`` characters a path begins with a digest of what is
+    above, so that pages of any depth take memory in proportion to their elements.
+    """
+
+    __slots__ = ("tag", "path", "aside", "main", "parent", "hidden", "out", "inside", "chars", "said")
 
     def __init__(self, tag: str, names: frozenset[str], parent: "Element | None"):
-        self.tag = tag
+        self.tag, self.parent = tag, parent
         shown = ".".join([tag, *sorted(names)])
         self.path = f"{parent.path}/{shown}" if parent else shown
+        if len(self.path) > LONGEST_PATH and parent:
+            self.path = f"{hashlib.blake2b(parent.path.encode('utf-8', 'replace'), digest_size=16).hexdigest()}/{shown}"
         self.aside = tag in ASIDE_TAGS or (bool(names & ASIDE_WORDS) and tag not in ("html", "body", "article", "main"))
         self.main = tag in MAIN_TAGS or bool(names & MAIN_WORDS)
+        self.hidden = self.aside or bool(parent and parent.hidden)
+        self.chars = self.said = 0  # of the text inside, for the template
 
 
 def walk(page: str) -> Iterator[tuple[str, Element | None, str, list[Element]]]:
@@ -105,17 +117,16 @@ def blocks(page: str, main: frozenset[str], constant: frozenset[str]) -> str:
         if text:
             out.append(text)
 
-    for kind, _, text, stack in walk(page):
-        if kind == "break":
+    for kind, element, text, stack in walk(page):
+        if kind == "open":
+            above = element.parent
+            element.out = element.aside or element.path in constant or bool(above and above.out)
+            element.inside = element.path in main or bool(above and above.inside)
+        elif kind == "break":
             close()
         elif kind == "text":
-            inside = not main
-            for e in stack:
-                if e.aside or e.path in constant:
-                    break
-                inside = inside or e.path in main
-            else:
-                if inside:
-                    parts.append(html.unescape(text))
+            top = stack[-1] if stack else None
+            if not (top and top.out) and (not main or top and top.inside):
+                parts.append(html.unescape(text))
     close()
     return "\n\n".join(out)

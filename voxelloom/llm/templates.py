@@ -39,16 +39,30 @@ def tokens(page: str) -> dict[str, list]:
     """Per path: count, first place among the page's tags, code points of article-like text inside, the text's hash."""
     counts: Counter[str] = Counter()
     first: dict[str, int] = {}
-    inside: dict[str, list[str]] = {}
+    opened: list[pages.Element] = []
     for kind, element, text, stack in pages.walk(page):
         if kind == "open":
             counts[element.path] += 1
             first.setdefault(element.path, len(first))
-        elif kind == "text" and not any(e.aside for e in stack) and (bare := text.strip()):
-            for e in stack:
-                if e.tag in HOLDERS:
-                    inside.setdefault(e.path, []).append(bare)
-    return {p: [n, first[p], sum(map(len, inside.get(p, ()))), _hash(*inside[p]) if p in inside else 0] for p, n in counts.items()}
+            opened.append(element)
+        elif kind == "text" and stack and not stack[-1].hidden and (bare := text.strip()):
+            stack[-1].chars += len(bare)
+            stack[-1].said += _hash(bare)
+    chars: Counter[str] = Counter()
+    said: Counter[str] = Counter()
+    for e in reversed(opened):  # what is inside was opened later
+        if e.parent:
+            e.parent.chars += e.chars
+            e.parent.said += e.said
+        if e.tag in HOLDERS and e.chars:
+            chars[e.path] += e.chars
+            said[e.path] += e.said
+    return {p: [n, first[p], chars[p], _signed(said[p])] for p, n in counts.items()}
+
+
+def _signed(x: int) -> int:
+    """A number modulo 2^64 as a signed one."""
+    return (x + (1 << 63)) % (1 << 64) - (1 << 63)
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
