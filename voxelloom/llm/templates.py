@@ -117,14 +117,12 @@ def classes(found: DataFrame) -> DataFrame:
     """Valid equivalence classes: (host, v1, v2, paths), paths in page order.
 
     Equal vectors mean equal pages and counts. Where each token stands once, their order is the order of their mean
-    places; a path stands after the paths it extends, so a class whose means contradict this keeps no order.
+    places; an element opens after those around it on every page, so a path stands after the paths it extends.
     """
     member = F.struct((F.col("place") / F.col("n")).alias("place"), "path")
     grouped = found.where((F.col("n") >= PAGES)).groupBy("host", "v1", "v2").agg(F.sort_array(F.collect_set(member)).alias("members"))
     paths = F.transform("members", lambda m: m["path"])
-    return grouped.where(F.size("members") >= TOKENS).select("host", "v1", "v2", paths.alias("paths")).where(
-        ~F.exists("paths", lambda p: F.exists("paths", lambda q: F.startswith(p, F.concat(q, F.lit("/")))
-                                             & (F.array_position("paths", q) > F.array_position("paths", p)))))
+    return grouped.where(F.size("members") >= TOKENS).select("host", "v1", "v2", paths.alias("paths"))
 
 
 def host_templates(found: DataFrame) -> DataFrame:
