@@ -397,6 +397,56 @@ def test_templates(spark, holder):
     assert any(f"html/body/{holder}" in r["paths"] and "html/body/nav" in r["paths"] for r in valid)
 
 
+BARE = ("<html><body><div class=rail><a href=/a>Menu {0}</a> <a href=/b>More</a></div><div class=flow><h1>Head {0}</h1><p>Text of {0} that goes on.</p>"
+        "{1}<div class=offer>Our offer of the week</div></div><div class=base>Visits: {0}</div></body></html>")
+
+
+def _host_pages(spark, htmls):
+    return spark.createDataFrame([(i, f"http://h.example/{i}", h) for i, h in enumerate(htmls)], "page_id int, url string, html string")
+
+
+def test_template_decides_without_marks(spark):
+    """No element or name of these pages says what is the article."""
+    htmls = [BARE.format(f"no{i}", "") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in templates.extract(_host_pages(spark, htmls)).collect()}
+    assert got == {i: f"Head no{i}\n\nText of no{i} that goes on." for i in range(6)}
+    assert all(templates.text_in(h, None, None) != got[i] for i, h in enumerate(htmls))
+
+
+def test_weaker_words_count_in_templates_only(spark):
+    own = '<section id="search"><p>methods</p></section><blockquote class="related">quote</blockquote>'
+    htmls = [BARE.format(f"no{i}", own if i == 2 else "") for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in templates.extract(_host_pages(spark, htmls)).collect()}
+    assert got[2] == "Head no2\n\nText of no2 that goes on.\n\nmethods\n\nquote"
+    every = [BARE.format(f"no{i}", f"<div class=related>See also {i}</div>") for i in range(6)]
+    assert {r["text"].count("See also") for r in templates.extract(_host_pages(spark, every)).collect()} == {0}
+    assert templates.text_in("<article>a<div class=related>b</div></article><div class=related>c</div>", None, None) == "a\n\nb"
+
+
+def test_article_that_is_the_same_everywhere_and_layout_that_holds_no_most(spark):
+    htmls = ["<html><body><div class=one>aaaa</div><article>bbbb</article><div class=two>cccc</div></body></html>"] * 4
+    assert {r["text"] for r in templates.extract(_host_pages(spark, htmls)).collect()} == {"bbbb"}
+    split = [f"<html><body><div class=one>aaaa {i}</div><div class=two>bbbb {i}</div></body></html>" for i in range(4)]
+    assert sorted(r["text"] for r in templates.extract(_host_pages(spark, split)).collect()) == [f"aaaa {i}\n\nbbbb {i}" for i in range(4)]
+
+
+def test_classes_against_brute_force(spark):
+    """Tokens with equal occurrence vectors over a host's pages, vectors compared in full."""
+    rng = random.Random(3)
+    parts = ["<div class=a><p>x</p></div>", "<ul><li>y</ul>", "<section><h2>z</h2><p>w</p></section>", "<table><tr><td>q</td></table>"]
+    rows = [(i, f"http://h{i % 3}.example/", "<html><body>" + "".join(rng.choices(parts, k=rng.randint(0, 5))) + "</body></html>") for i in range(40)]
+    vectors = {}
+    for i, url, h in rows:
+        for path, cells in templates.tokens(h).items():
+            vectors.setdefault((url, path), {})[i] = cells[0]
+    groups = {}
+    for (url, path), v in vectors.items():
+        groups.setdefault((url[7:-1], tuple(sorted(v.items()))), set()).add(path)
+    want = sorted((host, tuple(sorted(p))) for (host, v), p in groups.items() if len(v) >= templates.PAGES and len(p) >= templates.TOKENS)
+    found = templates.classes(templates.vectors(spark.createDataFrame(rows, "page_id int, url string, html string")))
+    assert sorted((r["host"], tuple(sorted(r["paths"]))) for r in found.collect()) == want and want
+
+
 def test_deep_pages(spark):
     """Unclosed elements of any depth; formulas stay in the text."""
     page = "<article>" + "".join(f"<div class=a>text {i}" for i in range(5000)) + "<p>a <math><mi>x</mi></math> b"

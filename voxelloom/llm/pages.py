@@ -17,13 +17,15 @@ BLOCK = frozenset(
 ENDS = {"p": BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]),
         "tr": frozenset(["tr", "tbody"]), "td": frozenset(["td", "th", "tr"]), "th": frozenset(["td", "th", "tr"]),
         "option": frozenset(["option"]), "head": frozenset(["body"])}
-# Elements, and words of class, id and role, that hold no article text.
+# Elements, and words of class, id and role, that hold no article text. The weaker words also name parts of articles: inside one
+# they count only where the template of the host has the element.
 ASIDE_TAGS = frozenset("nav header footer aside form head dialog menu search".split()) | RAW
 ASIDE_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments complementary consent "
-    "contentinfo cookie cookies copyright disqus footer gdpr header masthead menu modal nav navbar navigation newsletter notice "
-    "notices overlay pager pagination popup promo promoted promotion recommended related replies reply respond search share "
-    "sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split())
+    "ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies "
+    "disqus gdpr masthead nav navbar navigation newsletter pager pagination popup sidebar sponsor sponsored subscribe".split())
+WEAK_WORDS = frozenset(
+    "alert banner complementary copyright footer header menu modal notice notices overlay promo promoted promotion recommended "
+    "related replies reply respond search share sharing signup social toolbar widget widgets".split())
 MAIN_TAGS, MAIN_WORDS = frozenset(["article", "main"]), frozenset("article main".split())
 
 _NEXT = re.compile(r"<!--.*?(?:--!?>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
@@ -37,11 +39,11 @@ LONGEST_PATH = 1000
 class Element:
     """An open element: its tag, its path of tags and names, and whether it holds no article text.
 
-    ``hidden``: it or an element above holds none. Beyond ``LONGEST_PATH`` characters a path begins with a digest of what is
+    ``weak``: only a weaker word says so; ``hidden``: it or an element above holds none, by any word. Beyond ``LONGEST_PATH`` characters a path begins with a digest of what is
     above, so that pages of any depth take memory in proportion to their elements.
     """
 
-    __slots__ = ("tag", "path", "aside", "main", "parent", "hidden", "out", "inside", "chars", "said")
+    __slots__ = ("tag", "path", "aside", "weak", "main", "parent", "hidden", "link", "out", "inside", "chars", "said", "flow")
 
     def __init__(self, tag: str, names: frozenset[str], parent: "Element | None"):
         self.tag, self.parent = tag, parent
@@ -49,10 +51,13 @@ class Element:
         self.path = f"{parent.path}/{shown}" if parent else shown
         if len(self.path) > LONGEST_PATH and parent:
             self.path = f"{hashlib.blake2b(parent.path.encode('utf-8', 'replace'), digest_size=16).hexdigest()}/{shown}"
-        self.aside = tag in ASIDE_TAGS or (bool(names & ASIDE_WORDS) and tag not in ("html", "body", "article", "main"))
+        named = tag not in ("html", "body", "article", "main")
+        self.aside = tag in ASIDE_TAGS or named and bool(names & ASIDE_WORDS)
+        self.weak = named and bool(names & WEAK_WORDS)
         self.main = tag in MAIN_TAGS or bool(names & MAIN_WORDS)
-        self.hidden = self.aside or bool(parent and parent.hidden)
-        self.chars = self.said = 0  # of the text inside, for the template
+        self.hidden = self.aside or self.weak or bool(parent and parent.hidden)
+        self.link = tag == "a" or bool(parent and parent.link)
+        self.chars = self.said = self.flow = 0  # of the text inside, for the template
 
 
 def walk(page: str) -> Iterator[tuple[str, Element | None, str, list[Element]]]:
@@ -102,11 +107,11 @@ def walk(page: str) -> Iterator[tuple[str, Element | None, str, list[Element]]]:
         stack.append(element)
 
 
-def blocks(page: str, main: frozenset[str], constant: frozenset[str]) -> str:
+def blocks(page: str, main: frozenset[str], fixed: frozenset[str]) -> str:
     """Text of the slots inside the main elements, block by block.
 
-    ``main``: paths of the elements that hold the article, none for the whole page; ``constant``: paths of template
-    elements that say the same on every page.
+    ``main``: paths of the elements that hold the article, none for the whole page; ``fixed``: paths of template
+    elements that are not slots. Weaker words count outside the main elements only.
     """
     out: list[str] = []
     parts: list[str] = []
@@ -120,8 +125,8 @@ def blocks(page: str, main: frozenset[str], constant: frozenset[str]) -> str:
     for kind, element, text, stack in walk(page):
         if kind == "open":
             above = element.parent
-            element.out = element.aside or element.path in constant or bool(above and above.out)
             element.inside = element.path in main or bool(above and above.inside)
+            element.out = element.aside or element.path in fixed or element.weak and not element.inside or bool(above and above.out)
         elif kind == "break":
             close()
         elif kind == "text":

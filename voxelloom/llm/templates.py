@@ -3,9 +3,13 @@
 Tokens are tags in their role: the path of elements above them. Over all pages of a host, a token has an occurrence
 vector, how often it stands on each page. Tokens with equal vectors form an equivalence class; a class is valid if it has
 enough tokens and pages and if its tokens keep one order on every page. Valid classes nest by their paths into the
-host's template. What lies between template tokens are slots. The template's element that holds the article decides
-which slots are extracted: an element marked as article or main, else the deepest one that holds most of the text that
-differs from page to page. Elements of the template that say the same on all pages are not slots.
+host's template. What lies between template tokens are slots.
+
+The template decides which slots are the article. From the root down, an element whose own flow of text (all that is
+not inside a smaller template element) is the same on all pages is layout, and the part that holds most of its text is entered;
+an element whose flow differs from page to page is a slot, and the descent ends. Marks such as ``article`` decide where no
+part holds most, and end the descent. Elements of the template that say the same on all pages, or that stand on nearly every page under a
+name of notices and the like, are not slots; the same name on an element of a single article is.
 
 Vectors are never gathered: two 64-bit sums of hashes of (page, count) stand for them, and are added up before they are
 shuffled, so a host may have any number of pages.
@@ -27,8 +31,8 @@ from . import pages
 from .common import slices, stage, text_of
 
 PAGES, TOKENS = 3, 3  # of a valid class, at least
-MOST, EVERY = 0.7, 0.9  # share of text in the main element; share of pages with a constant element
-HOLDERS = frozenset("div section td main article".split())
+MOST, EVERY = 0.5, 0.9  # share of a layout element's text in the part that is entered; share of pages with an element of the template
+HOLDERS = frozenset("html body div section table tbody tr td main article".split())
 
 
 def _hash(*parts: object) -> int:
@@ -36,7 +40,8 @@ def _hash(*parts: object) -> int:
 
 
 def tokens(page: str) -> dict[str, list]:
-    """Per path: count, first place among the page's tags, code points of article-like text inside, the text's hash."""
+    """Per path: count, first place among the page's tags, code points of article-like text inside (links aside), hash of
+    the text inside, hash of its own flow."""
     counts: Counter[str] = Counter()
     first: dict[str, int] = {}
     opened: list[pages.Element] = []
@@ -46,18 +51,25 @@ def tokens(page: str) -> dict[str, list]:
             first.setdefault(element.path, len(first))
             opened.append(element)
         elif kind == "text" and stack and not stack[-1].hidden and (bare := text.strip()):
-            stack[-1].chars += len(bare)
-            stack[-1].said += _hash(bare)
+            top, code = stack[-1], _hash(bare)
+            top.said += code
+            if not top.link:
+                top.chars += len(bare)
+                top.flow += code
     chars: Counter[str] = Counter()
     said: Counter[str] = Counter()
+    flow: Counter[str] = Counter()
     for e in reversed(opened):  # what is inside was opened later
         if e.parent:
             e.parent.chars += e.chars
             e.parent.said += e.said
+            if e.tag not in HOLDERS:
+                e.parent.flow += e.flow
         if e.tag in HOLDERS and e.chars:
             chars[e.path] += e.chars
             said[e.path] += e.said
-    return {p: [n, first[p], chars[p], _signed(said[p])] for p, n in counts.items()}
+            flow[e.path] += e.flow
+    return {p: [n, first[p], chars[p], _signed(said[p]), _signed(flow[p])] for p, n in counts.items()}
 
 
 def _signed(x: int) -> int:
@@ -70,8 +82,8 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in slices(batches, text="html"):
         total: dict[tuple[str, str], list[int]] = {}
         for host, key, page in zip(*(part.column(i).to_pylist() for i in range(3))):
-            for path, (n, place, chars, said) in tokens(page).items():
-                row = total.setdefault((host, path), [0, 0, 0, 0, 0, n, n, said, said])
+            for path, (n, place, chars, said, flow) in tokens(page).items():
+                row = total.setdefault((host, path), [0, 0, 0, 0, 0, n, n, said, said, flow, flow])
                 row[0] += 1
                 row[1] = (row[1] + _hash(key, n)) & 0xFFFFFFFFFFFFFFFF
                 row[2] = (row[2] + _hash(n, key, "b")) & 0xFFFFFFFFFFFFFFFF
@@ -79,12 +91,13 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row[4] += chars
                 row[5], row[6] = min(row[5], n), max(row[6], n)
                 row[7], row[8] = min(row[7], said), max(row[8], said)
+                row[9], row[10] = min(row[9], flow), max(row[10], flow)
         signed = lambda x: x - (1 << 64) if x >> 63 else x
-        cells = [[k[0] for k in total], [k[1] for k in total], *[list(c) for c in zip(*total.values())]] if total else [[]] * 11
+        cells = [[k[0] for k in total], [k[1] for k in total], *[list(c) for c in zip(*total.values())]] if total else [[]] * 13
         cells[3], cells[4] = [signed(x) for x in cells[3]], [signed(x) for x in cells[4]]
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, pa.string() if i < 2 else pa.int64()) for i, c in enumerate(cells)],
-            ["host", "path", "n", "sig1", "sig2", "place", "chars", "least", "most", "said_low", "said_high"])
+            ["host", "path", "n", "sig1", "sig2", "place", "chars", "least", "most", "said_low", "said_high", "flow_low", "flow_high"])
 
 
 def _hosted(table: DataFrame):
@@ -100,14 +113,15 @@ def _wrapped(column: str):
 
 
 def vectors(table: DataFrame) -> DataFrame:
-    """(host, path, n, v1, v2, place, chars, least, most, constant): occurrence vectors of all tokens."""
+    """(host, path, n, v1, v2, place, chars, least, most, constant, still): occurrence vectors of all tokens."""
     rows = table.select(_hosted(table), F.xxhash64("page_id", "url", "html", F.monotonically_increasing_id()).alias("key"),
                         text_of(table, "html").alias("html"))
     parts = rows.mapInArrow(_summed, "host string, path string, n bigint, sig1 bigint, sig2 bigint, place bigint, chars bigint, "
-                                     "least bigint, most bigint, said_low bigint, said_high bigint")
+                                     "least bigint, most bigint, said_low bigint, said_high bigint, flow_low bigint, flow_high bigint")
     added = parts.groupBy("host", "path").agg(
         F.sum("n").alias("n"), *_wrapped("sig1"), *_wrapped("sig2"), F.sum("place").alias("place"), F.sum("chars").alias("chars"),
-        F.min("least").alias("least"), F.max("most").alias("most"), (F.min("said_low") == F.max("said_high")).alias("constant"))
+        F.min("least").alias("least"), F.max("most").alias("most"), (F.min("said_low") == F.max("said_high")).alias("constant"),
+        (F.min("flow_low") == F.max("flow_high")).alias("still"))
     whole = {f"v{i}": F.shiftleft((F.col(f"sig{i}_high") + F.shiftright(f"sig{i}_low", 32)).bitwiseAND(F.lit(0xFFFFFFFF)), 32).bitwiseOR(
         F.col(f"sig{i}_low").bitwiseAND(F.lit(0xFFFFFFFF))) for i in (1, 2)}
     return added.withColumns(whole).drop("sig1_low", "sig1_high", "sig2_low", "sig2_high")
@@ -125,32 +139,54 @@ def classes(found: DataFrame) -> DataFrame:
     return grouped.where(F.size("members") >= TOKENS).select("host", "v1", "v2", paths.alias("paths"))
 
 
+def _above(path: str):
+    return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
+
+
 def host_templates(found: DataFrame) -> DataFrame:
-    """(host, main, constant): per host the template's main elements and those that say the same on all pages."""
+    """(host, main, fixed): per host the paths of the elements that hold the article and of those that are no slots."""
     valid = classes(found).select("host", F.explode("paths").alias("path"))
     template = found.join(valid, ["host", "path"])
-    site = template.groupBy("host").agg(F.max("n").alias("pages"), F.max("chars").alias("text"))
-    rows = template.join(site, "host")
-    tag = F.split(F.element_at(F.split("path", "/"), -1), r"\.")
-    words = F.slice(tag, 2, 1 << 20)
+    site = template.groupBy("host").agg(F.max("n").alias("pages"))
+    names = F.split(F.element_at(F.split("path", "/"), -1), r"\.")
     lit = lambda values: F.array(*[F.lit(v) for v in sorted(values)])
-    marked = F.element_at(tag, 1).isin(*sorted(pages.MAIN_TAGS)) | F.arrays_overlap(words, lit(pages.MAIN_WORDS))
-    holder = F.element_at(tag, 1).isin(*sorted(HOLDERS)) & (F.col("text") > 0) & (F.col("chars") >= MOST * F.col("text"))
-    common = F.col("n") >= EVERY * F.col("pages")
-    kind = F.when(marked & (F.col("chars") > 0), 2).when(holder & common & ~F.col("constant"), 1).otherwise(0)
-    depth = F.size(F.split("path", "/"))
-    ranked = rows.select("host", "path", "constant", "n", "pages", tag.alias("tag"), kind.alias("kind"), depth.alias("depth"))
-    # Of marked elements the outermost count; of holders the deepest.
-    order = W.partitionBy("host").orderBy(F.desc("kind"), F.when(F.col("kind") == 2, F.col("depth")).otherwise(-F.col("depth")), "path")
-    best = ranked.where("kind > 0").withColumn("no", F.row_number().over(order))
-    main = best.where("no = 1 or kind = 2").groupBy("host").agg(F.collect_set("path").alias("main"), F.max("constant").alias("fixed"))
-    same = ranked.where(F.col("constant") & (F.col("n") >= PAGES) & (F.col("n") >= EVERY * F.col("pages")) & (F.size("tag") > 1)
-                        & F.element_at("tag", 1).isin(*sorted(HOLDERS - pages.MAIN_TAGS))).groupBy("host").agg(F.collect_set("path").alias("constant"))
-    return main.join(same, "host", "left").select("host", "main", F.when(
-        ~F.col("fixed"), F.col("constant")).alias("constant"))
-
-
-def text_in(page: str, main: list[str] | None, constant: list[str] | None) -> str:
+    rows = template.join(site, "host").where(F.col("n") >= EVERY * F.col("pages")).select(
+        "host", "path", "n", "chars", "constant", "still", "most", names.alias("names"), F.element_at(names, 1).alias("tag"),
+        F.size(F.split("path", "/")).alias("depth")).withColumn("marked", F.col("tag").isin(*sorted(pages.MAIN_TAGS)) | F.arrays_overlap(
+            F.slice("names", 2, 1 << 20), lit(pages.MAIN_WORDS)))
+    rows = stage(rows)
+    # Elements that stand once on each page, and what is around them.
+    nodes = rows.where((F.col("most") == 1) & F.col("tag").isin(*sorted(HOLDERS)) & (F.col("chars") > 0)).withColumn("up", _above("path"))
+    around = nodes.select("host", F.col("path").alias("up"), F.col("chars").alias("whole"), F.col("still").alias("layout"), F.col("marked").alias("stop"))
+    parts = nodes.join(around, ["host", "up"], "left")
+    best = W.partitionBy("host", "up").orderBy(F.desc("marked"), F.desc("chars"), "path")
+    most = F.col("chars") > MOST * F.col("whole")
+    parts = parts.withColumn("first", F.row_number().over(best) == 1).withColumn("taken", F.max(most).over(W.partitionBy("host", "up")))
+    enter = F.when(F.col("up") == "", True).otherwise(
+        F.col("layout") & ~F.col("stop") & (most | ~F.col("taken") & F.col("marked") & F.col("first")))
+    entered = parts.where(enter).select("host", "path", "depth", "chars", "marked")
+    # The descent holds the elements all of whose surroundings were entered.
+    prefixes = F.transform(F.sequence(F.lit(1), F.col("depth")), lambda k: F.array_join(F.slice(F.split("path", "/"), 1, k), "/"))
+    steps = entered.select("*", F.explode(prefixes).alias("step")).join(
+        entered.select("host", F.col("path").alias("step")), ["host", "step"], "left_semi")
+    descent = steps.groupBy("host", "path", "depth", "chars", "marked").agg(F.count(F.lit(1)).alias("n")).where("n = depth")
+    last = descent.groupBy("host").agg(F.max_by(F.struct("path", "depth", "chars", "marked"), F.struct("depth", "path")).alias("last"))
+    # Where it ends at an element without marks, marked ones inside that hold most of its text, or the page's only ones, go first.
+    inside = nodes.where("marked").join(last.where("not last.marked"), "host").where(F.col("path").startswith(F.concat("last.path", F.lit("/"))) & (
+        (F.col("chars") > MOST * F.col("last.chars")) | (F.col("last.depth") <= 2)))
+    outer = inside.withColumn("top", F.min("depth").over(W.partitionBy("host"))).where("depth = top").groupBy("host").agg(
+        F.collect_set("path").alias("marks"))
+    main = last.join(outer, "host", "left").select("host", F.coalesce("marks", F.array("last.path")).alias("main"))
+    steady = main.select("host", F.explode("main").alias("path")).join(rows.select("host", "path", "constant"), ["host", "path"]).groupBy(
+        "host").agg(F.max("constant").alias("steady"))
+    # If the article itself is the same on all pages, what says the same is no sign.
+    no_slot = (F.col("constant") & ~F.col("steady") & F.col("tag").isin(*sorted(HOLDERS - pages.MAIN_TAGS - {"html", "body"}))) | F.arrays_overlap(
+        F.slice("names", 2, 1 << 20), lit(pages.WEAK_WORDS))
+    fixed = rows.where(F.col("n") >= PAGES).join(steady, "host").where(no_slot).groupBy("host").agg(F.collect_set("path").alias("fixed"))
+    return main.join(fixed, "host", "left")
+
+
+def text_in(page: str, main: list[str] | None, fixed: list[str] | None) -> str:
     """The template's slots if the page has them, else those of the page's own marked elements, else of the whole page."""
     there, own = set(), set()
     for kind, element, _, _ in pages.walk(page):
@@ -159,7 +195,7 @@ def text_in(page: str, main: list[str] | None, constant: list[str] | None) -> st
             if element.main and not element.aside:
                 own.add(element.path)
     wanted = frozenset(main or ()) & there or frozenset(own)
-    return pages.blocks(page, wanted, frozenset(constant or ()) - wanted)
+    return pages.blocks(page, wanted, frozenset(fixed or ()) - wanted)
 
 
 def extract(table: DataFrame) -> DataFrame:
@@ -174,5 +210,5 @@ def extract(table: DataFrame) -> DataFrame:
 
     # The templates are a written table whose size Spark knows: small ones are broadcast, others meet over the host.
     rows = table.select("page_id", "url", text_of(table, "html").alias("html"), _hosted(table)).join(learnt, "host", "left")
-    out = rows.select("page_id", "url", "html", "main", "constant").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string")
+    out = rows.select("page_id", "url", "html", "main", "fixed").mapInArrow(run, f"page_id {kinds[0]}, url {kinds[1]}, text string")
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
