@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual, Not
 
-from voxelloom.operators import history, measure, projection, raymerge, rectindex, runsets
-from voxelloom.sources import bricks, bricktree, colocated, volume_format
+from voxelloom.operators import histogram, history, measure, projection, raymerge, rectindex, resample, runsets, sketches
+from voxelloom.sources import bricks, bricktree, colocated, pyramidstore, volume_format
 from voxelloom.streaming import edits as edit_stream, voxel_state
 
 
@@ -372,3 +372,83 @@ def test_dyadic_cover(spark):
     for r in rows.select("a", "b", rectindex.dyadic(F.col("a"), F.col("b")).alias("n")).collect():
         cells = [x for n in r.n for x in range(n.no << n.level, n.no + 1 << n.level)]
         assert sorted(cells) == list(range(r.a, r.b)) and len(r.n) <= 2 * 6
+
+
+# ---- sketches --------------------------------------------------------------------------------
+
+PROBS = (0.0, 0.01, 0.37, 0.5, 0.99, 1.0)
+
+
+@pytest.mark.parametrize("points", [3, 16, 1000])
+def test_quantiles_from_sketches(spark, grid, points):
+    rng = np.random.default_rng(8)
+    a = np.round(rng.normal(0, 40, (9, 14, 11)))
+    a[:4, :4, :4] = np.nan
+    a[5, 5, :3] = (np.inf, -np.inf, np.nan)
+    b = rng.integers(0, 3, (2, 3, 2)).astype(float)
+    voxels, volumes = grid(a=a, b=b, c=np.full((2, 2, 2), np.nan), d=np.full((1, 1, 1), 5.0))
+    packed = bricks.to_bricks(voxels, volumes, 4).cache()
+    small = sketches.brick_sketches(packed, points)
+    for r in small.collect():
+        assert sum(p.w for p in r.points) == r.n and [p.val for p in r.points] == sorted(p.val for p in r.points)
+        assert max(p.w for p in r.points) <= r.slack + 1 and r.points[-1].val == r.vmax
+    got = {(r.volume_id, r.q): r.value for r in sketches.quantiles(small, packed, ["volume_id"], PROBS).collect()}
+    want = {(r.volume_id, r.q): r.value for r in histogram.exact_quantiles(voxels, ["volume_id"], "v", PROBS).collect()}
+    assert got == want and len(got) == 3 * len(PROBS)
+    some = "bz <= 1 and by between 1 and 2"
+    part = {(r.volume_id, r.q): r.value for r in sketches.quantiles(small.where(some), packed.where(some), ["volume_id"], PROBS).collect()}
+    cut = voxels.where("z < 8 and y between 4 and 11")
+    assert part == {(r.volume_id, r.q): r.value for r in histogram.exact_quantiles(cut, ["volume_id"], "v", PROBS).collect()}
+    assert sketches.quantiles(small.limit(0), packed.limit(0), ["volume_id"], PROBS).count() == 0
+
+
+def test_quantiles_open_few_bricks(spark, grid):
+    """Where values rise through a grid, only the bricks around the wanted rank are read."""
+    voxels, volumes = grid(a=np.arange(32 * 8 * 8, dtype=float).reshape(32, 8, 8))
+    packed = bricks.to_bricks(voxels, volumes, 4).cache()
+    small = sketches.brick_sketches(packed, 16).cache()
+    spans = sketches.enclose(small, ["volume_id"], [0.5])
+    opened = packed.where(sketches._reaching(spans, ["volume_id"])).count()
+    assert 0 < opened <= packed.count() / 4
+    for r in spans.first().spans:
+        assert (r.lo is None or r.lo < r.rank) and r.hi >= r.rank
+
+
+# ---- pyramid upkeep --------------------------------------------------------------------------
+
+def test_pyramid_upkeep(spark, grid, tmp_path):
+    """Equal to a full rebuild after every update; an update reads the touched bricks only; a lost update changes nothing."""
+    rng = np.random.default_rng(9)
+    arrays = {"a": rng.integers(0, 90, (18, 21, 33)).astype(float), "b": rng.integers(0, 90, (3, 5, 2)).astype(float)}
+    voxels, volumes = grid(**arrays)
+    path, other = str(tmp_path / "p"), str(tmp_path / "q")
+    pyramidstore.write_pyramid(voxels, volumes, path, size=4, file_bytes=8 * 64 * 20)
+    kind = "volume_id string, z int, y int, x int, v double, seq int"
+    batches = [
+        [("a", 17, 20, 32, 5.0, 1), ("a", 0, 0, 0, 7.0, 2), ("a", 0, 0, 0, 6.0, 1), ("a", 18, 0, 0, 1.0, 3), ("no", 0, 0, 0, 1.0, 4)],
+        [("a", 0, 0, 3, -4.0, 9), ("b", 2, 4, 1, 8.0, 9), ("b", 2, 3, 1, None, 10)],
+        []]
+
+    def levels(where):
+        return {(n, r.volume_id, r.z, r.y, r.x): r.v for n in ("low", "mid", "full")
+                for r in pyramidstore.read_voxels(spark, where, n, 4).collect()}
+
+    def rebuilt():
+        return {(r.level, r.volume_id, r.z, r.y, r.x): r.v for r in resample.pyramid(grid(**arrays)[0], volumes).collect()}
+
+    assert levels(path) == pytest.approx(rebuilt())
+    for no, batch in enumerate(batches, 1):
+        assert pyramidstore.update(spark, path, spark.createDataFrame(batch, kind), size=4) == no
+        for name, z, y, x, v, _ in sorted(batch, key=lambda c: c[-1]):
+            if v is not None and name in arrays and all(c < n for c, n in zip((z, y, x), arrays[name].shape)):
+                arrays[name][z, y, x] = v
+        assert levels(path) == pytest.approx(rebuilt())
+    assert spark.read.parquet(f"{path}/full").where("version = 1").count() == 2
+    keys = spark.createDataFrame([("a", 4, 5, 8)], "volume_id string, bz int, by int, bx int").withColumn("code", bricktree.morton())
+    scanned, kept = rows_read(spark.read.parquet(f"{path}/full").where(bricktree.within(bricktree.ranges_of([("a", keys.first().code)]), 0)))
+    assert kept == 2 and scanned < spark.read.parquet(f"{path}/full").count() / 4  # version 0 and version 1
+    assert pyramidstore.read_touched(spark, path, keys).count() == 1
+    spark.read.parquet(f"{path}/full/version=1").withColumn("vmax", F.lit(0.0)).write.parquet(f"{path}/full/version=4")  # a lost update
+    assert levels(path) == pytest.approx(rebuilt())
+    pyramidstore.compact(spark, path, other, size=4)
+    assert levels(other) == pytest.approx(rebuilt())

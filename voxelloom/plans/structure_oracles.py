@@ -66,3 +66,14 @@ for _name, _holds in (("union", "a OR b"), ("difference", "a AND NOT b"), ("inte
 r AS (SELECT mask_id, lin, lin - ROW_NUMBER() OVER (PARTITION BY mask_id ORDER BY lin) AS grp FROM m WHERE {_holds})
 SELECT mask_id, MIN(lin) AS st, COUNT(*) AS len FROM r GROUP BY mask_id, grp""")
 ORACLES["rect_range_indexed"] = ORACLES["rect_range"]
+
+# ---- sketches, pyramid upkeep ----------------------------------------------------------------
+
+ORACLES["percentiles_sketched"] = ORACLES["percentiles"]
+ORACLES["percentiles_brick_range"] = ORACLES["percentiles"].replace("FROM vox GROUP BY 1", "FROM vox WHERE z < 16 AND y BETWEEN 8 AND 23 GROUP BY 1")
+ORACLES["pyramid_upkeep"] = ORACLES["pyramid"].replace("WITH vox AS (", "WITH vox0 AS (", 1).replace(",\nvol AS (", """,
+chg AS (
+  SELECT 'events' AS volume_id, event_id % 3 AS z, event_id % 7 AS y, event_id // 7 % 23 AS x, arg_max(event_id, (event_id % 2, event_id)) AS n
+  FROM events GROUP BY ALL),
+vox AS (SELECT o.volume_id, o.z, o.y, o.x, COALESCE(CAST(n AS DOUBLE), CAST(v AS DOUBLE)) AS v FROM vox0 o LEFT JOIN chg USING (volume_id, z, y, x)),
+vol AS (""", 1)

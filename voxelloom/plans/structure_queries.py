@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import DataFrame, functions as F
 
 from ..model import linear_index
-from ..operators import appearance, history, measure, raymerge, rectindex, rle, runsets
+from ..operators import appearance, histogram, history, measure, raymerge, rectindex, rle, runsets, sketches
 from ..scale import attach, stage
-from ..sources import bricks, bricktree, colocated, volume_format
+from ..sources import bricks, bricktree, colocated, pyramidstore, volume_format
 from ..streaming import edits as edit_stream, voxel_state
 from .grids import EVENT_CLASS, Grids
 from .queries import _bright, _projected, _stats, query, r6
@@ -146,3 +146,38 @@ def runs_intersection(g):
 @query
 def rect_range_indexed(g):
     return rectindex.rect_range(g.rects, g.voxels, g.volumes, "xy", tile=8)
+
+
+# ---- sketches, pyramid upkeep ----------------------------------------------------------------
+
+def _sketched(g: Grids, some: str) -> DataFrame:
+    packed = stage(bricks.to_bricks(g.voxels, g.volumes, 8)).where(some)
+    small = stage(sketches.brick_sketches(packed, 16))
+    out = sketches.quantiles(small, packed, ["volume_id"], histogram.WINDOW_QUANTILES)
+    return out.withColumn("value", r6("value"))
+
+
+@query
+def percentiles_sketched(g):
+    return _sketched(g, "true")
+
+
+@query
+def percentiles_brick_range(g):
+    """Quantiles of the part of every grid in a range of brick keys."""
+    return _sketched(g, "bz <= 1 and by between 1 and 2")
+
+
+@query
+def pyramid_upkeep(g):
+    """All levels of the grids after two updates; every event sets a voxel, some of them outside the grid."""
+    path = _folder(g, "pyramid")
+    pyramidstore.write_pyramid(g.voxels, g.volumes, path, size=8, file_bytes=1 << 16)
+    changes = g.table("events").selectExpr(
+        "'events' as volume_id", "cast(event_id % 3 as int) as z", "cast(event_id % 7 as int) as y",
+        "cast(event_id div 7 % 23 as int) as x", "cast(event_id as double) as v", "event_id as seq")
+    for part in (0, 1):
+        pyramidstore.update(g.spark, path, changes.where(f"seq % 2 = {part}"), size=8, file_bytes=1 << 16)
+    levels = [pyramidstore.read_voxels(g.spark, path, name, 8).select(F.lit(name).alias("level"), "volume_id", "z", "y", "x", r6("v").alias("v"))
+              for name in ("low", "mid", "full")]
+    return levels[0].unionByName(levels[1]).unionByName(levels[2])
