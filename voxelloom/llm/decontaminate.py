@@ -11,8 +11,9 @@ substitutions in 13 to 25 tokens leaves a window of one of ``MASKS`` untouched.
 which travel only if there are items of that length.
 
 A filter of a fixed number of bits, made from all benchmark hashes, travels to the tasks that read documents. Only
-windows that pass it are joined with the benchmark's hashes, so document text itself is never shuffled, and the join is
-an ordinary one whatever the benchmark's size.
+windows that pass it are joined with the benchmark's hashes, so document text itself is never shuffled. The join is over
+distinct hashes of a region and distinct hashes of an item, so repeated words make no pairs of positions; a hash that very
+many regions hold is salted. Which diagonals a region and an item share is then found where both lie side by side.
 
 Defined results: tokens are runs of word characters in lower case; a null or empty text has none. Repeated documents are reported each under their id; rows without an id are
 searched too and reported with a null id. Repeated items are reported each.
@@ -26,32 +27,29 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401  registers pa.compute
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import row_keys, slices, stage, text_of, without
+from .common import Remembered, row_keys, salted_join, slices, stage, text_of, without
 
 MASKS = ("11101011", "1101001011", "1110010101", "1011000110011", "111111")
 LEAST, IDENTITY, MISMATCH = 13, 0.8, 3
 FILTER_BITS = 25  # each hash sets two of 2^25 bits
 NEAR = 64  # hits closer than this share a region; regions keep as many tokens on either side, at least
-REMEMBERED = 500_000
+MEETINGS = 1 << 20  # pairs of positions looked at together
+SALTS = 8
+FACTORS = (np.arange(1, 65, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) ^ np.uint64(0x9E3779B97F4A7C14) | np.uint64(1)
 
 _WORD = re.compile(r"\w+").findall
-_known: dict[str, int] = {}
+_known = Remembered(lambda word: xxhash.xxh3_64_intdigest(word.encode()))
 
 
 def tokens(text: str) -> np.ndarray:
     """One 64-bit number per token."""
     words = _WORD(text.lower())
-    try:
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(_known) > REMEMBERED:
-            _known.clear()
-        for w in set(words):
-            _known[w] = xxhash.xxh3_64_intdigest(w.encode())
-        return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
+    _known.trim()
+    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
 
 
 def short_masks(n: int) -> set[str]:
@@ -71,39 +69,43 @@ def masks_for(lengths: Iterable[int]) -> tuple[str, ...]:
 
 
 def masked(ids: np.ndarray, masks: tuple[str, ...] = MASKS) -> list[np.ndarray]:
-    """Per mask the hash of the window at every position."""
+    """Per mask the hash of the window at every position: a sum of the tokens, each times an odd factor of its place."""
     out = []
     for mask in masks:
-        n = len(ids) - len(mask) + 1
-        h = np.full(max(n, 0), 0x9E3779B97F4A7C15 + int(mask, 2), dtype=np.uint64)
+        n = max(len(ids) - len(mask) + 1, 0)
+        h = np.full(n, int(mask, 2), dtype=np.uint64)
         for i, bit in enumerate(mask):
-            if bit == "1" and n > 0:
-                h = (h ^ ids[i:i + n]) * np.uint64(0xD6E8FEB86659FD93)
-                h ^= h >> np.uint64(29)
+            if bit == "1":
+                h += ids[i:i + n] * FACTORS[i]
+        h *= FACTORS[63]
+        h ^= h >> np.uint64(29)
         out.append(h)
     return out
 
 
+def seeds_of(item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, positions) of an item's masked windows."""
+    found = masked(item, masks_for([len(item)] if len(item) < LEAST else []))
+    return np.concatenate(found), np.concatenate([np.arange(len(h)) for h in found])
+
+
 def _items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, row, ids, seeds): tokens and (hash, pos) of every masked window of each benchmark row."""
+    """(item_id, row, ids, seeds): tokens and distinct hashes of masked windows of each benchmark row."""
     kind = benchmark.schema["item_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             ids = [tokens(t) for t in part.column(2).to_pylist()]
-            seeds = []
-            for x in ids:
-                found = masked(x, masks_for([len(x)] if len(x) < LEAST else []))
-                h = np.concatenate(found).view(np.int64).tolist()
-                p = np.concatenate([np.arange(len(f)) for f in found]).tolist()
-                seeds.append([{"h": a, "p": b} for a, b in zip(h, p)])
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([x.view(np.int64) for x in ids], pa.list_(pa.int64())),
-                 pa.array(seeds, pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int64())])))],
-                ["item_id", "row", "ids", "seeds"])
+            seeds = [np.unique(seeds_of(x)[0]) for x in ids]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), _lists(ids), _lists(seeds)],
+                                             ["item_id", "row", "ids", "seeds"])
 
     rows = benchmark.select("item_id", F.monotonically_increasing_id().alias("row"), text_of(benchmark).alias("text"))
-    return rows.mapInArrow(run, f"item_id {kind}, row bigint, ids array<bigint>, seeds array<struct<h:bigint,p:bigint>>")
+    return rows.mapInArrow(run, f"item_id {kind}, row bigint, ids array<bigint>, seeds array<bigint>")
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    return pa.array([x.view(np.int64) for x in arrays], pa.list_(pa.int64()))
 
 
 def _filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -119,41 +121,67 @@ def _filter(seeds: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
 
 
 def _regions(docs: DataFrame, passing, reach: int, masks: tuple[str, ...], bits: int = FILTER_BITS) -> DataFrame:
-    """Stretches of documents around windows that pass the filter: (doc_id, k1, k2, hit, start, ids, seeds)."""
+    """Stretches of documents around windows that pass the filter: (doc_id, k1, k2, hit, start, ids, hashes, places).
+
+    The documents of a slice are hashed as one array; windows that reach over a document's end are left out.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         present = np.unpackbits(passing.value, bitorder="little").astype(bool)
         for part in slices(batches):
-            out: list[list] = [[], [], [], [], [], [], []]
-            doc_ids, k1, k2 = (part.column(i).to_pylist() for i in range(3))
-            for d, a, b, text in zip(doc_ids, k1, k2, part.column(3).to_pylist()):
-                ids = tokens(text)
-                at, hashes = [], []
-                for h in masked(ids, masks):
-                    hit = np.flatnonzero(present[(h >> np.uint64(64 - bits)).astype(np.int64)])
-                    hit = hit[present[((h[hit] >> np.uint64(64 - 2 * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]]
-                    at.append(hit)
-                    hashes.append(h[hit])
-                pos, h = np.concatenate(at), np.concatenate(hashes)
-                if not len(pos):
-                    continue
-                order = np.argsort(pos, kind="stable")
-                pos, h = pos[order], h[order]
-                for cut in np.split(np.arange(len(pos)), np.flatnonzero(np.diff(pos) > NEAR) + 1):
-                    start, stop = max(int(pos[cut[0]]) - reach, 0), int(pos[cut[-1]]) + reach + NEAR
-                    seeds = [{"h": x, "p": y} for x, y in zip(h[cut].view(np.int64).tolist(), (pos[cut] - start).tolist())]
-                    for cell, value in zip(out, (d, a, b, int(pos[cut[0]]), start, ids[start:stop].view(np.int64), seeds)):
-                        cell.append(value)
+            texts = [tokens(t) for t in part.column(3).to_pylist()]
+            ends = np.cumsum([len(x) for x in texts])
+            ids = np.concatenate(texts)
+            at, hashes = [], []
+            for mask, h in zip(masks, masked(ids, masks)):
+                hit = np.flatnonzero(present[(h >> np.uint64(64 - bits)).astype(np.int64)])
+                hit = hit[present[((h[hit] >> np.uint64(64 - 2 * bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)]]
+                hit = hit[hit + len(mask) <= ends[np.searchsorted(ends, hit, "right")]]
+                at.append(hit)
+                hashes.append(h[hit])
+            pos, h = np.concatenate(at), np.concatenate(hashes)
+            order = np.argsort(pos, kind="stable")
+            pos, h = pos[order], h[order]
+            doc = np.searchsorted(ends, pos, "right")
+            fresh = np.flatnonzero((np.diff(pos) > NEAR) | (np.diff(doc) > 0)) + 1
+            cells: list[list] = [[], [], [], [], [], []]
+            for cut in np.split(np.arange(len(pos)), fresh) if len(pos) else []:
+                of = int(doc[cut[0]])
+                base = int(ends[of]) - len(texts[of])
+                start = max(int(pos[cut[0]]) - reach, base)
+                stop = min(int(pos[cut[-1]]) + reach + NEAR, int(ends[of]))
+                for cell, value in zip(cells, (of, int(pos[cut[0]]) - base, start - base, ids[start:stop], h[cut],
+                                               (pos[cut] - start).astype(np.int64))):
+                    cell.append(value)
+            row = pa.array(cells[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], part.schema.field(0).type), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
-                 pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64()), pa.array(out[5], pa.list_(pa.int64())),
-                 pa.array(out[6], pa.list_(pa.struct([("h", pa.int64()), ("p", pa.int64())])))],
-                ["doc_id", "k1", "k2", "hit", "start", "ids", "seeds"])
+                [*(part.column(i).take(row) for i in range(3)), pa.array(cells[1], pa.int64()), pa.array(cells[2], pa.int64()),
+                 *map(_lists, cells[3:])],
+                ["doc_id", "k1", "k2", "hit", "start", "ids", "hashes", "places"])
 
     text = text_of(docs)
     return docs.select("doc_id", *row_keys(docs["doc_id"], text), text.alias("text")).mapInArrow(
-        run, f"doc_id {kind}, k1 bigint, k2 bigint, hit bigint, start bigint, ids array<bigint>, seeds array<struct<h:bigint,p:bigint>>")
+        run, f"doc_id {kind}, k1 bigint, k2 bigint, hit bigint, start bigint, ids array<bigint>, hashes array<bigint>, places array<bigint>")
+
+
+def diagonals(hashes: np.ndarray, places: np.ndarray, item: np.ndarray, size: int) -> np.ndarray:
+    """Offsets, ascending, at which a region of ``size`` tokens shares a masked window with an item.
+
+    Memory follows the two lengths; pairs of positions are looked at ``MEETINGS`` at a time.
+    """
+    known, at = seeds_of(item)
+    order = np.argsort(known, kind="stable")
+    known, at = known[order], at[order]
+    left = np.searchsorted(known, hashes, "left")
+    many = np.searchsorted(known, hashes, "right") - left
+    seen = np.zeros(size + len(item) + 1, dtype=bool)
+    total = np.cumsum(many)
+    for cut in np.split(np.arange(len(many)), np.flatnonzero(np.diff(total // MEETINGS)) + 1):
+        n = many[cut]
+        place = np.arange(n.sum()) + np.repeat(left[cut] - (np.cumsum(n) - n), n)
+        seen[np.repeat(places[cut], n) - at[place] + len(item)] = True
+    return np.flatnonzero(seen) - len(item)
 
 
 def stretch(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -193,19 +221,35 @@ def accepted(a: np.ndarray, b: np.ndarray, diagonal: int) -> tuple[int, int, int
     return low + int(begin[best]), int(end[best] - begin[best]), int(equal[best])
 
 
+def best_overlap(a: np.ndarray, b: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> tuple[int, int, int] | None:
+    """The stretch with the most equal tokens over all diagonals; of equal ones the shorter, then the earlier."""
+    best = None
+    for diagonal in diagonals(hashes, places, b, len(a)).tolist():
+        if found := accepted(a, b, diagonal):
+            at, n, equal = found
+            if best is None or (equal, -n, -at) > (best[2], -best[1], -best[0]):
+                best = found
+            if equal == len(b) == n:  # later diagonals have no more, and start later
+                break
+    return best
+
+
 def _verified(pairs: DataFrame, doc_kind: str, item_kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for r in batch.to_pylist():
-                a, b = np.array(r["ids"], np.int64), np.array(r["item_ids"], np.int64)
-                if found := accepted(a, b, r["diagonal"]):
-                    at, n, equal = found
-                    rows.append((r["doc_id"], r["k1"], r["k2"], r["item_id"], r["start"] + at, n, equal, len(b)))
+            rows, found = [], []
+            ids, hashes, places, items = (batch.column(c) for c in ("ids", "hashes", "places", "item_ids"))
+            for i in range(batch.num_rows):
+                a, h, p, b = (column[i].values.to_numpy() for column in (ids, hashes, places, items))
+                if best := best_overlap(a.view(np.uint64), b.view(np.uint64), h.view(np.uint64), p):
+                    rows.append(i)
+                    found.append((*best, len(b)))
             if rows:
-                cells = list(zip(*rows))
-                kinds = [batch.schema.field("doc_id").type, *[pa.int64()] * 2, batch.schema.field("item_id").type, *[pa.int64()] * 4]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cells, kinds)], NAMES)
+                kept = batch.take(pa.array(rows))
+                at, n, equal, size = (pa.array(c, pa.int64()) for c in zip(*found))
+                first = pa.compute.add(kept.column("start"), at)
+                yield pa.RecordBatch.from_arrays(
+                    [*(kept.column(c) for c in ("doc_id", "k1", "k2", "item_id")), first, n, equal, size], NAMES)
 
     return pairs.mapInArrow(run, f"doc_id {doc_kind}, k1 bigint, k2 bigint, item_id {item_kind}, first_token bigint, "
                                  "n_tokens bigint, n_equal bigint, item_tokens bigint")
@@ -218,19 +262,21 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every verified overlap: (doc_id, k1, k2, item_id, first_token, n_tokens, n_equal, item_tokens), best per item."""
     spark = docs.sparkSession
     items = stage(_items(benchmark))
-    seeds = items.select("row", F.explode("seeds").alias("s")).select("row", F.col("s.h").alias("h"), F.col("s.p").alias("p"))
+    seeds = items.select("row", F.explode("seeds").alias("h"))
     size = F.size("ids")
     longest, short = items.agg(F.max(size), F.collect_set(F.when(size < LEAST, size))).first()
     longest = longest or 0
     passing = spark.sparkContext.broadcast(np.packbits(_filter(seeds), bitorder="little"))
     regions = stage(_regions(docs, passing, longest + NEAR, masks_for(short)))
     region = ["k1", "k2", "hit"]  # its first hit names a region of a text
-    hits = regions.select(*region, F.explode("seeds").alias("s")).select(*region, F.col("s.h").alias("h"), F.col("s.p").alias("at"))
-    lines = hits.join(seeds, "h").select(*region, "row", (F.col("at") - F.col("p")).alias("diagonal")).distinct()
-    pairs = lines.join(items.select("row", "item_id", F.col("ids").alias("item_ids")), "row").join(
-        regions.drop("seeds").dropDuplicates(region), region)
+    hits = regions.select(*region, F.explode(F.array_distinct("hashes")).alias("h"))
+    # Few of the benchmark's hashes occur in documents at all; only these are repeated for the salts.
+    met = stage(seeds.join(hits.select("h").distinct(), "h", "left_semi"))
+    lines = salted_join(hits, met, ["h"], region, salts=SALTS).select(*region, "row").distinct()
+    known = items.select("row", "item_id", F.col("ids").alias("item_ids")).join(met.select("row").distinct(), "row", "left_semi")
+    pairs = salted_join(lines, known, ["row"], region, salts=SALTS).join(regions.dropDuplicates(region), region)
     doc_kind, item_kind = (t.schema[c].dataType.simpleString() for t, c in ((docs, "doc_id"), (items, "item_id")))
-    found = _verified(pairs.select("doc_id", "k1", "k2", "start", "ids", "item_id", "item_ids", "diagonal"), doc_kind, item_kind)
+    found = _verified(pairs.select("doc_id", "k1", "k2", "start", "ids", "hashes", "places", "item_id", "item_ids"), doc_kind, item_kind)
     best = found.groupBy("doc_id", "k1", "k2", "item_id").agg(
         F.max(F.struct(
             "n_equal", (-F.col("n_tokens")).alias("shorter"), (-F.col("first_token")).alias("earlier"), "item_tokens")).alias("b"))
