@@ -114,7 +114,10 @@ def value_at_lowres(points: DataFrame, lowres: DataFrame, volumes: DataFrame, lo
         "_x": F.when(inside(), cell("x", "lnx")),
     })
     low = lowres.select("volume_id", *[F.col(c).alias(f"_{c}") for c in "zyx"], "v")
-    return at.join(low, ["volume_id", "_z", "_y", "_x"], "left").select(*points.columns, "v")
+    # Cells are looked up once each; a cell that very many points ask for is split over salts if they are not broadcast.
+    cell_key = ["volume_id", "_z", "_y", "_x"]
+    held = stage(lookup(low, at.select(*cell_key).distinct(), cell_key))
+    return attach(at, held, cell_key, points.columns, "left").select(*points.columns, "v")
 
 
 def probe(points: DataFrame, voxels: DataFrame, volumes: DataFrame, mask: DataFrame, masks: DataFrame) -> DataFrame:

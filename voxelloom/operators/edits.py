@@ -9,14 +9,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..model import AXIS_COORDS, MASK_KEY
-from ..scale import SCAN_BLOCK, attach, scan, stage
+from ..scale import SCAN_BLOCK, attach, lookup, scan, stage
 from .mask import Written, set_voxels
 
 
 def effective_edits(log: DataFrame, mask: DataFrame, masks: DataFrame, block: int = SCAN_BLOCK) -> DataFrame:
     """Log rows that change their voxel, with the class before and after."""
     prior = scan(log, MASK_KEY, "seq", lags={"_prev": F.col("after_class")}, block=block)
-    base = prior.join(mask.withColumnRenamed("class_id", "_base"), MASK_KEY, "left")
+    # The mask is asked once for each voxel of the log; what it holds there is joined over salted keys if it is much.
+    held = stage(lookup(mask, log.select(*MASK_KEY).distinct(), MASK_KEY))
+    base = attach(prior, held.withColumnRenamed("class_id", "_base"), MASK_KEY, ["seq"], "left")
     fills = masks.select("mask_id", "fill_value")
     at = attach(base, fills, ["mask_id"], ["z", "y", "x"])
     at = at.withColumn("before_class", F.coalesce("_prev", "_base", "fill_value").cast("int"))

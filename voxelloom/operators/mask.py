@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.numeric import to_class_id
 from ..model import MASK_KEY, MAX_CLASS, axis_coords, coords_of_linear, inside, linear_index
-from ..scale import attach, lookup, stage
+from ..scale import BROADCAST_ROWS, attach, is_small, lookup, stage
 from .slicing import slice_grid, slice_to_voxel
 
 
@@ -43,24 +43,38 @@ def _max_class():
     return F.when(F.col("class_data_type") == "uint16", MAX_CLASS["uint16"]).otherwise(MAX_CLASS["uint8"])
 
 
-def set_voxels(mask: DataFrame, masks: DataFrame, volumes: DataFrame, updates: DataFrame) -> Written:
+def set_voxels(mask: DataFrame, masks: DataFrame, volumes: DataFrame, updates: DataFrame,
+               limit: int = BROADCAST_ROWS) -> Written:
     """Writes class ids (mask_id, z, y, x, class_id and, for an order, seq); the last write of a voxel stays.
 
     Ids are rounded and clamped, voxels outside the grid ignored. Repeated writes to one voxel shrink before
-    the join, so a voxel that is hit very often is no hot key.
+    the join, so a voxel that is hit very often is no hot key. Up to ``limit`` written voxels travel to the
+    mask, whose other rows are passed on without a shuffle; more are joined over shuffles.
     """
     grids = _grids(masks, volumes)
+    fills = grids.select("mask_id", "fill_value")
     at = attach(updates, grids, ["mask_id"], ["z", "y", "x"]).where(inside())
     after = to_class_id(F.col("class_id"), _max_class())
     if "seq" in updates.columns:
         last = at.groupBy(*MASK_KEY).agg(F.max_by(after, F.col("seq")).alias("after_class"))
     else:
         last = at.groupBy(*MASK_KEY).agg(F.max(after).alias("after_class"))
-    both = mask.withColumnRenamed("class_id", "_old").join(last, MASK_KEY, "full_outer")
-    both = attach(both, grids.select("mask_id", "fill_value"), ["mask_id"], ["z", "y", "x"])
+    last = stage(last)
+    old = mask.withColumnRenamed("class_id", "_old")
+    few = is_small(last, limit)
+    if few:
+        written = F.broadcast(last.select(*MASK_KEY))
+        both = last.join(stage(old.join(written, MASK_KEY, "left_semi")), MASK_KEY, "left")
+    else:
+        both = old.join(last, MASK_KEY, "full_outer")
+    both = attach(both, fills, ["mask_id"], ["z", "y", "x"])
     both = both.withColumn("before_class", F.coalesce("_old", "fill_value"))
     both = both.withColumn("_new", F.coalesce("after_class", "before_class"))
     new = both.where(F.col("_new") != F.col("fill_value")).select(*MASK_KEY, F.col("_new").cast("int").alias("class_id"))
+    if few:
+        rest = attach(mask.join(written, MASK_KEY, "left_anti"), fills, ["mask_id"], ["z", "y", "x"])
+        new = rest.where(F.col("class_id") != F.col("fill_value")).select(
+            *MASK_KEY, F.col("class_id").cast("int").alias("class_id")).unionByName(new)
     changes = both.where(F.col("_new") != F.col("before_class")).select(
         *MASK_KEY, F.col("before_class").cast("int").alias("before_class"), F.col("_new").cast("int").alias("after_class"))
     return Written(new, changes)

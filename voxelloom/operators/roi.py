@@ -89,13 +89,19 @@ def add_rois_with_class(candidates: DataFrame) -> DataFrame:
 
     Candidates are taken in the order ``nth``; one whose class or id is already registered is refused. Each
     round settles the candidates that come first for both their class and their id, so nothing is processed
-    one by one; blank ids then get automatic numbers.
+    one by one; blank ids then get automatic numbers. Every round registers a class in each mask that still has
+    candidates, so there are at most as many rounds as the mask with the most classes has classes; only an order in which each
+    candidate waits for the one before takes as many.
     """
     blank = F.trim(F.coalesce("roi_id", F.lit(""))) == ""
-    left = stage(candidates.where(F.col("class_id").isNotNull() & ~F.isnan(dbl("class_id"))).withColumns({
+    left = (candidates.where(F.col("class_id").isNotNull() & ~F.isnan(dbl("class_id"))).withColumns({
         "class_id": F.greatest(F.lit(1), F.floor("class_id")).cast("int"),
         "roi_id": F.when(~blank, F.trim("roi_id")),
     }))
+    # A later candidate for the same class and id is refused whatever becomes of the first.
+    left = left.withColumn("_first", F.struct("nth", *[c for c in left.columns if c != "nth"])).groupBy("mask_id", "class_id", "roi_id").agg(
+        F.min_by("_first", "nth").alias("_first")).select(*[F.col(f"_first.{c}").alias(c) for c in left.columns])
+    left = stage(left)
     taken = None
     while True:
         by_class = left.groupBy("mask_id", "class_id").agg(F.min("nth").alias("_c"))

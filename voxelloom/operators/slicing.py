@@ -10,8 +10,14 @@ from ..scale import attach, lookup, spread_out, stage
 
 
 def slices(voxels: DataFrame, axis: str, wanted: DataFrame | None = None) -> DataFrame:
-    """Voxels as slice cells (volume_id, axis, idx, v, u, value), for the wanted (volume_id, idx) only."""
+    """Voxels as slice cells (volume_id, axis, idx, v, u, value), for the wanted (volume_id, idx) only.
+
+    The range of wanted indices is a plain filter, so what lies outside is skipped by the scan.
+    """
     fixed, u, v = axis_coords(axis)
+    if wanted is not None:
+        low, high = wanted.agg(F.min("idx"), F.max("idx")).first()
+        voxels = voxels.where(F.col(fixed).between(F.lit(low), F.lit(high)))
     cells = voxels.select(
         "volume_id", F.lit(axis).alias("axis"), F.col(fixed).alias("idx"),
         F.col(v).alias("v"), F.col(u).alias("u"), F.col("v").alias("value"))
