@@ -231,6 +231,35 @@ def test_write_and_restore(spark, grid, labels):
     assert cells(back.mask, "z", "y", "x", "class_id") == cells(mask, "z", "y", "x", "class_id")
 
 
+@pytest.mark.parametrize("fill", [0, 2])
+def test_few_writes_and_many_give_the_same_mask(spark, grid, labels, fill):
+    a = random_mask()
+    _, volumes = grid(a=a.astype(float))
+    mask, masks = labels(a, fill=fill)
+    nz, ny, nx = a.shape
+    up = spark.createDataFrame([("m", i % nz, i % ny, i * 7 % nx, i, float(i % 5)) for i in range(40)] + [("none", 0, 0, 0, 0, 1.0)],
+                               "mask_id string, z int, y int, x int, seq int, class_id double")
+    few, many = (masking.set_voxels(mask, masks, volumes, up, limit=n) for n in (100, 0))
+    for x, y in zip(few, many):
+        assert cells(x, *x.columns) == cells(y, *y.columns) and x.count() > 0
+    b = a.copy()
+    for i in range(40):
+        b[i % nz, i % ny, i * 7 % nx] = i % 5
+    assert cells(few.mask, "z", "y", "x", "class_id") == sorted(
+        (int(z), int(y), int(x), int(b[z, y, x])) for z, y, x in zip(*np.nonzero(b != fill)))
+
+
+def test_wanted_slices_reach_the_scan(spark, grid, tmp_path):
+    voxels, _ = grid(a=np.arange(60.0).reshape(5, 3, 4))
+    voxels.write.parquet(str(tmp_path / "v"))
+    stored = spark.read.parquet(str(tmp_path / "v"))
+    wanted = spark.createDataFrame([("a", 1), ("a", 3), ("b", 2)], "volume_id string, idx int")
+    got = slicing.slices(stored, "xy", wanted)
+    assert {r.idx for r in got.collect()} == {1, 3} and got.count() == 24
+    assert "GreaterThanOrEqual(z,1)" in got._jdf.queryExecution().executedPlan().toString()
+    assert slicing.slices(stored, "xy", wanted.limit(0)).count() == 0
+
+
 def test_set_voxels_last_write_wins_and_ignores_outside(spark, grid, labels):
     a = np.zeros((1, 2, 2), int)
     _, volumes = grid(a=a.astype(float))

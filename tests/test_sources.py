@@ -137,6 +137,28 @@ def test_dicom_folder(spark, tmp_path):
     assert dicom.consistency(good).count() == 0
 
 
+def test_dicom_headers_by_path_read_no_pixels(spark, tmp_path, monkeypatch):
+    grid = np.random.default_rng(8).integers(0, 4000, (1, 300, 200))[0]
+    whole = dicom_bytes(grid, 10.0, 1)
+    cases = {"a": whole, "b": dicom_bytes(grid, 0, 9, syntax="1.2.840.10008.1.2.4.70"), "c": whole[:-4], "d": b"no dicom", "e": b"", "f": whole[:140]}
+    for name, data in cases.items():
+        (tmp_path / f"{name}.dcm").write_bytes(data)
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    by_path = dicom.admit(dicom.decode_headers(files.select("path"))).orderBy("path").collect()
+    assert by_path == dicom.admit(dicom.decode_headers(files.select("path", "content"))).orderBy("path").collect()
+    # The window grows from any size to the same header.
+    for window in (1, 140, 200, 333):
+        monkeypatch.setattr(dicom, "WINDOW", window)
+        for name, data in cases.items():
+            assert dicom.read_header(str(tmp_path / f"{name}.dcm")) == dicom.decode_header(data)
+    taken = []
+    monkeypatch.setattr(dicom, "WINDOW", 1024)
+    decode = dicom.decode_header
+    monkeypatch.setattr(dicom, "decode_header", lambda data, size: (taken.append(len(data)), decode(data, size))[1])
+    dicom.read_header(str(tmp_path / "a.dcm"))
+    assert sum(taken) < len(whole) // 10
+
+
 def test_dicom_multiframe_signed_and_nested(spark, tmp_path):
     frames = np.random.default_rng(2).integers(-500, 500, (3, 2, 4))
     (tmp_path / "m.dcm").write_bytes(dicom_bytes(frames, 0, 1, frames=3, slope=0, intercept=5, signed=1, dtype="<i2"))

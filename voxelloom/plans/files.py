@@ -82,6 +82,18 @@ def dicom_slices(voxels: DataFrame) -> DataFrame:
         f"{volume}/{z:06d}.dcm", dicom_bytes(grid % 65536, -2.0 * z, z + 1, z % 3)))
 
 
+def dicom_frames(voxels: DataFrame, frames: int = 3) -> DataFrame:
+    """Files of up to ``frames`` slices as frames, positions falling from file to file."""
+    def work(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["z", "y", "x"])
+        volume, z, n = part["volume_id"].iloc[0], int(part["z"].iloc[0]), part["z"].nunique()
+        grid = part["v"].to_numpy().astype("i8").reshape(n, part["y"].max() + 1, part["x"].max() + 1)
+        data = dicom_bytes(grid % 65536, -2.0 * z, z + 1, frames=n)
+        return pd.DataFrame({"path": [f"{volume}/{z:06d}.dcm"], "volume_id": [volume], "z": [z], "content": [data]})
+    keyed = voxels.selectExpr("*", f"z div {frames} as _file")
+    return keyed.groupBy("volume_id", "_file").applyInPandas(work, FILES)
+
+
 def nifti_slices(voxels: DataFrame) -> DataFrame:
     """One file per slice: plain little-endian, gzipped, and big-endian in turn."""
     def encode(volume: str, z: int, grid: np.ndarray):

@@ -48,6 +48,7 @@ FILE = "volume_id || '/' || PRINTF('%06d', z)"
 oracle("dicom_headers", "vox vol", f"""SELECT DISTINCT {FILE} || '.dcm' AS path, ny AS rows, nx AS cols, 16 AS bits_allocated, z + 1 AS instance_no, CAST(-2.0 * z AS DOUBLE) AS position_z,
   CAST(2 AS DOUBLE) AS slope, CAST(-1024 AS DOUBLE) AS intercept, CAST(nx * ny * 2 AS BIGINT) AS pixel_length, CAST(NULL AS VARCHAR) AS skip_reason FROM vox JOIN vol USING (volume_id)""")
 oracle("dicom_voxels", "vox vol", "SELECT volume_id, nz - 1 - z AS z, y, x, CAST((v % 65536) * 2 - 1024 AS DOUBLE) AS v FROM vox JOIN vol USING (volume_id)")
+oracle("dicom_frames", "vox vol", "SELECT volume_id, greatest(nz - 3 * (z // 3 + 1), 0) + z % 3 AS z, y, x, CAST((v % 65536) * 2 - 1024 AS DOUBLE) AS v FROM vox JOIN vol USING (volume_id)")
 oracle("dicom_volume_spacing", "vol", """SELECT volume_id AS series_id, CAST(0.25 AS DOUBLE) AS sx, CAST(0.5 AS DOUBLE) AS sy, CASE WHEN nz > 1 THEN CAST(2 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS sz FROM vol""")
 HEADS = """WITH h AS (SELECT o_custkey AS s, o_orderkey AS f, CASE WHEN o_custkey % 4 = 3 AND o_orderkey % 2 = 1 THEN NULL ELSE o_totalprice END AS p,
   CASE WHEN o_custkey % 8 = 7 AND o_orderkey % 3 = 0 THEN NULL ELSE o_orderkey % 97 END AS i FROM orders),

@@ -115,8 +115,8 @@ def raw_slab_plan(g):
     return slabs.plan_slabs(at, z_from=3, slab_bytes=8192).select("volume_id", "offset", "z0", "slices")
 
 
-def _dicom(g):
-    data = files.dicom_slices(g.voxels)
+def _dicom(g, data=None):
+    data = files.dicom_slices(g.voxels) if data is None else data
     headers = dicom.admit(dicom.decode_headers(data))
     headers = headers.withColumn("series_id", F.regexp_extract("path", "^([^/]*)/", 1)).withColumn("file_no", F.col("path"))
     return data, headers
@@ -129,6 +129,13 @@ def dicom_headers(g):
                           "slope", "intercept", "pixel_length", "skip_reason")
 
 
+@query
+def dicom_frames(g):
+    """Voxels of files with up to three frames each."""
+    data, headers = _dicom(g, files.dicom_frames(g.voxels))
+    return dicom.read_dicom(dicom.series_order(headers), data)
+
+
 @query
 def dicom_voxels(g):
     data, headers = _dicom(g)

@@ -112,18 +112,35 @@ def _after_undefined(data: bytes, at: int, explicit: bool) -> int:
     return at
 
 
-def decode_header(data: bytes) -> dict:
-    """Header fields of one file and where its pixels lie, or the reason to skip it."""
+WINDOW = 64 << 10  # bytes of a file that are read first
+
+
+class NeedsMore(Exception):
+    """The beginning of a file at hand does not decide how to go on."""
+
+
+def decode_header(data: bytes, size: int | None = None) -> dict:
+    """Header fields of one file and where its pixels lie, or the reason to skip it.
+
+    ``data`` may be the beginning of a file of ``size`` bytes; ``NeedsMore`` asks for a longer one.
+    """
+    size = len(data) if size is None else size
+    partial = len(data) < size
     out = {"pixel_representation": 0, "samples_per_pixel": 1, "frames": 1, "slope": 1.0, "intercept": 0.0,
-           "file_length": len(data), "skip_reason": None}
+           "file_length": size, "skip_reason": None}
     at = 0
     if len(data) >= 132 and data[128:132] == b"DICM":
         at, syntax = 132, EXPLICIT_LE
         while at + 8 < len(data) and struct.unpack_from("<H", data, at)[0] == 0x0002:
-            tag, length, start = _element(data, at, True)
+            found = _element(data, at, True)
+            if found is None:
+                break
+            tag, length, start = found
             if tag == (0x0002, 0x0010):
                 syntax = _decode_value(data[start:start + length], "text") or EXPLICIT_LE
             at = start + length
+        if partial and at + 8 >= len(data):
+            raise NeedsMore
         if syntax == EXPLICIT_BE:
             return {**out, "skip_reason": "big-endian transfer syntax"}
         if syntax not in (IMPLICIT_LE, EXPLICIT_LE):
@@ -151,17 +168,37 @@ def decode_header(data: bytes) -> dict:
                        "intercept": 0.0 if value is None else value}
             out[field] = default.get(field, value)
         at = start + length
+    if partial and "pixel_offset" not in out:
+        raise NeedsMore
     return out
 
 
+def read_header(path: str) -> dict:
+    """Header of a file, of which no more is read than a window that grows until the pixels are found."""
+    with slabs.open_path(path) as source:
+        size, window = source.seek(0, 2), WINDOW
+        while True:
+            source.seek(0)
+            try:
+                return decode_header(source.read(window), size)
+            except NeedsMore:
+                window *= 4
+
+
 def decode_headers(files: DataFrame) -> DataFrame:
-    """Headers of files (path, content); pixel bytes stay behind."""
+    """Headers of files (path and, for bytes at hand, content); pixel bytes stay behind.
+
+    Without ``content`` files are opened by path, and their pixels are never read.
+    """
+    with_bytes = "content" in files.columns
+
     def work(batches):
         for batch in batches:
-            rows = [{"path": f["path"], **decode_header(f["content"])} for f in batch.to_pylist()]
-            yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
+            for f in batch.to_pylist():
+                head = decode_header(f["content"]) if with_bytes else read_header(f["path"])
+                yield pa.RecordBatch.from_pylist([{"path": f["path"], **head}], schema=_ARROW)
 
-    return files.select("path", "content").mapInArrow(work, HEADER_SCHEMA)
+    return files.select("path", *(["content"] if with_bytes else [])).mapInArrow(work, HEADER_SCHEMA)
 
 
 def admit(headers: DataFrame) -> DataFrame:
