@@ -63,3 +63,10 @@ def test_one_word_repeated(spark):
     got = {(r["doc_id"], r["item_id"]): (r["first_token"], r["n_tokens"], r["n_equal"])
            for r in decontaminate.contaminated(docs, bench).collect()}
     assert got == {(1, 1): (0, 800, 800), (1, 2): (0, 700, 700)}
+
+
+def test_filters_keep_columns_that_are_named_like_keys(spark):
+    words = " ".join(f"w{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, words, 5, 6, 7), (2, "clean", 5, 6, 7)], "doc_id bigint, text string, _key1 int, _Key1a int, k1 int")
+    left = decontaminate.decontaminated(docs, spark.createDataFrame([(1, words)], "item_id bigint, text string"))
+    assert left.columns == docs.columns and [tuple(r) for r in left.collect()] == [(2, "clean", 5, 6, 7)]

@@ -35,26 +35,29 @@ def row_keys(doc_id: Column, text: Column) -> list[Column]:
 
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose keys are not among those of ``gone`` (k1, k2), all columns unchanged."""
-    rows = _keyed(docs)
-    same = (rows["_key1"] == gone["k1"]) & (rows["_key2"] == gone["k2"])
+    rows, one, two = _keyed(docs)
+    same = (rows[one] == gone["k1"]) & (rows[two] == gone["k2"])
     # Always over sorted shuffles: the plan is the same at every size, and nothing grows into a broadcast.
     return rows.join(gone.hint("merge"), same, "left_anti").select(*_names(docs))
 
 
 def once(docs: DataFrame, repeated: DataFrame) -> DataFrame:
     """``docs`` with a single row for each of the keys in ``repeated`` (k1, k2)."""
-    rows = _keyed(docs)
-    one = rows.join(repeated, (rows["_key1"] == repeated["k1"]) & (rows["_key2"] == repeated["k2"]), "left_semi")
-    return without(docs, repeated).unionByName(one.dropDuplicates(["_key1", "_key2"]).select(*_names(docs)))
+    rows, one, two = _keyed(docs)
+    kept = rows.join(repeated, (rows[one] == repeated["k1"]) & (rows[two] == repeated["k2"]), "left_semi")
+    return without(docs, repeated).unionByName(kept.dropDuplicates([one, two]).select(*_names(docs)))
 
 
 def _names(docs: DataFrame) -> list[str]:
     return [f"`{c}`" for c in docs.columns]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str, str]:
+    """``docs`` with its keys, and their names, which no column of ``docs`` has in any case."""
+    taken = {c.lower() for c in docs.columns}
+    end = next(e for e in map(str, range(1, len(taken) + 2)) if not {f"_key{e}a", f"_key{e}b"} & taken)
     k1, k2 = row_keys(docs["doc_id"], text_of(docs))
-    return docs.select("*", k1.alias("_key1"), k2.alias("_key2"))
+    return docs.select("*", k1.alias(f"_key{end}a"), k2.alias(f"_key{end}b")), f"_key{end}a", f"_key{end}b"
 
 
 def join_few(big: DataFrame, few: DataFrame, on: Sequence[str], spread: Sequence[str]) -> DataFrame:
